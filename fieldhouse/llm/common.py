@@ -109,10 +109,10 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     first, moves, rounds = e, [], 0
     while not e.isEmpty():
         rounds += 1
-        rank = lambda c: F.struct(F.xxhash64(F.lit(rounds * 7919), c), c)
+        rank = lambda c: F.struct(F.xxhash64(F.lit(rounds * 7919), c).alias("r"), c.alias("v"))
         ends = e.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("x"))
         move = ends.groupBy(F.col("x.a").alias("node")).agg(F.min(rank(F.col("x.b"))).alias("m"))
-        move = move.select("node", F.least(F.col("m"), rank(F.col("node")))["node" if False else "col2"].alias("to"))
+        move = move.select("node", F.least(F.col("m"), rank(F.col("node")))["v"].alias("to"))
         move = scratch.write(move, "moves")
         moves.append(move)
         e = (

@@ -6,10 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .ctw_score import op10_ctw_score
+from .mixing import op6_source_mixing
+from .ngram_join import op9_ngram_join
+from .packing import op2_best_fit_packing
+from .quality_rules import op8_quality_rules
 from .substring_dedup import op4_substring_dedup
+from .token_counts import op7_token_counts
+from .url_filter import OP1_SQL, op1_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filter": op1_url_filter,
+    "op2_best_fit_packing": op2_best_fit_packing,
     "op4_substring_dedup": op4_substring_dedup,
+    "op6_source_mixing": op6_source_mixing,
+    "op7_token_counts": op7_token_counts,
+    "op8_quality_rules": op8_quality_rules,
+    "op9_ngram_join": op9_ngram_join,
+    "op10_ctw_score": op10_ctw_score,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_url_filter": OP1_SQL}

@@ -224,7 +224,7 @@ def covered(n_words: int, spans: list[dict], words: int) -> np.ndarray:
     return np.cumsum(mark[:n_words]) > 0
 
 
-def _cut(words: int):
+def _cut(words: int, with_text: bool):
     schema = schema_of("_id long, _th int, n_words long, n_removed long, kept_sha256 string, kept_text string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,7 +238,7 @@ def _cut(words: int):
                 out[0].append(len(ws))
                 out[1].append(int(gone.sum()))
                 out[2].append(hashlib.sha256(b" ".join(kept)).hexdigest())
-                out[3].append(t if not spans else remaining(raw, gone))
+                out[3].append(None if not with_text else t if not spans else remaining(raw, gone))
             yield pa.record_batch([b.column("_id"), b.column("_th"), *(pa.array(x, k) for x, k in zip(out, (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True))], schema=schema)
 
     return run
@@ -269,7 +269,7 @@ def dedup(docs: DataFrame, words: int = WORDS, gram: int = GRAM, batches: int =
     open_ = looked.where("fps IS NOT NULL")
     segments = scratch.write(open_.select("_id", "_th", "_text", "fps").mapInArrow(_segments(words, gram), _SEGMENT), "segments")
     spans = repeated_windows(segments, scratch)
-    cut = open_.select("_id", "_th", "_text").join(spans, ["_id", "_th"], "left").mapInArrow(_cut(words), "_id long, _th int, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    cut = open_.select("_id", "_th", "_text").join(spans, ["_id", "_th"], "left").mapInArrow(_cut(words, with_text), "_id long, _th int, n_words long, n_removed long, kept_sha256 string, kept_text string")
     done = looked.where("fps IS NULL").select("_id", "_th", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256", F.col("_text").alias("kept_text"))
     out = cut.unionByName(done).select(public_id(id_col), "n_words", "n_removed", "kept_sha256", *(["kept_text", "_id", "_th"] if with_text else []))
     return out
