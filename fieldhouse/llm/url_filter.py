@@ -37,15 +37,16 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     """Per row: id_col, host, path, rule (null if none fits), verdict."""
     known = rules.where("verdict IS NOT NULL AND host IS NOT NULL AND path IS NOT NULL").select("verdict", F.col("host").alias("rule_host"), F.col("path").alias("rule_path"))
     known = known.withColumn("digest", F.sha2(F.concat_ws("\x00", "rule_host", "rule_path"), 256)).withColumn("short", F.substring("digest", 1, 8))
-    lengths = known.agg(F.sort_array(F.collect_set(F.length("rule_path"))).alias("lengths"))  # one row; few distinct lengths
+    lengths = [r[0] for r in known.select(F.length("rule_path").alias("n")).distinct().sort("n").collect()]  # at most the longest rule path
+    lengths = F.array(*map(F.lit, lengths)).cast("array<int>")
     d = pages.select(F.col(id_col).alias("_page"), F.col(url_col).alias("_url"))
     d = d.withColumn("host", F.coalesce(_host(F.col("_url")), F.lit(""))).withColumn("path", F.coalesce(_path(F.col("_url")), F.lit("")))
     labels = F.split("host", r"\.")
     hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     # what repeats, above all of a host with a third of the pages, is expanded once
     urls = d.where("host <> ''").select("host", "path").distinct()
-    paths = F.transform(F.filter("lengths", lambda n: n <= F.length("path")), lambda n: F.col("path").substr(F.lit(1), n))
-    each = urls.join(F.broadcast(lengths)).select("host", "path", F.explode(hosts).alias("_h"), paths.alias("_paths")).select("host", "path", "_h", F.explode("_paths").alias("_p"))
+    paths = F.transform(F.filter(lengths, lambda n: n <= F.length("path")), lambda n: F.col("path").substr(F.lit(1), n))
+    each = urls.select("host", "path", F.explode(hosts).alias("_h"), paths.alias("_paths")).select("host", "path", "_h", F.explode("_paths").alias("_p"))
     each = each.withColumn("_digest", F.sha2(F.concat_ws("\x00", "_h", "_p"), 256)).withColumn("_short", F.substring("_digest", 1, 8))
     met = each.join(known, (F.col("_short") == F.col("short")) & (F.col("_digest") == F.col("digest")))
     size = F.length("rule_host") + F.length("rule_path")
