@@ -55,7 +55,7 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: str) -> DataFrame:
     """Only the id and the text, under private names, so that extra columns cannot clash.
 
     ``_id`` (null ids become the smallest long) with ``_th`` (a hash of the text) names a row; rows that repeat
@@ -65,6 +65,7 @@ def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("_id"),
         F.xxhash64(F.col(text_col)).alias("_th"),
         F.col(text_col).alias("_text"),
+        *more,
     )
 
 

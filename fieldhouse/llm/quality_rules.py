@@ -24,8 +24,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import _SEP, Scratch, Words, filled, public_id, schema_of, slices
+from .common import _SEP, Scratch, Words, filled, public_id, slices
 
 #: rule -> grid of cutoffs, ascending; a text is rejected where its value is above the cutoff
 GRIDS: dict[str, list[float]] = {
@@ -38,7 +40,7 @@ GRIDS: dict[str, list[float]] = {
 ALPHA, DELTA = 0.05, 0.05
 _SYMBOL = np.zeros(256, np.int64)
 _SYMBOL[list(b"#*$%&|<>")] = 1
-_COUNTED = "_id long, stratum string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long"
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
 
 
 def _repeats(grams: np.ndarray, n: int, k: int) -> int:
@@ -58,27 +60,34 @@ def _repeats(grams: np.ndarray, n: int, k: int) -> int:
     return int((np.cumsum(mark[:n]) > 0).sum())
 
 
-def _counted():
-    schema = schema_of(_COUNTED)
+def counts_of(texts: pa.Array) -> list[np.ndarray]:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and n_lines of each text."""
+    w = Words(texts)
+    total = lambda x: np.concatenate([[0], np.cumsum(x)])[w.bound]
+    chars = np.diff(total(((w.data & 0xC0) != 0x80) & ~_SEP[w.data]))
+    symbols = np.diff(total(_SYMBOL[w.data]))
+    grams, words = w.windows(5), np.diff(w.first)
+    dup, lines, repeat = [], [], []
+    for i, t in enumerate(texts.to_pylist()):
+        full = [x for x in t.split("\n") if x.strip(" \t\n\r\x0b\x0c")]
+        lines.append(len(full))
+        dup.append(len(full) - len(set(full)))
+        a, z = w.first[i], w.first[i + 1]
+        repeat.append(_repeats(grams[a : z - 4], int(z - a), 5) if z - a > 5 else 0)
+    return [np.asarray(x, np.int64) for x in (words, chars, symbols, dup, repeat, lines)]
+
+
+def counted(docs: DataFrame, text_col: str, prefix: str = "") -> DataFrame:
+    """The rows with their counts, in further columns named ``prefix`` + count."""
+    fields = [*docs.schema.fields, *(T.StructField(prefix + c, T.LongType()) for c in COUNTS)]
+    schema = to_arrow_schema(T.StructType(fields))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "_text"):
-            texts = filled(b, "_text")
-            w = Words(texts)
-            total = lambda x: np.concatenate([[0], np.cumsum(x)])[w.bound]
-            chars = np.diff(total(((w.data & 0xC0) != 0x80) & ~_SEP[w.data]))
-            symbols = np.diff(total(_SYMBOL[w.data]))
-            grams, words = w.windows(5), np.diff(w.first)
-            dup, lines, repeat = [], [], []
-            for i, t in enumerate(texts.to_pylist()):
-                full = [x for x in t.split("\n") if x.strip(" \t\n\r\x0b\x0c")]
-                lines.append(len(full))
-                dup.append(len(full) - len(set(full)))
-                a, z = w.first[i], w.first[i + 1]
-                repeat.append(_repeats(grams[a : z - 4], int(z - a), 5) if z - a > 5 else 0)
-            yield pa.record_batch([b.column("_id"), b.column("stratum"), *(pa.array(np.asarray(x, np.int64)) for x in (words, chars, symbols, dup, repeat, lines))], schema=schema)
-
-    return run
+        for b in slices(batches, text_col):
+            more = [pa.array(x) for x in counts_of(filled(b, text_col))]
+            yield pa.record_batch([*(c.cast(f.type) for c, f in zip(b.columns, schema, strict=False)), *more], schema=schema)
+
+    return docs.mapInArrow(run, T.StructType(fields))
 
 
 def upper_bound(bad: int, n: int, level: float) -> float:
@@ -117,38 +126,59 @@ def cutoffs(cells: list[tuple[str, str, int, int]], alpha: float = ALPHA, delta:
     return out
 
 
-def _rules() -> dict[str, Column]:
-    n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
+def _rules(prefix: str = "") -> dict[str, Column]:
+    c = lambda name: F.col(prefix + name)
+    n = F.greatest(c("n_words"), F.lit(1)).cast("double")
     return {
-        "symbols_per_word": F.col("n_symbols") / n,
-        "dup_line_share": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)).cast("double"),
-        "repeat_word_share": F.col("n_repeat_words") / n,
-        "long_words": F.col("word_chars") / n,
-        "short_words": -F.col("word_chars") / n,
+        "symbols_per_word": c("n_symbols") / n,
+        "dup_line_share": c("n_dup_lines") / F.greatest(c("n_lines"), F.lit(1)).cast("double"),
+        "repeat_word_share": c("n_repeat_words") / n,
+        "long_words": c("word_chars") / n,
+        "short_words": -c("word_chars") / n,
     }
 
 
-def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id_col, the counts, base_failed, rejected_by (the rules that reject) and kept."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "quality")
-    d = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("_id"), F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"), F.col(text_col).alias("_text"))
-    seen = scratch.write(d.mapInArrow(_counted(), _COUNTED), "counted")
+def _base_failed(prefix: str = "") -> Column:
+    return (F.col(prefix + "n_words") < 10) | (100 * F.col(prefix + "n_repeat_words") > 20 * F.col(prefix + "n_words"))
+
+
+def _rejected_by(prefix: str = "") -> Column:
+    by = F.array_compact(F.array(*(F.when(x > F.col("_cuts")[i], F.lit(r)) for i, (r, x) in enumerate(_rules(prefix).items()))))
+    return F.coalesce(by, F.array().cast("array<string>"))
+
+
+def thresholds(seen: DataFrame, labels: DataFrame, alpha: float, delta: float) -> DataFrame:
+    """(_stratum, _cuts): the cutoffs of each stratum, from counted rows (_id, _stratum, counts) and the labels."""
     good = labels.where("quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max("quality").alias("quality")).where("quality = 1").select("_id")
     held = seen.join(good, "_id", "left_semi")
     cell = lambda rule, x: F.size(F.filter(F.array(*map(F.lit, GRIDS[rule])), lambda c: x > c))
-    long_ = held.select("stratum", F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), cell(r, x).alias("cell")) for r, x in _rules().items()))).alias("x"))
-    cells = long_.groupBy("stratum", "x.rule", "x.cell").count().collect()  # strata x rules x cells
-    found = cutoffs([(r["stratum"], r["rule"], r["cell"], r["count"]) for r in cells], alpha, delta)
+    long_ = held.select("_stratum", F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), cell(r, x).alias("cell")) for r, x in _rules().items()))).alias("x"))
+    cells = long_.groupBy("_stratum", "x.rule", "x.cell").count().collect()  # strata x rules x cells
+    found = cutoffs([(r["_stratum"], r["rule"], r["cell"], r["count"]) for r in cells], alpha, delta)
     rows = [(s, [found[s].get(r) for r in GRIDS]) for s in found] or [("", [None] * len(GRIDS))]
-    table = spark.createDataFrame(rows, "stratum string, cuts array<double>")
-    base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    by = F.array_compact(F.array(*(F.when(x > F.col("cuts")[i], F.lit(r)) for i, (r, x) in enumerate(_rules().items()))))
-    out = seen.join(F.broadcast(table), "stratum", "left").withColumn("rejected_by", F.coalesce(by, F.array().cast("array<string>")))
-    return out.select(
-        public_id(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        base.alias("base_failed"), (~base & (F.size("rejected_by") == 0)).alias("kept"), "rejected_by",
-    )
+    return seen.sparkSession.createDataFrame(rows, "_stratum string, _cuts array<double>")
+
+
+def _slim(docs: DataFrame, stratum: str, id_col: str, text_col: str) -> DataFrame:
+    d = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("_id"), F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("_stratum"), F.col(text_col).alias("_text"))
+    return counted(d, "_text").drop("_text")
+
+
+def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: id_col, the counts, base_failed, rejected_by (the rules that reject) and kept."""
+    seen = Scratch(docs.sparkSession, "quality").write(_slim(docs, stratum, id_col, text_col), "counted")
+    table = thresholds(seen, labels, alpha, delta)
+    out = seen.join(F.broadcast(table), "_stratum", "left").withColumn("rejected_by", _rejected_by())
+    return out.select(public_id(id_col), *COUNTS[:5], _base_failed().alias("base_failed"), (~_base_failed() & (F.size("rejected_by") == 0)).alias("kept"), "rejected_by")
+
+
+def keep(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows that ``judge`` keeps, whole. Texts are read twice and never shuffled."""
+    seen = Scratch(docs.sparkSession, "quality").write(_slim(docs, stratum, id_col, text_col), "counted")
+    table = thresholds(seen, labels, alpha, delta)
+    d = counted(docs, text_col, "_q_").withColumn("_stratum", F.coalesce(F.col(stratum).cast("string"), F.lit("")))
+    d = d.join(F.broadcast(table), "_stratum", "left")
+    return d.where(~_base_failed("_q_") & (F.size(_rejected_by("_q_")) == 0)).select(*docs.columns)
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

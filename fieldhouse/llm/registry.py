@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .ctw_score import op10_ctw_score
+from .hnsw_dedup import op5_hnsw_dedup
+from .html_extract import op3_html_extract
 from .mixing import op6_source_mixing
 from .ngram_join import op9_ngram_join
 from .packing import op2_best_fit_packing
@@ -18,7 +20,9 @@ from .url_filter import OP1_SQL, op1_url_filter
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_html_extract": op3_html_extract,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_hnsw_dedup": op5_hnsw_dedup,
     "op6_source_mixing": op6_source_mixing,
     "op7_token_counts": op7_token_counts,
     "op8_quality_rules": op8_quality_rules,

@@ -140,13 +140,14 @@ class FingerprintIndex:
         return found.groupBy("_id", "_th").agg(F.collect_set("fp").alias("fps"))
 
 
-_LOOKED = "_id long, _th int, _text string, fps array<long>, n_words long, kept_sha256 string"
+_LOOKED = "_id long, _th int, _text string, fps array<long>, n_words long, kept_sha256 string, _row {row}"
+_CUT = "_id long, _th int, n_words long, n_removed long, kept_sha256 string, kept_text string, _row {row}"
 _SEGMENT = "fp long, whole long, _id long, _th int, start int, n int, windows array<long>"
 
 
-def _look(text_for_all: bool):
+def _look(text_for_all: bool, ddl: str):
     """Finish rows without repeated fingerprints; pass the text of the others on."""
-    schema = schema_of(_LOOKED)
+    schema = schema_of(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "_text"):
@@ -158,7 +159,7 @@ def _look(text_for_all: bool):
                 n.append(len(ws))
                 sha.append(None if o else hashlib.sha256(b" ".join(ws)).hexdigest())
             keep = texts if text_for_all else pa.array([t if o else None for t, o in zip(texts.to_pylist(), open_, strict=True)], pa.string())
-            yield pa.record_batch([b.column("_id"), b.column("_th"), keep.cast(pa.string()), fps, pa.array(n, pa.int64()), pa.array(sha, pa.string())], schema=schema)
+            yield pa.record_batch([b.column("_id"), b.column("_th"), keep.cast(pa.string()), fps, pa.array(n, pa.int64()), pa.array(sha, pa.string()), b.column("_row").cast(schema.field("_row").type)], schema=schema)
 
     return run
 
@@ -224,8 +225,8 @@ def covered(n_words: int, spans: list[dict], words: int) -> np.ndarray:
     return np.cumsum(mark[:n_words]) > 0
 
 
-def _cut(words: int, with_text: bool):
-    schema = schema_of("_id long, _th int, n_words long, n_removed long, kept_sha256 string, kept_text string")
+def _cut(words: int, with_text: bool, ddl: str):
+    schema = schema_of(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "_text"):
@@ -239,7 +240,7 @@ def _cut(words: int, with_text: bool):
                 out[1].append(int(gone.sum()))
                 out[2].append(hashlib.sha256(b" ".join(kept)).hexdigest())
                 out[3].append(None if not with_text else t if not spans else remaining(raw, gone))
-            yield pa.record_batch([b.column("_id"), b.column("_th"), *(pa.array(x, k) for x, k in zip(out, (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True))], schema=schema)
+            yield pa.record_batch([b.column("_id"), b.column("_th"), *(pa.array(x, k) for x, k in zip(out, (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)), b.column("_row").cast(schema.field("_row").type)], schema=schema)
 
     return run
 
@@ -251,28 +252,32 @@ def remaining(raw: bytes, gone: np.ndarray) -> str:
     return b"".join(raw[a:z] for a, z, g in zip(w.start, stop, gone, strict=True) if not g).decode().rstrip(" \n\t")
 
 
-def dedup(docs: DataFrame, words: int = WORDS, gram: int = GRAM, batches: int = 2, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, words: int = WORDS, gram: int = GRAM, batches: int = 2, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """Remove each word covered by a window of ``words`` words that starts anywhere else as well.
 
     The documents enter the index in ``batches`` parts by id, as they would arrive over time. Returns id_col,
-    n_words, n_removed, kept_sha256, and with ``with_text`` also kept_text (null for null).
+    n_words, n_removed, kept_sha256; with ``carry`` also kept_text (null for null) and those columns.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "substrings")
-    d = documents(docs, id_col, text_col).withColumn("_th", F.hash("_text"))
+    row = F.struct(*(F.col(c) for c in carry)) if carry else F.lit(None).cast("boolean")
+    d = docs.withColumn("_row", row)
+    d = documents(d, id_col, text_col, "_row").withColumn("_th", F.hash("_text"))
+    kind = d.schema["_row"].dataType.simpleString()
     index, hits = FingerprintIndex(spark, scratch, words, gram), None
     for k in range(batches):
         new = index.add(d.where(F.pmod(F.xxhash64("_id"), F.lit(batches)) == k) if batches > 1 else d)
         hits = new if hits is None else hits.unionByName(new)
     rows = index.rows(hits.distinct())
-    looked = scratch.write(d.join(rows, ["_id", "_th"], "left").select("_id", "_th", "_text", "fps").mapInArrow(_look(with_text), _LOOKED), "looked")
+    looked, cut = _LOOKED.format(row=kind), _CUT.format(row=kind)
+    looked = scratch.write(d.join(rows, ["_id", "_th"], "left").select("_id", "_th", "_text", "fps", "_row").mapInArrow(_look(bool(carry), looked), looked), "looked")
     open_ = looked.where("fps IS NOT NULL")
     segments = scratch.write(open_.select("_id", "_th", "_text", "fps").mapInArrow(_segments(words, gram), _SEGMENT), "segments")
     spans = repeated_windows(segments, scratch)
-    cut = open_.select("_id", "_th", "_text").join(spans, ["_id", "_th"], "left").mapInArrow(_cut(words, with_text), "_id long, _th int, n_words long, n_removed long, kept_sha256 string, kept_text string")
-    done = looked.where("fps IS NULL").select("_id", "_th", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256", F.col("_text").alias("kept_text"))
-    out = cut.unionByName(done).select(public_id(id_col), "n_words", "n_removed", "kept_sha256", *(["kept_text", "_id", "_th"] if with_text else []))
-    return out
+    part = open_.select("_id", "_th", "_text", "_row").join(spans, ["_id", "_th"], "left").mapInArrow(_cut(words, bool(carry), cut), cut)
+    done = looked.where("fps IS NULL").select("_id", "_th", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256", F.col("_text").alias("kept_text"), "_row")
+    out = part.unionByName(done)
+    return out.select(public_id(id_col), "n_words", "n_removed", "kept_sha256", *(["kept_text", *(F.col("_row")[c].alias(c) for c in carry)] if carry else []))
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
