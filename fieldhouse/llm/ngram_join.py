@@ -30,9 +30,10 @@ from pyspark.sql import Window as W
 
 from .common import Scratch, Words, components, documents, filled, mix, public_id, schema_of, slices
 
-SKETCH_BITS, SLICE = 20, 1 << 14
+SKETCH_BITS, SLICE = 22, 1 << 15
 HOT = 5000
 SALTS = 64
+FILTER_BITS = 23
 
 
 def shingles(w: Words, k: int) -> Iterator[np.ndarray]:
@@ -59,35 +60,68 @@ def _counted(k: int):
             w = Words(filled(b, "_text"), lower=True)
             g = w.windows(k)[w.inside(k)]
             total += np.bincount((g >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total)).astype(np.uint32)
-        if total.any():
-            parts = total.reshape(-1, SLICE)
-            n = len(parts)
-            yield pa.record_batch([pa.array([TaskContext.get().partitionId()] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], schema=schema)
+        yield from _sliced(total, schema)
 
     return run
 
 
+def _sliced(total: np.ndarray, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    if total.any():
+        parts = np.minimum(total, 0xFFFF).astype(np.uint16).reshape(-1, SLICE)
+        n = len(parts)
+        yield pa.record_batch([pa.array([TaskContext.get().partitionId()] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], schema=schema)
+
+
 def _added(pdf: pd.DataFrame) -> pd.DataFrame:
     total = np.zeros(SLICE, np.uint32)
     for c in pdf["counts"]:
-        total += np.frombuffer(c, np.uint32)
-    return pd.DataFrame({"part": [0], "slice": [pdf["slice"].iloc[0]], "counts": [total.tobytes()]})
+        total += np.frombuffer(c, np.uint16)
+    return pd.DataFrame({"part": [0], "slice": [pdf["slice"].iloc[0]], "counts": [np.minimum(total, 0xFFFF).astype(np.uint16).tobytes()]})
 
 
-def sketch(docs: DataFrame, k: int) -> np.ndarray:
-    """Counts of shingles by the first ``SKETCH_BITS`` bits of their hash: 4 MB whatever the input. Any order is
-    right for the join; counts only make it cheap. Partial counts are added in two levels."""
+def _gathered(part: DataFrame, bits: int) -> np.ndarray:
+    """Partial counts added in two levels: 2**bits two-byte counts, whatever the input."""
     ddl = "part int, slice int, counts binary"
-    part = docs.select("_text").mapInArrow(_counted(k), ddl)
     part = part.groupBy("slice", F.pmod("part", F.lit(32)).alias("group")).applyInPandas(_added, ddl)
-    rows = part.groupBy("slice").applyInPandas(_added, ddl).collect()  # at most 64 rows of 64 kB
-    total = np.zeros(1 << SKETCH_BITS, np.uint32)
-    for r in rows:
-        total[r.slice * SLICE : (r.slice + 1) * SLICE] = np.frombuffer(r.counts, np.uint32)
+    total = np.zeros(1 << bits, np.uint16)
+    for r in part.groupBy("slice").applyInPandas(_added, ddl).collect():
+        total[r.slice * SLICE : (r.slice + 1) * SLICE] = np.frombuffer(r.counts, np.uint16)
     return total
 
 
-_SIGNED = "_id long, n int, d1 long, d2 long, p1 long, p2 long, prefix array<long>, hot array<long>"
+def sketch(docs: DataFrame, k: int) -> np.ndarray:
+    """Counts of shingles by the first bits of their hash: 8 MB whatever the input. Any order is right for the join;
+    counts only make it cheap."""
+    return _gathered(docs.select("_text").mapInArrow(_counted(k), "part int, slice int, counts binary"), SKETCH_BITS)
+
+
+def _place(ids: np.ndarray) -> np.ndarray:
+    return (mix(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+
+
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """A bit (packed, 1 MB whatever the input) for each hash of an id: rows without it need not be shuffled."""
+    schema = schema_of("part int, slice int, counts binary")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << FILTER_BITS, np.uint16)
+        for b in batches:
+            total[_place(b.column(0).to_numpy())] = 1
+        yield from _sliced(total, schema)
+
+    return np.packbits(_gathered(ids.select("_id").mapInArrow(run, "part int, slice int, counts binary"), FILTER_BITS) > 0)
+
+
+def _passing(bits):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.unpackbits(bits.value).view(bool)
+        for b in batches:
+            yield b.filter(pa.array(table[_place(b.column("_id").to_numpy())]))
+
+    return run
+
+
+_SIGNED = "_id long, _th long, n int, d1 long, d2 long, p1 long, p2 long, prefix array<long>, hot array<long>"
 
 
 def _digest(s: np.ndarray) -> tuple[int, int]:
@@ -111,98 +145,124 @@ def _signed(k: int, num: int, den: int, counts):
                 p, hot = s[first], often[first] > HOT
                 for c, v in zip(out, (n, *_digest(s), *_digest(p), p[~hot].view(np.int64), p[hot].view(np.int64)), strict=True):
                     c.append(v)
-            yield pa.record_batch([b.column("_id"), pa.array(out[0], pa.int32()), *(pa.array(c, pa.int64()) for c in out[1:5]), *(pa.array(c, pa.list_(pa.int64())) for c in out[5:])], schema=schema)
+            yield pa.record_batch([b.column("_id"), b.column("_th"), pa.array(out[0], pa.int32()), *(pa.array(c, pa.int64()) for c in out[1:5]), *(pa.array(c, pa.list_(pa.int64())) for c in out[5:])], schema=schema)
 
     return run
 
 
 def _sets(k: int):
-    schema = schema_of("_id long, d1 long, d2 long, items array<long>")
+    schema = schema_of("_id long, items array<long>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "_text"):
-            sets = list(shingles(Words(filled(b, "_text"), lower=True), k))
-            d = [_digest(s) for s in sets]
-            yield pa.record_batch([b.column("_id"), pa.array([x for x, _ in d], pa.int64()), pa.array([x for _, x in d], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], schema=schema)
+            sets = [x.view(np.int64) for x in shingles(Words(filled(b, "_text"), lower=True), k)]
+            yield pa.record_batch([b.column("_id"), pa.array(sets, pa.list_(pa.int64()))], schema=schema)
 
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Those of the pairs (a, b) that link, on their whole sets."""
+def _verified(pairs: DataFrame, docs: DataFrame, own: DataFrame, k: int, num: int, den: int, scratch: Scratch) -> DataFrame:
+    """Those of the pairs (a, b) that link, on the whole sets of the texts ``own`` (_id, _th) names.
+
+    Only texts of the pairs are shuffled, but for a few that a fixed-size filter lets pass.
+    """
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
+    bits = docs.sparkSession.sparkContext.broadcast(id_filter(ids))
+    near = docs.select("_id", "_th", "_text").mapInArrow(_passing(bits), "_id long, _th long, _text string")
+    wanted = own.select("_id", "_th").join(ids, "_id", "left_semi")
+    sets = near.join(wanted, ["_id", "_th"], "left_semi").select("_id", "_text").mapInArrow(_sets(k), "_id long, items array<long>")
+    sets = scratch.write(sets, "sets")
     both = (
         pairs.join(sets.select(F.col("_id").alias("b"), F.col("items").alias("ib")), "b")
         .join(sets.select(F.col("_id").alias("a"), F.col("items").alias("ia")), "a")
         .select("a", "b", F.size("ia").alias("na"), F.size("ib").alias("nb"), F.size(F.array_intersect("ia", "ib")).alias("both"))
     )
-    return both.where(F.lit(den).cast("long") * F.col("both") >= F.lit(num).cast("long") * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
+    return scratch.write(both.where(F.lit(den).cast("long") * F.col("both") >= F.lit(num).cast("long") * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b"), "links")
+
+
+def _n(np_: str):
+    return F.shiftright(np_, 32)
+
+
+def _pos(np_: str):
+    return F.shiftright(np_, 6).bitwiseAND(F.lit((1 << 26) - 1))
+
+
+def _sized(x: str, y: str, num: int, den: int):
+    return F.lit(den) * F.least(_n(x), _n(y)) >= F.lit(num) * F.greatest(_n(x), _n(y))
+
+
+def _reaches(na, nb, pa_, pb, num: int, den: int):
+    """Whether sets that meet first at these positions can still overlap enough."""
+    return F.lit(num + den) * (F.lit(1) + F.least(na - pa_ - 1, nb - pb - 1)) >= F.lit(num) * (na + nb)
 
 
 def link(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id_col, n_shingles, component_id (smallest id reachable by links, itself included)."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngrams")
-    d = documents(docs, id_col, text_col).select("_id", "_text")
+    d = documents(docs, id_col, text_col)
     counts = spark.sparkContext.broadcast(sketch(d, k))
     signed = scratch.write(d.mapInArrow(_signed(k, num, den, counts), _SIGNED), "signed")
 
-    same = ["n", "d1", "d2"]
+    same, group = ["n", "d1", "d2"], ["n", "p1", "p2"]
     classes = scratch.write(signed.where("n > 0").groupBy(*same).agg(F.min("_id").alias("_id")), "classes")
-    own = signed.where("n > 0").join(classes, [*same, "_id"], "left_semi").dropDuplicates(["_id", *same])
-    # an id that names two texts can be the smallest of two classes: the text decides, and both stay in one
-    group = ["n", "p1", "p2"]
-    own = scratch.write(own, "own")
+    # an id that names two texts can stand for two classes: both then share its component
+    own = scratch.write(signed.where("n > 0").select("_id", "_th", *same, "p1", "p2").join(classes, [*same, "_id"], "left_semi").select("_id", "_th", *group).distinct(), "own")
     groups = scratch.write(own.groupBy(*group).agg(F.min("_id").alias("gid")), "groups")
-    members = scratch.write(own.select("_id", *group).join(groups, group).select("_id", "gid", "n"), "members")
-    led = own.join(groups.select(*group, F.col("gid").alias("_id")), [*group, "_id"], "left_semi")
-    # posting lists, with hot shingles dealt over salts
-    lists = led.select(F.col("_id").alias("gid"), "n", F.posexplode("prefix").alias("pos", "h")).withColumn("salt", F.lit(0)).unionByName(
-        led.select(F.col("_id").alias("gid"), "n", F.posexplode("hot").alias("i", "h"), F.size("prefix").alias("before"))
-        .select("gid", "n", (F.col("i") + F.col("before")).alias("pos"), "h", (F.pmod(F.xxhash64("gid"), F.lit(SALTS - 1)) + 1).cast("int").alias("salt"))
-    )
-    near = W.partitionBy("h", "salt").orderBy("n", "gid")
-    seen = lists.select("*", F.lag("gid").over(near).alias("prev"), F.lead("gid").over(near).alias("next"), F.first("gid").over(near).alias("lead"))
-    lists = scratch.write(seen.where("prev IS NOT NULL OR next IS NOT NULL OR salt > 0"), "lists")
-    over = W.partitionBy("h").orderBy("salt")
-    across = lists.where("salt > 0 AND gid = lead").select("gid", F.lag("gid").over(over).alias("prev"))
+    members = scratch.write(own.select("_id", *group).join(groups, group).select("_id", "gid", "n").distinct(), "members")
+
+    # posting lists (h, gid, np): np holds the size, the position and, for hot shingles, a salt
+    led = signed.where("n > 0").join(groups.select(*group, F.col("gid").alias("_id")), [*group, "_id"], "left_semi").select(F.col("_id").alias("gid"), "n", "prefix", "hot")
+    salt = F.when(F.col("i") < F.size("prefix"), F.lit(0)).otherwise(F.pmod(F.xxhash64("gid"), F.lit(SALTS - 1)) + 1)
+    lists = led.select("gid", "n", "prefix", F.posexplode(F.concat("prefix", "hot")).alias("i", "h"))
+    lists = lists.select("h", "gid", (F.shiftleft(F.col("n").cast("long"), 32) + F.shiftleft(F.col("i").cast("long"), 6) + salt).alias("np"))
+    near = W.partitionBy("h", F.col("np").bitwiseAND(F.lit(SALTS - 1))).orderBy("np", "gid")
+    entry = F.struct("gid", "np")
+    lists = lists.select("*", F.lag(entry).over(near).alias("prev"), F.lead("gid").over(near).alias("next"), F.first(entry).over(near).alias("lead"))
+    salted = F.col("np").bitwiseAND(F.lit(SALTS - 1)) > 0
+    lists = scratch.write(lists.where(F.col("prev").isNotNull() | F.col("next").isNotNull() | salted), "lists")
+
+    # first try: neighbours and leaders of the lists, for each group the two it meets most often
+    met = lists.where("prev IS NOT NULL").select(F.explode(F.array_distinct(F.array("prev", "lead"))).alias("x"), F.col("gid").alias("b"), "np")
+    met = met.where((F.col("x.gid") != F.col("b")) & _sized("x.np", "np", num, den) & _reaches(_n("x.np"), _n("np"), _pos("x.np"), _pos("np"), num, den))
+    met = met.groupBy(F.col("x.gid").alias("a"), "b").count()
+    best = W.partitionBy("b").orderBy(F.desc("count"), "a")
+    met = met.withColumn("r", F.row_number().over(best)).where("r <= 2").select("a", "b")
+    over = W.partitionBy("h").orderBy("np", "gid")
+    heads = lists.where(salted & (F.col("gid") == F.col("lead.gid"))).select("h", "gid", "np")
+    across = heads.select(F.lag("gid").over(over).alias("a"), F.col("gid").alias("b")).where("a IS NOT NULL AND a <> b")
     kin = W.partitionBy("gid").orderBy("_id")
     inside = members.where("_id <> gid").select(F.col("gid").alias("a"), F.col("_id").alias("b"))
-    inside = inside.unionByName(members.select(F.col("_id").alias("a"), F.lead("_id").over(kin).alias("b")))
-    tried = lists.select(F.explode(F.array("prev", "lead")).alias("a"), F.col("gid").alias("b")).unionByName(across.select(F.col("prev").alias("a"), F.col("gid").alias("b"))).unionByName(inside)
-    tried = scratch.write(tried.where("a IS NOT NULL AND a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "tried")
-    sizes = members.select("_id", "n")
-    fits = tried.join(sizes.select(F.col("_id").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("_id").alias("b"), F.col("n").alias("nb")), "b")
-    fits = fits.where(F.lit(den) * F.least("na", "nb") >= F.lit(num) * F.greatest("na", "nb")).select("a", "b")
-
-    wanted = lists.select("gid").distinct().join(members.select("_id", "gid"), "gid").select("_id").unionByName(inside.where("b IS NOT NULL").select(F.explode(F.array("a", "b")).alias("_id"))).distinct()
-    sets = d.join(wanted, "_id", "left_semi").mapInArrow(_sets(k), "_id long, d1 long, d2 long, items array<long>")
-    sets = scratch.write(sets.join(own.select("_id", "d1", "d2"), ["_id", "d1", "d2"], "left_semi").dropDuplicates(["_id", "d1", "d2"]).select("_id", "items"), "sets")
-
-    links = scratch.write(_verified(fits, sets, num, den), "links")
+    inside = inside.unionByName(members.select(F.col("_id").alias("a"), F.lead("_id").over(kin).alias("b")).where("b IS NOT NULL"))
+    tried = met.unionByName(across).unionByName(inside).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    tried = scratch.write(tried, "tried")
+    links = _verified(tried, d, own, k, num, den, scratch)
     parts = components(links, scratch)
-    # what is still apart though it shares a list
-    of = members.join(parts.withColumnRenamed("node", "_id"), "_id", "left").select("_id", "gid", F.coalesce("component", "_id").alias("c"))
-    of = scratch.write(of, "of")
+
+    # then: whatever is still apart though it shares a list
+    of = scratch.write(members.join(parts.withColumnRenamed("node", "_id"), "_id", "left").select("_id", "gid", F.coalesce("component", "_id").alias("c")), "of")
     span = of.groupBy("gid").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
-    posted = scratch.write(lists.select("h", "gid", "n", "pos").join(span, "gid"), "posted")
+    posted = scratch.write(lists.select("h", "gid", "np").join(span, "gid"), "posted")
     open_ = posted.groupBy("h").agg(F.min("lo").alias("l"), F.max("hi").alias("g")).where("l < g").select("h")
-    posted = posted.join(open_, "h", "left_semi")
+    posted = scratch.write(posted.join(open_, "h", "left_semi"), "open")
     x, y = posted.alias("x"), posted.alias("y")
-    short, long_ = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
-    most = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
     apart = (F.col("x.lo") != F.col("x.hi")) | (F.col("y.lo") != F.col("y.hi")) | (F.col("x.lo") != F.col("y.lo"))
-    reach = (F.lit(num + den) * (F.least("x.pos", "y.pos") + most)) >= F.lit(num) * (F.col("x.n") + F.col("y.n"))
-    pairs = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.gid") < F.col("y.gid")) & (F.lit(den) * short >= F.lit(num) * long_) & apart & reach)
-    pairs = pairs.select(F.col("x.gid").alias("ga"), F.col("y.gid").alias("gb")).distinct()
+    smaller = (F.col("x.np") < F.col("y.np")) | ((F.col("x.np") == F.col("y.np")) & (F.col("x.gid") < F.col("y.gid")))
+    # the smaller set meets a larger one within a shorter prefix: n - ceil(2t / (1 + t) * n) + 1
+    short = F.lit(num + den) * (_n("x.np") - _pos("x.np")) >= F.lit(2 * num) * _n("x.np")
+    pairs = x.join(y, (F.col("x.h") == F.col("y.h")) & smaller & _sized("x.np", "y.np", num, den) & short & apart)
+    pairs = pairs.groupBy(F.col("x.gid").alias("ga"), F.col("y.gid").alias("gb")).agg(F.min("x.np").alias("pa"), F.min("y.np").alias("pb"))
+    pairs = pairs.where(_reaches(_n("pa"), _n("pb"), _pos("pa"), _pos("pb"), num, den)).select("ga", "gb")
     ma, mb = of.select(F.col("gid").alias("ga"), F.col("_id").alias("a"), F.col("c").alias("ca")), of.select(F.col("gid").alias("gb"), F.col("_id").alias("b"), F.col("c").alias("cb"))
     rest = pairs.join(ma, "ga").join(mb, "gb").where("ca <> cb").select("a", "b")
-    split = span.where("lo < hi").select("gid")
-    mine = of.join(split, "gid", "left_semi")
+    mine = of.join(span.where("lo < hi").select("gid"), "gid", "left_semi")
     rest = rest.unionByName(mine.alias("p").join(mine.alias("q"), (F.col("p.gid") == F.col("q.gid")) & (F.col("p._id") < F.col("q._id")) & (F.col("p.c") != F.col("q.c"))).select(F.col("p._id").alias("a"), F.col("q._id").alias("b")))
-    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = scratch.write(_verified(scratch.write(rest, "rest"), sets, num, den), "more")
-    if not more.isEmpty():
-        parts = components(links.unionByName(more), scratch)
+    rest = scratch.write(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "rest")
+    if not rest.isEmpty():
+        more = _verified(rest, d, own, k, num, den, scratch)
+        if not more.isEmpty():
+            parts = components(links.unionByName(more), scratch)
 
     to = scratch.write(classes.join(parts.withColumnRenamed("node", "_id"), "_id", "left").select(*same, F.coalesce("component", "_id").alias("component")), "to")
     empty = signed.where("n = 0").select(public_id(id_col), F.lit(0).cast("long").alias("n_shingles"), public_id("component_id"))
