@@ -99,31 +99,30 @@ def running(df: DataFrame, key: str, order: list[Column], weight: Column, n_salt
 # ---------------------------------------------------------------- connected components
 
 
+#: a side of a join is broadcast if it has at most so many rows of two longs (a few MB); else Spark shuffles it
+SMALL_ROWS = 200_000
+
+
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b: long); component is the smallest node reachable.
 
     Randomised contraction: each round every node moves to the neighbour (itself included) with the smallest
-    salted hash, the edges follow, loops and repeats go. A round removes a constant share of the nodes on
-    average, so rounds grow with the logarithm of the largest component. Nothing is collected but a row count.
+    salted hash, the edges follow, loops go. A round removes a constant share of the nodes on average, so rounds
+    grow with the logarithm of the largest component. Nothing is collected but row counts.
     """
     e = scratch.write(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    first, moves, rounds = e, [], 0
+    first, moves = e, []
     while not e.isEmpty():
-        rounds += 1
-        rank = lambda c: F.struct(F.xxhash64(F.lit(rounds * 7919), c).alias("r"), c.alias("v"))
+        salt = F.lit(len(moves) * 7919)
+        rank = lambda c: F.struct(F.xxhash64(salt, c).alias("r"), c.alias("v"))
         ends = e.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("x"))
         move = ends.groupBy(F.col("x.a").alias("node")).agg(F.min(rank(F.col("x.b"))).alias("m"))
-        move = move.select("node", F.least(F.col("m"), rank(F.col("node")))["v"].alias("to"))
-        move = scratch.write(move, "moves")
+        move = scratch.write(move.select("node", F.least(F.col("m"), rank(F.col("node")))["v"].alias("to")), "moves")
+        move = F.broadcast(move) if move.count() <= SMALL_ROWS else move
         moves.append(move)
-        e = (
-            e.join(move.select(F.col("node").alias("a"), F.col("to").alias("ta")), "a")
-            .join(move.select(F.col("node").alias("b"), F.col("to").alias("tb")), "b")
-            .where("ta <> tb")
-            .select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b"))
-            .distinct()
-        )
-        e = scratch.write(e, "edges")
+        e = e.join(move.select(F.col("node").alias("a"), F.col("to").alias("ta")), "a").join(move.select(F.col("node").alias("b"), F.col("to").alias("tb")), "b")
+        e = e.where("ta <> tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b"))
+        e = scratch.write(e.distinct() if len(moves) == 1 else e, "edges")
     if not moves:
         return first.select(F.col("a").alias("node"), F.col("a").alias("component"))
     label = moves[0].select("node", F.col("to").alias("root"))

@@ -95,30 +95,19 @@ def sketch(docs: DataFrame, k: int) -> np.ndarray:
     return _gathered(docs.select("_text").mapInArrow(_counted(k), "part int, slice int, counts binary"), SKETCH_BITS)
 
 
-def _place(ids: np.ndarray) -> np.ndarray:
-    return (mix(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+def _bit(id_: str):
+    return F.pmod(F.xxhash64(id_), F.lit(1 << FILTER_BITS)) + 1
 
 
-def id_filter(ids: DataFrame) -> np.ndarray:
-    """A bit (packed, 1 MB whatever the input) for each hash of an id: rows without it need not be shuffled."""
-    schema = schema_of("part int, slice int, counts binary")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << FILTER_BITS, np.uint16)
-        for b in batches:
-            total[_place(b.column(0).to_numpy())] = 1
-        yield from _sliced(total, schema)
-
-    return np.packbits(_gathered(ids.select("_id").mapInArrow(run, "part int, slice int, counts binary"), FILTER_BITS) > 0)
-
-
-def _passing(bits):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.unpackbits(bits.value).view(bool)
-        for b in batches:
-            yield b.filter(pa.array(table[_place(b.column("_id").to_numpy())]))
-
-    return run
+def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose _id may be in ``ids``: a bitmap of hashes, 1 MB in 256 rows whatever the input, is
+    broadcast, so that the other rows need not be shuffled."""
+    bits = ids.select(F.bitmap_bucket_number(_bit("_id")).alias("_bucket"), F.bitmap_bit_position(_bit("_id")).alias("p"))
+    bits = F.broadcast(bits.groupBy("_bucket").agg(F.bitmap_construct_agg("p").alias("_bits")))
+    d = docs.withColumn("_bucket", F.bitmap_bucket_number(_bit("_id"))).join(bits, "_bucket")
+    place = F.bitmap_bit_position(_bit("_id"))
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return d.where(byte.bitwiseAND(F.pow(F.lit(2), place % 8).cast("int")) > 0).select(*docs.columns)
 
 
 _SIGNED = "_id long, _th long, n int, d1 long, d2 long, p1 long, p2 long, prefix array<long>, hot array<long>"
@@ -166,11 +155,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, own: DataFrame, k: int, num: in
 
     Only texts of the pairs are shuffled, but for a few that a fixed-size filter lets pass.
     """
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
-    bits = docs.sparkSession.sparkContext.broadcast(id_filter(ids))
-    near = docs.select("_id", "_th", "_text").mapInArrow(_passing(bits), "_id long, _th long, _text string")
+    ids = scratch.write(pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct(), "ids")
     wanted = own.select("_id", "_th").join(ids, "_id", "left_semi")
-    sets = near.join(wanted, ["_id", "_th"], "left_semi").select("_id", "_text").mapInArrow(_sets(k), "_id long, items array<long>")
+    sets = only(docs.select("_id", "_th", "_text"), ids).join(wanted, ["_id", "_th"], "left_semi").select("_id", "_text").mapInArrow(_sets(k), "_id long, items array<long>")
     sets = scratch.write(sets, "sets")
     both = (
         pairs.join(sets.select(F.col("_id").alias("b"), F.col("items").alias("ib")), "b")
@@ -217,7 +204,8 @@ def link(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, id_col: str
     salt = F.when(F.col("i") < F.size("prefix"), F.lit(0)).otherwise(F.pmod(F.xxhash64("gid"), F.lit(SALTS - 1)) + 1)
     lists = led.select("gid", "n", "prefix", F.posexplode(F.concat("prefix", "hot")).alias("i", "h"))
     lists = lists.select("h", "gid", (F.shiftleft(F.col("n").cast("long"), 32) + F.shiftleft(F.col("i").cast("long"), 6) + salt).alias("np"))
-    near = W.partitionBy("h", F.col("np").bitwiseAND(F.lit(SALTS - 1))).orderBy("np", "gid")
+    # the set that has a shingle earliest has fewest that are rarer: it is the most central of the list, and leads it
+    near = W.partitionBy("h", F.col("np").bitwiseAND(F.lit(SALTS - 1))).orderBy(_pos("np"), "np", "gid")
     entry = F.struct("gid", "np")
     lists = lists.select("*", F.lag(entry).over(near).alias("prev"), F.lead("gid").over(near).alias("next"), F.first(entry).over(near).alias("lead"))
     salted = F.col("np").bitwiseAND(F.lit(SALTS - 1)) > 0
@@ -229,7 +217,7 @@ def link(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, id_col: str
     met = met.groupBy(F.col("x.gid").alias("a"), "b").count()
     best = W.partitionBy("b").orderBy(F.desc("count"), "a")
     met = met.withColumn("r", F.row_number().over(best)).where("r <= 2").select("a", "b")
-    over = W.partitionBy("h").orderBy("np", "gid")
+    over = W.partitionBy("h").orderBy(_pos("np"), "np", "gid")
     heads = lists.where(salted & (F.col("gid") == F.col("lead.gid"))).select("h", "gid", "np")
     across = heads.select(F.lag("gid").over(over).alias("a"), F.col("gid").alias("b")).where("a IS NOT NULL AND a <> b")
     kin = W.partitionBy("gid").orderBy("_id")
@@ -251,9 +239,10 @@ def link(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, id_col: str
     smaller = (F.col("x.np") < F.col("y.np")) | ((F.col("x.np") == F.col("y.np")) & (F.col("x.gid") < F.col("y.gid")))
     # the smaller set meets a larger one within a shorter prefix: n - ceil(2t / (1 + t) * n) + 1
     short = F.lit(num + den) * (_n("x.np") - _pos("x.np")) >= F.lit(2 * num) * _n("x.np")
-    pairs = x.join(y, (F.col("x.h") == F.col("y.h")) & smaller & _sized("x.np", "y.np", num, den) & short & apart)
-    pairs = pairs.groupBy(F.col("x.gid").alias("ga"), F.col("y.gid").alias("gb")).agg(F.min("x.np").alias("pa"), F.min("y.np").alias("pb"))
-    pairs = pairs.where(_reaches(_n("pa"), _n("pb"), _pos("pa"), _pos("pb"), num, den)).select("ga", "gb")
+    # a pair that links passes this in the list of the first shingle it shares
+    reach = _reaches(_n("x.np"), _n("y.np"), _pos("x.np"), _pos("y.np"), num, den)
+    pairs = x.join(y, (F.col("x.h") == F.col("y.h")) & smaller & _sized("x.np", "y.np", num, den) & short & reach & apart)
+    pairs = pairs.select(F.col("x.gid").alias("ga"), F.col("y.gid").alias("gb")).distinct()
     ma, mb = of.select(F.col("gid").alias("ga"), F.col("_id").alias("a"), F.col("c").alias("ca")), of.select(F.col("gid").alias("gb"), F.col("_id").alias("b"), F.col("c").alias("cb"))
     rest = pairs.join(ma, "ga").join(mb, "gb").where("ca <> cb").select("a", "b")
     mine = of.join(span.where("lo < hi").select("gid"), "gid", "left_semi")
