@@ -212,7 +212,7 @@ def wide(games: DataFrame, features: DataFrame) -> DataFrame:
 def player_state(players: DataFrame, stats: list[str], n: int = 10) -> DataFrame:
     """Means of a player's last n rows of earlier dates."""
     d = players.withColumn("completed", F.lit(True))
-    f = as_of(d, {**{f"avg_{s}": (n, mean(s)) for s in stats}, "n_games": (n, count())}, ("player_id",), ("date", "game_id", "seq"))
+    f = as_of(d, {**{f"avg_{s}": (n, mean(s)) for s in stats}, "n_games": (n, count())}, ("player_id",), ("date", "game_id", "seq", *stats))
     return f.drop("completed")
 
 

@@ -88,7 +88,7 @@ def registry_problems(registry: DataFrame, keys: list[str], providers: list[str]
 
 def coverage_matrix(df: DataFrame, kind: str, season: str, seasons: list[int]) -> DataFrame:
     """Rows per kind and season, seasons as columns."""
-    return df.groupBy(kind).pivot(season, seasons).agg(F.count("*")).na.fill(0)
+    return df.groupBy(kind).pivot(season, seasons).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def blend(rows: DataFrame, key: str, provider: str, fields: list[str], priority: dict[str, list[str]]) -> DataFrame:

@@ -73,17 +73,17 @@ def ema_rate(df: DataFrame, keys: list[str], order: list[Column], value: str, ha
     return d.groupBy(*keys).agg((F.sum(F.col("_w") * F.col(value)) / F.sum("_w")).alias("ema"), F.count("*").alias("n"))
 
 
-def field_ranks(df: DataFrame, group: str, value: str, tie: str) -> DataFrame:
+def field_ranks(df: DataFrame, group: str, value: str, tie: list[str]) -> DataFrame:
     """Rank, share of the field beaten and distance to its mean."""
     w = W.partitionBy(group)
-    o = w.orderBy(F.desc(value), tie)
+    o = w.orderBy(F.desc(value), *tie)
     return df.select(*df.columns, F.row_number().over(o).alias("field_rank"), F.count("*").over(w).alias("field_size"), F.percent_rank().over(w.orderBy(value)).alias("beaten"), (F.col(value) - F.avg(value).over(w)).alias("vs_field"))
 
 
-def top_overlap(df: DataFrame, group: str, predicted: str, actual: str, tie: str, n: int) -> DataFrame:
+def top_overlap(df: DataFrame, group: str, predicted: str, actual: str, tie: list[str], n: int) -> DataFrame:
     """Share of the actual top n that the predicted top n holds, per group."""
     w = W.partitionBy(group)
-    d = df.select(group, F.row_number().over(w.orderBy(F.desc(predicted), tie)).alias("p"), F.row_number().over(w.orderBy(F.desc(actual), tie)).alias("a"))
+    d = df.select(group, F.row_number().over(w.orderBy(F.desc(predicted), *tie, actual)).alias("p"), F.row_number().over(w.orderBy(F.desc(actual), *tie, predicted)).alias("a"))
     hit = F.count_if((F.col("p") <= n) & (F.col("a") <= n))
     return d.groupBy(group).agg(hit.alias("hits"), (hit / F.least(F.count("*"), F.lit(n))).alias("recall"))
 

@@ -243,9 +243,9 @@ def _(t):
     return Q.vendor_coverage(t.base("documents").select("lang", "source"), "source", "lang", ["src0", "src1", "srcX"])
 
 
-@query("l10_coverage_matrix", "SELECT sport, " + ", ".join(f"count(CASE WHEN season = {y} THEN 1 END) AS \"{y}\"" for y in range(1992, 1999)) + " FROM games GROUP BY 1")
+@query("l10_coverage_matrix", "SELECT sport, " + ", ".join(f"count(CASE WHEN season = {y} THEN 1 END) AS \"{y}\"" for y in range(1995, 2002)) + " FROM games GROUP BY 1")
 def _(t):
-    return Q.coverage_matrix(t.games, "sport", "season", list(range(1992, 1999)))
+    return Q.coverage_matrix(t.games, "sport", "season", list(range(1995, 2002)))
 
 
 @query(

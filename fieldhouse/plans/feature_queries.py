@@ -93,7 +93,7 @@ def _(t):
     return rounded(asof.scoring(t.games))
 
 
-@query("i18_trend_slope", f"WITH {PAST} SELECT {KEY}, round(coalesce(regr_slope(pf - pa, CAST(-k AS DOUBLE)), 0), 6) + 0.0 AS slope FROM past WHERE k <= 10 GROUP BY {KEY}")
+@query("i18_trend_slope", f"WITH {PAST} SELECT {KEY}, round(CASE WHEN count(pg) > 1 THEN regr_slope(pf - pa, CAST(-k AS DOUBLE)) ELSE 0 END, 6) + 0.0 AS slope FROM past WHERE k <= 10 GROUP BY {KEY}")
 def _(t):
     return rounded(asof.trend_slope(t.games))
 
@@ -143,10 +143,10 @@ def _(t):
     return asof.star_absence(t.player_stats, asof.stars(t.player_stats)).select("game_id", "player_id", "season", "team_id")
 
 
-@query("i26_player_state", "WITH p AS (SELECT t.player_id, t.game_id, t.seq, p.pts, p.reb, row_number() OVER (PARTITION BY t.player_id, t.game_id, t.seq ORDER BY p.date DESC, p.game_id DESC, p.seq DESC) AS k FROM player_stats t LEFT JOIN player_stats p ON p.player_id = t.player_id AND p.date < t.date) SELECT player_id, game_id, seq, round(avg(pts), 6) AS avg_pts, round(avg(reb), 6) AS avg_reb, count(pts) AS n FROM p WHERE k <= 10 GROUP BY 1, 2, 3")
+@query("i26_player_state", "WITH p AS (SELECT t.player_id, t.game_id, t.seq, p.pts, p.reb, row_number() OVER (PARTITION BY t.player_id, t.game_id, t.seq ORDER BY p.date DESC, p.game_id DESC, p.seq DESC, p.pts DESC, p.reb DESC) AS k FROM (SELECT DISTINCT player_id, game_id, seq, date FROM player_stats) t LEFT JOIN player_stats p ON p.player_id = t.player_id AND p.date < t.date) SELECT player_id, game_id, seq, round(avg(pts), 6) AS avg_pts, round(avg(reb), 6) AS avg_reb, count(pts) AS n FROM p WHERE k <= 10 GROUP BY 1, 2, 3")
 def _(t):
     d = asof.player_state(t.player_stats, ["pts", "reb"])
-    return rounded(d.select("player_id", "game_id", "seq", "avg_pts", "avg_reb", F.coalesce("n_games", F.lit(0)).alias("n")))
+    return rounded(d.select("player_id", "game_id", "seq", "avg_pts", "avg_reb", F.coalesce("n_games", F.lit(0)).alias("n")).distinct())
 
 
 @query(

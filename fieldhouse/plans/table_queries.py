@@ -441,9 +441,9 @@ def _(t):
     return windows.streaks(G.team_games(t.games).where("status = 'final'"), "team_id", ["date", "game_id"], "win").select("team_id", "game_id", "streak")
 
 
-@query("f9_rolling_slope", "WITH d AS (SELECT player_id, game_id, seq, date, pts, CAST(row_number() OVER (PARTITION BY player_id ORDER BY date, game_id, seq) AS DOUBLE) AS i FROM player_stats) SELECT player_id, game_id, seq, round(regr_slope(pts, i) OVER (PARTITION BY player_id ORDER BY date, game_id, seq ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 6) + 0.0 AS slope FROM d")
+@query("f9_rolling_slope", "WITH d AS (SELECT player_id, game_id, seq, date, pts, reb, CAST(row_number() OVER (PARTITION BY player_id ORDER BY date, game_id, seq, pts, reb) AS DOUBLE) AS i FROM player_stats) SELECT player_id, game_id, seq, round(CASE WHEN count(*) OVER w > 1 THEN regr_slope(pts, i) OVER w END, 6) + 0.0 AS slope FROM d WINDOW w AS (PARTITION BY player_id ORDER BY date, game_id, seq, pts, reb ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)")
 def _(t):
-    return rounded(windows.rolling_slope(t.player_stats, "player_id", ["date", "game_id", "seq"], "pts", 5).select("player_id", "game_id", "seq", "slope"))
+    return rounded(windows.rolling_slope(t.player_stats, "player_id", ["date", "game_id", "seq", "pts", "reb"], "pts", 5).select("player_id", "game_id", "seq", "slope"))
 
 
 @query("f10_recent_counts", f"WITH {TG} SELECT team_id, game_id, count(*) OVER (PARTITION BY team_id ORDER BY date RANGE BETWEEN INTERVAL 7 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING) AS last_7d, count(*) OVER (PARTITION BY team_id ORDER BY date RANGE BETWEEN INTERVAL 14 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING) AS last_14d, count(*) OVER (PARTITION BY team_id ORDER BY date RANGE BETWEEN INTERVAL 30 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING) AS last_30d FROM tg")
@@ -451,31 +451,31 @@ def _(t):
     return windows.recent_counts(G.team_games(t.games), "team_id").select("team_id", "game_id", "last_7d", "last_14d", "last_30d")
 
 
-@query("f11_rest_days", "SELECT player_id, game_id, seq, CAST(coalesce(least(date_diff('day', lag(date) OVER (PARTITION BY player_id ORDER BY date, game_id, seq), date), 14), 7) AS INT) AS rest_days FROM player_stats")
+@query("f11_rest_days", "SELECT player_id, game_id, seq, CAST(coalesce(least(date_diff('day', lag(date) OVER (PARTITION BY player_id ORDER BY date, game_id, seq, pts, reb), date), 14), 7) AS INT) AS rest_days FROM player_stats")
 def _(t):
-    return windows.days_since(t.player_stats, "player_id", ["game_id", "seq"]).select("player_id", "game_id", "seq", "rest_days")
+    return windows.days_since(t.player_stats, "player_id", ["game_id", "seq", "pts", "reb"]).select("player_id", "game_id", "seq", "rest_days")
 
 
 @query(
     "f12_shifted_stats",
-    """WITH d AS (SELECT player_id, game_id, seq, date, pts, lag(pts) OVER w AS last, avg(pts) OVER (w ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS m5, max(pts) OVER (w ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS x5, avg(pts) OVER (w ROWS BETWEEN 15 PRECEDING AND 1 PRECEDING) AS m15,
-  coalesce(stddev_samp(pts) OVER (w ROWS BETWEEN 15 PRECEDING AND 1 PRECEDING), 0) AS s15 FROM player_stats WINDOW w AS (PARTITION BY player_id ORDER BY date, game_id, seq)),
- a AS (SELECT *, coalesce(sum(CASE WHEN round(pts - m15, 9) > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY player_id ORDER BY date, game_id, seq ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), 0) AS above FROM d)
+    """WITH d AS (SELECT player_id, game_id, seq, date, pts, reb, lag(pts) OVER w AS last, avg(pts) OVER (w ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS m5, max(pts) OVER (w ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS x5, avg(pts) OVER (w ROWS BETWEEN 15 PRECEDING AND 1 PRECEDING) AS m15,
+  coalesce(stddev_samp(pts) OVER (w ROWS BETWEEN 15 PRECEDING AND 1 PRECEDING), 0) AS s15 FROM player_stats WINDOW w AS (PARTITION BY player_id ORDER BY date, game_id, seq, pts, reb)),
+ a AS (SELECT *, coalesce(sum(CASE WHEN round(pts - m15, 9) > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY player_id ORDER BY date, game_id, seq, pts, reb ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), 0) AS above FROM d)
  SELECT player_id, game_id, seq, last, round(m5, 6) AS mean_5, x5 AS max_5, round(m15, 6) AS mean_15, round(s15, 6) AS std_15, round(m5 - m15, 6) + 0.0 AS trend, CAST(above AS BIGINT) AS above_5 FROM a""",
 )
 def _(t):
-    d = windows.shifted_stats(t.player_stats, "player_id", ["date", "game_id", "seq"], "pts")
+    d = windows.shifted_stats(t.player_stats, "player_id", ["date", "game_id", "seq", "pts", "reb"], "pts")
     return rounded(d.select("player_id", "game_id", "seq", "last", "mean_5", "max_5", "mean_15", "std_15", "trend", "above_5"))
 
 
-@query("f15_field_ranks", "SELECT game_id, player_id, seq, CAST(row_number() OVER (PARTITION BY game_id ORDER BY pts DESC, seq) AS INT) AS field_rank, count(*) OVER (PARTITION BY game_id) AS field_size, round(percent_rank() OVER (PARTITION BY game_id ORDER BY pts), 6) AS beaten, round(pts - avg(pts) OVER (PARTITION BY game_id), 6) + 0.0 AS vs_field FROM player_stats")
+@query("f15_field_ranks", "SELECT game_id, player_id, seq, CAST(row_number() OVER (PARTITION BY game_id ORDER BY pts DESC, player_id, seq) AS INT) AS field_rank, count(*) OVER (PARTITION BY game_id) AS field_size, round(percent_rank() OVER (PARTITION BY game_id ORDER BY pts), 6) AS beaten, round(pts - avg(pts) OVER (PARTITION BY game_id), 6) + 0.0 AS vs_field FROM player_stats")
 def _(t):
-    return rounded(windows.field_ranks(t.player_stats.select("game_id", "player_id", "seq", "pts"), "game_id", "pts", "seq").drop("pts"))
+    return rounded(windows.field_ranks(t.player_stats.select("game_id", "player_id", "seq", "pts"), "game_id", "pts", ["player_id", "seq"]).drop("pts"))
 
 
-@query("f16_top_overlap", "WITH r AS (SELECT game_id, row_number() OVER (PARTITION BY game_id ORDER BY minutes DESC, seq) AS p, row_number() OVER (PARTITION BY game_id ORDER BY reb DESC, seq) AS a FROM player_stats) SELECT game_id, count(CASE WHEN p <= 2 AND a <= 2 THEN 1 END) AS hits, round(count(CASE WHEN p <= 2 AND a <= 2 THEN 1 END) / least(count(*), 2), 6) AS recall FROM r GROUP BY 1")
+@query("f16_top_overlap", "WITH r AS (SELECT game_id, row_number() OVER (PARTITION BY game_id ORDER BY minutes DESC, player_id, seq, reb) AS p, row_number() OVER (PARTITION BY game_id ORDER BY reb DESC, player_id, seq, minutes) AS a FROM player_stats) SELECT game_id, count(CASE WHEN p <= 2 AND a <= 2 THEN 1 END) AS hits, round(count(CASE WHEN p <= 2 AND a <= 2 THEN 1 END) / least(count(*), 2), 6) AS recall FROM r GROUP BY 1")
 def _(t):
-    return rounded(windows.top_overlap(t.player_stats, "game_id", "minutes", "reb", "seq", 2))
+    return rounded(windows.top_overlap(t.player_stats, "game_id", "minutes", "reb", ["player_id", "seq"], 2))
 
 
 @query("f17_line_movement", "WITH d AS (SELECT game_id, bookmaker, arg_min(total_line, (ts, seq, tie)) AS o, arg_max(total_line, (ts, seq, tie)) AS c, max(total_line) - min(total_line) AS r, count(*) AS ticks FROM odds GROUP BY 1, 2) SELECT game_id, bookmaker, o AS open, c AS close, c - o AS move, r AS range, ticks, CASE WHEN abs(c - o) >= 10 THEN 'steam' WHEN abs(c - o) >= 3 THEN 'drift' WHEN r >= 10 THEN 'volatile' ELSE 'stable' END AS regime FROM d")
