@@ -33,12 +33,21 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-        self.n = 0
+        self.n, self.tables = 0, []
 
     def write(self, df: DataFrame, name: str = "t") -> DataFrame:
         path = self.path(name)
         df.write.option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.tables.append((out, path))
+        return out
+
+    def keep_only(self, *needed: DataFrame) -> None:
+        """Delete all tables written so far but the given ones; whatever reads the others must be written itself."""
+        for df, path in self.tables:
+            if not any(df is k for k in needed):
+                self.drop(path)
+        self.tables = [t for t in self.tables if any(t[0] is k for k in needed)]
 
     def path(self, name: str) -> str:
         self.n += 1

@@ -164,7 +164,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, own: DataFrame, k: int, num: in
         .join(sets.select(F.col("_id").alias("a"), F.col("items").alias("ia")), "a")
         .select("a", "b", F.size("ia").alias("na"), F.size("ib").alias("nb"), F.size(F.array_intersect("ia", "ib")).alias("both"))
     )
-    return scratch.write(both.where(F.lit(den).cast("long") * F.col("both") >= F.lit(num).cast("long") * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b"), "links")
+    before = [t for t, _ in scratch.tables if t is not ids and t is not sets]
+    links = scratch.write(both.where(F.lit(den).cast("long") * F.col("both") >= F.lit(num).cast("long") * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b"), "links")
+    scratch.keep_only(*before, links)
+    return links
 
 
 def _n(np_: str):
@@ -254,6 +257,7 @@ def link(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, id_col: str
             parts = components(links.unionByName(more), scratch)
 
     to = scratch.write(classes.join(parts.withColumnRenamed("node", "_id"), "_id", "left").select(*same, F.coalesce("component", "_id").alias("component")), "to")
+    scratch.keep_only(signed, to)
     empty = signed.where("n = 0").select(public_id(id_col), F.lit(0).cast("long").alias("n_shingles"), public_id("component_id"))
     full = signed.where("n > 0").select("_id", *same).join(to, same)
     return full.select(public_id(id_col), F.col("n").cast("long").alias("n_shingles"), public_id("component_id", "component")).unionByName(empty)

@@ -126,10 +126,15 @@ class FingerprintIndex:
         for name, _ in self.runs:
             merged = self.spark.table(name) if merged is None else merged.unionByName(self.spark.table(name))
         new = self._write(merged)
+        self.close()
+        self.runs = [new]
+
+    def close(self) -> None:
+        """Delete the runs."""
         for name, path in self.runs:
             self.spark.sql(f"DROP TABLE {name}")
             self.scratch.drop(path)
-        self.runs = [new]
+        self.runs = []
 
     def rows(self, hits: DataFrame) -> DataFrame:
         """(_id, _th, fps): the repeated fingerprints of each row that has any."""
@@ -271,9 +276,12 @@ def dedup(docs: DataFrame, words: int = WORDS, gram: int = GRAM, batches: int =
     rows = index.rows(hits.distinct())
     looked, cut = _LOOKED.format(row=kind), _CUT.format(row=kind)
     looked = scratch.write(d.join(rows, ["_id", "_th"], "left").select("_id", "_th", "_text", "fps", "_row").mapInArrow(_look(bool(carry), looked), looked), "looked")
+    index.close()
+    scratch.keep_only(looked)
     open_ = looked.where("fps IS NOT NULL")
     segments = scratch.write(open_.select("_id", "_th", "_text", "fps").mapInArrow(_segments(words, gram), _SEGMENT), "segments")
-    spans = repeated_windows(segments, scratch)
+    spans = scratch.write(repeated_windows(segments, scratch), "spans")
+    scratch.keep_only(looked, spans)
     part = open_.select("_id", "_th", "_text", "_row").join(spans, ["_id", "_th"], "left").mapInArrow(_cut(words, bool(carry), cut), cut)
     done = looked.where("fps IS NULL").select("_id", "_th", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256", F.col("_text").alias("kept_text"), "_row")
     out = part.unionByName(done)
