@@ -23,16 +23,18 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by five-word shingles at a similarity of 0.8, the one with the smallest id stays.
 
-    Rows that repeat an id are one group only if their texts are linked; of rows with one id and linked texts one stays.
+    Rows that repeat an id, or have none, are one group only if their texts are linked; of those with the smallest id
+    the text with the smallest hash stays, once. Texts without words link with nothing and all stay.
     """
-    linked = ngram_join.link(docs, k=5, num=80, den=100)
-    stay = linked.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stay")).distinct()
-    kept = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_stay")), "left_semi")
-    again = docs.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again"))
-    if again.isEmpty():
-        return kept
-    once = kept.join(again, F.col("doc_id").eqNullSafe(F.col("_again")), "left_anti")
-    return once.unionByName(kept.join(again, F.col("doc_id").eqNullSafe(F.col("_again")), "left_semi").dropDuplicates(["doc_id"]))
+    linked = ngram_join.link(docs, k=5, num=80, den=100, keys=True).where("_id = root_id AND _th = root_th")
+    stay = linked.groupBy("_id", "_th").agg((F.max("n_shingles") > 0).alias("words"), F.count("*").alias("times"))
+    stay = Scratch(spark, "near").write(stay.select("_id", "_th", (F.col("words") & (F.col("times") > 1)).alias("again")), "stay")
+    named = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))).withColumn("_th", F.xxhash64("text"))
+    if stay.where("again").isEmpty():
+        return named.join(stay, ["_id", "_th"], "left_semi").select(*docs.columns)
+    kept = named.join(stay, ["_id", "_th"])
+    once = kept.where("again").dropDuplicates(["_id", "_th"])
+    return kept.where("NOT again").unionByName(once).select(*docs.columns)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

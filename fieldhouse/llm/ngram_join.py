@@ -95,17 +95,17 @@ def sketch(docs: DataFrame, k: int) -> np.ndarray:
     return _gathered(docs.select("_text").mapInArrow(_counted(k), "part int, slice int, counts binary"), SKETCH_BITS)
 
 
-def _bit(id_: str):
-    return F.pmod(F.xxhash64(id_), F.lit(1 << FILTER_BITS)) + 1
+def _bit():
+    return F.pmod(F.xxhash64("_id", "_th"), F.lit(1 << FILTER_BITS)) + 1
 
 
 def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose _id may be in ``ids``: a bitmap of hashes, 1 MB in 256 rows whatever the input, is
+    """The rows of ``docs`` whose _id and _th may be in ``ids``: a bitmap of hashes, 1 MB in 256 rows whatever the input, is
     broadcast, so that the other rows need not be shuffled."""
-    bits = ids.select(F.bitmap_bucket_number(_bit("_id")).alias("_bucket"), F.bitmap_bit_position(_bit("_id")).alias("p"))
+    bits = ids.select(F.bitmap_bucket_number(_bit()).alias("_bucket"), F.bitmap_bit_position(_bit()).alias("p"))
     bits = F.broadcast(bits.groupBy("_bucket").agg(F.bitmap_construct_agg("p").alias("_bits")))
-    d = docs.withColumn("_bucket", F.bitmap_bucket_number(_bit("_id"))).join(bits, "_bucket")
-    place = F.bitmap_bit_position(_bit("_id"))
+    d = docs.withColumn("_bucket", F.bitmap_bucket_number(_bit())).join(bits, "_bucket")
+    place = F.bitmap_bit_position(_bit())
     byte = F.conv(F.hex(F.substring("_bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     return d.where(byte.bitwiseAND(F.pow(F.lit(2), place % 8).cast("int")) > 0).select(*docs.columns)
 
@@ -140,28 +140,28 @@ def _signed(k: int, num: int, den: int, counts):
 
 
 def _sets(k: int):
-    schema = schema_of("_id long, items array<long>")
+    schema = schema_of("node long, items array<long>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "_text"):
             sets = [x.view(np.int64) for x in shingles(Words(filled(b, "_text"), lower=True), k)]
-            yield pa.record_batch([b.column("_id"), pa.array(sets, pa.list_(pa.int64()))], schema=schema)
+            yield pa.record_batch([b.column("node"), pa.array(sets, pa.list_(pa.int64()))], schema=schema)
 
     return run
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, own: DataFrame, k: int, num: int, den: int, scratch: Scratch) -> DataFrame:
-    """Those of the pairs (a, b) that link, on the whole sets of the texts ``own`` (_id, _th) names.
+    """Those of the pairs (a, b) that link, on the whole sets of the texts that ``own`` (node, _id, _th) names.
 
     Only texts of the pairs are shuffled, but for a few that a fixed-size filter lets pass.
     """
-    ids = scratch.write(pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct(), "ids")
-    wanted = own.select("_id", "_th").join(ids, "_id", "left_semi")
-    sets = only(docs.select("_id", "_th", "_text"), ids).join(wanted, ["_id", "_th"], "left_semi").select("_id", "_text").mapInArrow(_sets(k), "_id long, items array<long>")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    ids = scratch.write(own.select("node", "_id", "_th").join(ids, "node", "left_semi"), "ids")
+    sets = only(docs.select("_id", "_th", "_text"), ids).join(ids, ["_id", "_th"]).select("node", "_text").mapInArrow(_sets(k), "node long, items array<long>")
     sets = scratch.write(sets, "sets")
     both = (
-        pairs.join(sets.select(F.col("_id").alias("b"), F.col("items").alias("ib")), "b")
-        .join(sets.select(F.col("_id").alias("a"), F.col("items").alias("ia")), "a")
+        pairs.join(sets.select(F.col("node").alias("b"), F.col("items").alias("ib")), "b")
+        .join(sets.select(F.col("node").alias("a"), F.col("items").alias("ia")), "a")
         .select("a", "b", F.size("ia").alias("na"), F.size("ib").alias("nb"), F.size(F.array_intersect("ia", "ib")).alias("both"))
     )
     before = [t for t, _ in scratch.tables if t is not ids and t is not sets]
@@ -187,8 +187,12 @@ def _reaches(na, nb, pa_, pb, num: int, den: int):
     return F.lit(num + den) * (F.lit(1) + F.least(na - pa_ - 1, nb - pb - 1)) >= F.lit(num) * (na + nb)
 
 
-def link(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id_col, n_shingles, component_id (smallest id reachable by links, itself included)."""
+def link(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text", keys: bool = False) -> DataFrame:
+    """Per row: id_col, n_shingles, component_id (smallest id reachable by links, itself included).
+
+    With ``keys`` also _id and _th, which name the row, and of the smallest id's texts the one with the smallest
+    hash, as root_id and root_th (the row's own where the text has no words).
+    """
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngrams")
     d = documents(docs, id_col, text_col)
@@ -196,14 +200,16 @@ def link(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, id_col: str
     signed = scratch.write(d.mapInArrow(_signed(k, num, den, counts), _SIGNED), "signed")
 
     same, group = ["n", "d1", "d2"], ["n", "p1", "p2"]
-    classes = scratch.write(signed.where("n > 0").groupBy(*same).agg(F.min("_id").alias("_id")), "classes")
-    # an id that names two texts can stand for two classes: both then share its component
-    own = scratch.write(signed.where("n > 0").select("_id", "_th", *same, "p1", "p2").join(classes, [*same, "_id"], "left_semi").select("_id", "_th", *group).distinct(), "own")
-    groups = scratch.write(own.groupBy(*group).agg(F.min("_id").alias("gid")), "groups")
-    members = scratch.write(own.select("_id", *group).join(groups, group).select("_id", "gid", "n").distinct(), "members")
+    # a class is a node of its own: rows that share an id, or have none, are linked by their texts alone
+    classes = signed.where("n > 0").groupBy(*same).agg(F.min(F.struct("_id", "_th")).alias("at"))
+    classes = scratch.write(classes.select(*same, "at._id", "at._th", F.monotonically_increasing_id().alias("node")), "classes")
+    first = classes.select("node", "_id", "_th", "n", "d1", "d2")
+    own = scratch.write(signed.where("n > 0").select("_id", "_th", *same, "p1", "p2").join(first, [*same, "_id", "_th"]).select("node", "_id", "_th", *group).distinct(), "own")
+    groups = scratch.write(own.groupBy(*group).agg(F.min(F.struct("node", "_id", "_th")).alias("at")).select(*group, "at.*").withColumnRenamed("node", "gid"), "groups")
+    members = scratch.write(own.select("node", *group).join(groups.select("gid", *group), group).select("node", "gid", "n"), "members")
 
     # posting lists (h, gid, np): np holds the size, the position and, for hot shingles, a salt
-    led = signed.where("n > 0").join(groups.select(*group, F.col("gid").alias("_id")), [*group, "_id"], "left_semi").select(F.col("_id").alias("gid"), "n", "prefix", "hot")
+    led = signed.where("n > 0").join(groups, [*group, "_id", "_th"]).select("gid", "n", "prefix", "hot")
     salt = F.when(F.col("i") < F.size("prefix"), F.lit(0)).otherwise(F.pmod(F.xxhash64("gid"), F.lit(SALTS - 1)) + 1)
     lists = led.select("gid", "n", "prefix", F.posexplode(F.concat("prefix", "hot")).alias("i", "h"))
     lists = lists.select("h", "gid", (F.shiftleft(F.col("n").cast("long"), 32) + F.shiftleft(F.col("i").cast("long"), 6) + salt).alias("np"))
@@ -223,16 +229,16 @@ def link(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, id_col: str
     over = W.partitionBy("h").orderBy(_pos("np"), "np", "gid")
     heads = lists.where(salted & (F.col("gid") == F.col("lead.gid"))).select("h", "gid", "np")
     across = heads.select(F.lag("gid").over(over).alias("a"), F.col("gid").alias("b")).where("a IS NOT NULL AND a <> b")
-    kin = W.partitionBy("gid").orderBy("_id")
-    inside = members.where("_id <> gid").select(F.col("gid").alias("a"), F.col("_id").alias("b"))
-    inside = inside.unionByName(members.select(F.col("_id").alias("a"), F.lead("_id").over(kin).alias("b")).where("b IS NOT NULL"))
+    kin = W.partitionBy("gid").orderBy("node")
+    inside = members.where("node <> gid").select(F.col("gid").alias("a"), F.col("node").alias("b"))
+    inside = inside.unionByName(members.select(F.col("node").alias("a"), F.lead("node").over(kin).alias("b")).where("b IS NOT NULL"))
     tried = met.unionByName(across).unionByName(inside).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     tried = scratch.write(tried, "tried")
     links = _verified(tried, d, own, k, num, den, scratch)
     parts = components(links, scratch)
 
     # then: whatever is still apart though it shares a list
-    of = scratch.write(members.join(parts.withColumnRenamed("node", "_id"), "_id", "left").select("_id", "gid", F.coalesce("component", "_id").alias("c")), "of")
+    of = scratch.write(members.join(parts, "node", "left").select("node", "gid", F.coalesce("component", "node").alias("c")), "of")
     span = of.groupBy("gid").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
     posted = scratch.write(lists.select("h", "gid", "np").join(span, "gid"), "posted")
     open_ = posted.groupBy("h").agg(F.min("lo").alias("l"), F.max("hi").alias("g")).where("l < g").select("h")
@@ -246,21 +252,24 @@ def link(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, id_col: str
     reach = _reaches(_n("x.np"), _n("y.np"), _pos("x.np"), _pos("y.np"), num, den)
     pairs = x.join(y, (F.col("x.h") == F.col("y.h")) & smaller & _sized("x.np", "y.np", num, den) & short & reach & apart)
     pairs = pairs.select(F.col("x.gid").alias("ga"), F.col("y.gid").alias("gb")).distinct()
-    ma, mb = of.select(F.col("gid").alias("ga"), F.col("_id").alias("a"), F.col("c").alias("ca")), of.select(F.col("gid").alias("gb"), F.col("_id").alias("b"), F.col("c").alias("cb"))
+    ma, mb = of.select(F.col("gid").alias("ga"), F.col("node").alias("a"), F.col("c").alias("ca")), of.select(F.col("gid").alias("gb"), F.col("node").alias("b"), F.col("c").alias("cb"))
     rest = pairs.join(ma, "ga").join(mb, "gb").where("ca <> cb").select("a", "b")
     mine = of.join(span.where("lo < hi").select("gid"), "gid", "left_semi")
-    rest = rest.unionByName(mine.alias("p").join(mine.alias("q"), (F.col("p.gid") == F.col("q.gid")) & (F.col("p._id") < F.col("q._id")) & (F.col("p.c") != F.col("q.c"))).select(F.col("p._id").alias("a"), F.col("q._id").alias("b")))
+    rest = rest.unionByName(mine.alias("p").join(mine.alias("q"), (F.col("p.gid") == F.col("q.gid")) & (F.col("p.node") < F.col("q.node")) & (F.col("p.c") != F.col("q.c"))).select(F.col("p.node").alias("a"), F.col("q.node").alias("b")))
     rest = scratch.write(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
         more = _verified(rest, d, own, k, num, den, scratch)
         if not more.isEmpty():
             parts = components(links.unionByName(more), scratch)
 
-    to = scratch.write(classes.join(parts.withColumnRenamed("node", "_id"), "_id", "left").select(*same, F.coalesce("component", "_id").alias("component")), "to")
+    roots = parts.join(first, "node").groupBy("component").agg(F.min(F.struct("_id", "_th")).alias("root"))
+    roots = parts.join(roots, "component").select("node", "root")
+    to = scratch.write(classes.join(roots, "node", "left").select(*same, F.coalesce("root", F.struct("_id", "_th")).alias("root")), "to")
     scratch.keep_only(signed, to)
-    empty = signed.where("n = 0").select(public_id(id_col), F.lit(0).cast("long").alias("n_shingles"), public_id("component_id"))
-    full = signed.where("n > 0").select("_id", *same).join(to, same)
-    return full.select(public_id(id_col), F.col("n").cast("long").alias("n_shingles"), public_id("component_id", "component")).unionByName(empty)
+    more = ["_id", "_th", F.col("root._id").alias("root_id"), F.col("root._th").alias("root_th")] if keys else []
+    rooted = signed.where("n > 0").select("_id", "_th", *same).join(to, same).select("_id", "_th", "n", "root")
+    rooted = rooted.unionByName(signed.where("n = 0").select("_id", "_th", "n", F.struct("_id", "_th").alias("root")))
+    return rooted.select(public_id(id_col), F.col("n").cast("long").alias("n_shingles"), public_id("component_id", "root._id"), *more)
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,3 +32,12 @@ def test_stages(spark, sf):
 def test_run(spark, sf):
     assert corpus_pipeline.run(spark, sf).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "ngram_join", "substring_dedup", "source_mixing", "best_fit_packing"]
+
+
+def test_near_duplicates_by_text_not_by_id(spark, sf):
+    """Rows without an id, and texts under one id, stay or go by their own links."""
+    word = lambda a, n=60: " ".join(f"{a}{i}" for i in range(n))
+    rows = [(None, word("a")), (None, word("b")), (None, word("c")), (7, word("d")), (7, word("e")), (3, word("d") + " tail"), (8, word("f")), (8, word("f") + " tail"), (9, word("g")), (9, word("g"))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = pairs(corpus_pipeline.near_duplicates(spark, docs, sf))
+    assert Counter((i, t.split()[0]) for i, t in got) == Counter([(None, "a0"), (None, "b0"), (None, "c0"), (7, "e0"), (3, "d0"), (8, "f0"), (9, "g0")])
