@@ -6,10 +6,11 @@ aligned one after another, child list by child list; where they differ, the elem
 optional, squares of neighbours become repeated groups, and text becomes a slot. Wrappers of the pages of one task,
 then of groups of tasks, then of a host are aligned in the same way, so all pages count and no task gets a host whole.
 
-The finished wrapper decides for each slot: slots of the article (else the main part, else a content part, else the
-element that dominates the text) are taken, but for boilerplate inside. Without marked parts, slots that are alike on
-all pages or hold little but links are left out too. Each page is aligned to its host's wrapper once more and gives
-the text of those slots.
+The finished wrapper says for each slot whether it is of an article, of a main part, of a content part or of the
+element that dominates the text, boilerplate inside aside; slots that are alike on all of several different pages or
+hold little but links do not count for the last. Each page is aligned to its host's wrapper once more and gives the
+text of the first of these kinds that it has itself; a page without any gives what dominates its own text, so pages
+of one host may follow several templates.
 
 Blocks end at block-level elements; character references are decoded, white space in a block becomes one space,
 blocks are joined by an empty line.
@@ -57,7 +58,11 @@ _BAD_WORDS = set(
 )
 _GOOD_WORDS = set("article content main post entry story body".split())
 
-Node = list  # [label, n, repeated, children, chars, link_chars, least, most]
+#: kinds of slots, in the order in which a page tries them; a USABLE one is of no boilerplate and not dull
+ARTICLE, MAIN, CONTENT, DOMINANT, USABLE = 1, 2, 4, 8, 16
+ALIKE = 5
+
+Node = list  # [label, n, repeated, children, chars, link_chars, least, most]; a slot also has up to ALIKE hashes of pages
 
 
 def _label(name: str, attrs: str) -> str:
@@ -136,24 +141,37 @@ def read(page: str) -> Element:
 # ---------------------------------------------------------------- wrappers
 
 
-def _text_node(t: str, linked: bool) -> Node:
+def _text_node(t: str, linked: bool, page: int) -> Node:
     h = xxhash.xxh32_intdigest(t.strip().encode("utf-8", "replace"))
-    return ["#", 1, False, [], len(t), len(t) if linked else 0, h, h]
+    return ["#", 1, False, [], len(t), len(t) if linked else 0, h, h, [page]]
+
+
+def _contents(e: Element) -> int:
+    """A hash of the page's texts; pages with equal texts are one page for the rule on slots that are alike."""
+    h, todo = xxhash.xxh64(), [e]
+    while todo:
+        for c in todo.pop().children:
+            if isinstance(c, str):
+                h.update(c.strip().encode("utf-8", "replace") + b"\0")
+            else:
+                todo.append(c)
+    return h.intdigest()
 
 
-def shape(e: Element, linked: bool = False) -> Node:
+def shape(e: Element, linked: bool = False, page: int | None = None) -> Node:
     """The expression of one element: squares of neighbours collapsed, texts as slots."""
     linked = linked or e.name == "a"
+    page = _contents(e) if page is None else page
     kids: list[Node] = []
     for c in e.children:
         if isinstance(c, str):
             if not c.isspace():
                 if kids and kids[-1][0] == "#":
-                    _add(kids[-1], _text_node(c, linked))
+                    _add(kids[-1], _text_node(c, linked, page))
                 else:
-                    kids.append(_text_node(c, linked))
+                    kids.append(_text_node(c, linked, page))
         else:
-            kids.append(shape(c, linked))
+            kids.append(shape(c, linked, page))
             _collapse(kids)
     return [e.label, 1, False, kids, 0, 0, 0, 0]
 
@@ -174,6 +192,8 @@ def _add(a: Node, b: Node) -> None:
     """Align b into a (equal labels)."""
     if a[0] == "#":
         a[6], a[7] = min(a[6], b[6]), max(a[7], b[7])
+        if len(a[8]) < ALIKE:
+            a[8] = sorted({*a[8], *b[8]})[:ALIKE]
     a[1] += b[1]
     a[2] = a[2] or b[2]
     a[4] += b[4]
@@ -254,34 +274,83 @@ def _mass(w: Node) -> int:
 
 
 def decide(w: Node) -> list:
-    """The wrapper as [label, children], a slot as "#" (left out) or "+" (taken)."""
-    marked = _find(w, "article".__eq__) or _find(w, "main".__eq__) or _find(w, lambda x: x.endswith("+"))
-    plain = not marked or not any(_mass(m) for m in marked)
-    if plain:
-        best = w
-        while True:
-            kids = [c for c in best[3] if c[0] != "#" and not c[0].endswith("-")]
-            top = max(kids, key=_mass, default=None)
-            if top is None or top[2] or _mass(top) < 0.6 * max(1, _mass(best)) or top[0] in ("p", "b", "span"):
-                break
-            best = top
-        marked = [best]
-    chosen = {id(m) for m in marked}
-
-    def walk(c: Node, inside: bool) -> object:
-        inside = (inside or id(c) in chosen) and not c[0].endswith("-")
-        if c[0] == "header" and not inside:
-            inside = False
+    """The wrapper as [label, children], a slot as the sum of its kinds."""
+    best = w
+    while True:
+        kids = [c for c in best[3] if c[0] != "#" and not c[0].endswith("-")]
+        top = max(kids, key=_mass, default=None)
+        if top is None or top[2] or _mass(top) < 0.6 * max(1, _mass(best)) or top[0] in ("p", "b", "span"):
+            break
+        best = top
+    chosen = {id(w): USABLE}
+    chosen[id(best)] = chosen.get(id(best), 0) | DOMINANT
+    for kind, want in ((ARTICLE, "article".__eq__), (MAIN, "main".__eq__), (CONTENT, lambda x: x.endswith("+"))):
+        marked = _find(w, want)
+        if any(_mass(m) for m in marked):
+            for m in marked:
+                chosen[id(m)] = chosen.get(id(m), 0) | kind
+
+    def walk(c: Node, inside: int) -> object:
+        inside = 0 if c[0].endswith("-") else inside | chosen.get(id(c), 0)
         if c[0] == "#":
-            dull = plain and (c[5] > 0.9 * c[4] or (c[1] >= 5 and c[6] == c[7]))
-            return "+" if inside and not dull else "#"
+            dull = c[5] > 0.9 * c[4] or (len(c[8]) >= ALIKE and c[6] == c[7])
+            return inside & ~(DOMINANT | USABLE) if dull else inside
         return [c[0], [walk(k, inside) for k in c[3]]]
 
-    return walk(w, False)  # type: ignore[return-value]
+    return walk(w, 0)  # type: ignore[return-value]
+
+
+def _slot(kids: list, at: int) -> int | None:
+    return next((i for i in [*range(at, len(kids)), *range(at)] if isinstance(kids[i], int)), None)
+
+
+def _same(kids: list, at: int, label: str) -> int | None:
+    return next((i for i in [*range(at, len(kids)), *range(at)] if not isinstance(kids[i], int) and kids[i][0] == label), None)
+
+
+def _dominant(page: Element, kids: list) -> Element:
+    """The element that dominates the page's own text in usable slots."""
+    mass: dict[int, int] = {}
+
+    def weigh(e: Element, kids: list, linked: bool) -> int:
+        at = total = 0
+        linked = linked or e.name == "a"
+        for c in e.children:
+            k = _slot(kids, at) if isinstance(c, str) else _same(kids, at, c.label)
+            if k is None or (isinstance(c, str) and c.isspace()):
+                continue
+            at = k
+            if not isinstance(c, str):
+                total += weigh(c, kids[k][1], linked)
+            elif kids[k] & USABLE and not linked:
+                total += len(c)
+        mass[id(e)] = total
+        return total
+
+    weigh(page, kids, False)
+    best = page
+    while True:
+        inner = [c for c in best.children if not isinstance(c, str) and not c.label.endswith("-")]
+        top = max(inner, key=lambda c: mass.get(id(c), 0), default=None)
+        if top is None or mass.get(id(top), 0) < 0.6 * max(1, mass[id(best)]) or top.name in ("p", "b", "span"):
+            return best
+        if sum(c.label == top.label for c in inner) > 1:
+            return best
+        best = top
 
 
 def extract(page: Element, wrapper: list | None) -> str:
-    """Text of the page's slots that its host's wrapper takes."""
+    """Text of the page's slots of the first kind that it has."""
+    kids = wrapper[1] if wrapper else []
+    for kind in (ARTICLE, MAIN, CONTENT, DOMINANT):
+        text = _taken(page, kids, kind)
+        if text:
+            return text
+    return _taken(page, kids, USABLE, _dominant(page, kids)) if kids else ""
+
+
+def _taken(page: Element, kids: list, kind: int, within: Element | None = None) -> str:
+    """Text of the page's slots of one kind, of those in the element ``within`` if one is given."""
     blocks: list[str] = []
     open_: list[str] = []
 
@@ -292,18 +361,19 @@ def extract(page: Element, wrapper: list | None) -> str:
                 blocks.append(t)
             open_.clear()
 
-    def walk(e: Element, kids: list) -> None:
+    def walk(e: Element, kids: list, inside: bool) -> None:
         at = 0
+        inside = inside or e is within
         for c in e.children:
             if isinstance(c, str):
                 if c.isspace():
                     if open_:
                         open_.append(" ")
                     continue
-                k = next((i for i in [*range(at, len(kids)), *range(at)] if isinstance(kids[i], str)), None)
+                k = _slot(kids, at)
                 if k is not None:
                     at = k
-                    if kids[k] == "+":
+                    if inside and kids[k] & kind:
                         open_.append(c)
                 continue
             block = c.name in _BLOCK
@@ -311,14 +381,14 @@ def extract(page: Element, wrapper: list | None) -> str:
                 end()
             elif c.name == "br" and open_:
                 open_.append(" ")
-            k = next((i for i in [*range(at, len(kids)), *range(at)] if not isinstance(kids[i], str) and kids[i][0] == c.label), None)
+            k = _same(kids, at, c.label)
             if k is not None:
                 at = k
-                walk(c, kids[k][1])
+                walk(c, kids[k][1], inside)
             if block:
                 end()
 
-    walk(page, wrapper[1] if wrapper else [])
+    walk(page, kids, within is None)
     end()
     return "\n\n".join(blocks)
 

@@ -191,6 +191,19 @@ def test_html_extract_odd(spark):
     assert html_extract.extract_text(d.limit(0)).count() == 0
 
 
+def test_html_extract_templates_of_one_host(spark):
+    """A page follows its own template, whatever the host's other pages have; repeats of a page are no boilerplate."""
+    body = [f"long enough text of page {i} " * 4 for i in range(20)]
+    kinds = ["<article><p>{}</p></article>", "<main><p>{}</p></main>", "<div class=content><p>{}</p></div>", "<section><p>{}</p></section>"]
+    rows = [(i, "http://m.x/1", "<body><nav>n</nav>" + kinds[i % 4].format(t) + "<footer>f</footer></body>") for i, t in enumerate(body)]
+    rows += [(100 + i, "http://r.x/1", "<body><div><p>one page, many times</p></div></body>") for i in range(6)]
+    rows += [(200 + i, "http://s.x/1", f"<body><div><p>{body[i]}</p></div><div><p>alike everywhere</p></div></body>") for i in range(6)]
+    got = {r.page_id: r.text for r in html_extract.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(20)] == [t.strip() for t in body]
+    assert {got[100 + i] for i in range(6)} == {"one page, many times"}
+    assert [got[200 + i].split("\n")[0] for i in range(6)] == [t.strip() for t in body[:6]]
+
+
 def test_wrapper_expression():
     pages = ["<div><ul><li>a<li>b</ul><p>x</div>", "<div><ul><li>a</ul><h2>q</h2><p>x<p>y</div>"]
     shapes = [html_extract.shape(html_extract.read(p)) for p in pages]
