@@ -55,8 +55,12 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' pieces and their places in sequences of 2048 tokens."""
-    return packing.pack(docs, *packing.tokenizer_paths())
+    """The documents' pieces and their places in sequences of 2048 tokens, numbered in the order of the stored documents.
+
+    That order is the mixing schedule: ``docs`` must be read from the Parquet files of the stage before.
+    """
+    part = F.regexp_extract(F.col("_metadata.file_name"), r"^part-(\d+)", 1).cast("long")
+    return packing.pack(docs, *packing.tokenizer_paths(), order=(part, F.col("_metadata.row_index")))
 
 
 STAGES = [

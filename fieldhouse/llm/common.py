@@ -85,14 +85,15 @@ def public_id(name: str = "doc_id", col: str = "_id") -> Column:
 # ---------------------------------------------------------------- ranks without a window over a hot key
 
 
-def running(df: DataFrame, key: str, order: list[Column], weight: Column, n_salts: int, out: str) -> DataFrame:
-    """Exclusive running sum of ``weight`` within ``key``, over any one total order of the key's rows.
+def running(df: DataFrame, key: str, order: list[Column], weight: Column, n_salts: int, out: str, salt: Column | None = None) -> DataFrame:
+    """Exclusive running sum of ``weight`` within ``key``, over any one total order of the key's rows; in ``order`` itself
+    where ``salt`` is given, a long that grows with it and has few enough rows a value and few enough values.
 
     A key may hold most of the rows: each key is dealt over ``n_salts`` by a hash of ``order``; sums run inside
     (key, salt), and the totals of the smaller salts, at most ``n_salts`` rows a key, are added.
     ``order`` must name a row, or rows that tie must be equal.
     """
-    d = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(n_salts)).cast("int")).withColumn("_w", weight.cast("long"))
+    d = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(n_salts)).cast("int") if salt is None else salt).withColumn("_w", weight.cast("long"))
     totals = d.groupBy(key, "_salt").agg(F.sum("_w").alias("_sum"))
     before = W.partitionBy(key).orderBy("_salt").rowsBetween(W.unboundedPreceding, -1)
     base = totals.select(F.col(key).alias("_bk"), F.col("_salt").alias("_bs"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))

@@ -5,6 +5,8 @@
    length's pieces to one range of equal bins, and each range is touched at most log2(size) times, so the plan has
    a few steps for each length whatever the corpus.
 3. Pieces take their places by joining the plan on their rank within their length; ranks need no single task.
+4. Where the texts have an order, pieces of a length are ranked by it, and sequences are numbered by it: by the place
+   of the piece at their start.
 
 Nulls, ties and odd rows: a null text is empty (one piece, the end id); null ids are carried; rows that repeat are
 packed each; extra columns are ignored; an empty table gives an empty result.
@@ -19,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, documents, filled, public_id, running, schema_of, slices
@@ -56,10 +58,11 @@ def encoder(json_path: str, ranks_path: str) -> Encoder:
 
 
 _PIECE = "_id long, _th long, piece int, start long, length long, ids_crc32 long"
+_ORDER = ", _part long, _row long"
 
 
-def _pieces(json_path: str, ranks_path: str, size: int):
-    schema = schema_of(_PIECE)
+def _pieces(json_path: str, ranks_path: str, size: int, ordered: bool):
+    schema = schema_of(_PIECE + (_ORDER if ordered else ""))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(json_path, ranks_path)
@@ -77,7 +80,7 @@ def _pieces(json_path: str, ranks_path: str, size: int):
                     length.append(z - a)
                     crc.append(zlib.crc32(ids[a:z].tobytes()))
             at = pa.array(row, pa.int64())
-            yield pa.record_batch([b.column("_id").take(at), b.column("_th").take(at), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))], schema=schema)
+            yield pa.record_batch([b.column("_id").take(at), b.column("_th").take(at), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc)), *(b.column(c).take(at) for c in ("_part", "_row") if ordered)], schema=schema)
 
     return run
 
@@ -117,25 +120,40 @@ def plan(counts: dict[int, int], size: int) -> list[tuple[int, int, int, int, in
     return steps
 
 
-def pack(docs: DataFrame, json_path: str, ranks_path: str, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per piece: id_col, piece, start, length, ids_crc32, sequence_id, offset."""
+def pack(docs: DataFrame, json_path: str, ranks_path: str, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text", order: tuple[Column, Column] | None = None) -> DataFrame:
+    """Per piece: id_col, piece, start, length, ids_crc32, sequence_id, offset.
+
+    ``order`` gives each row a part and a row within the part (longs); parts must be small enough for one task.
+    """
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
-    pieces = scratch.write(documents(docs, id_col, text_col).mapInArrow(_pieces(json_path, ranks_path, size), _PIECE), "pieces")
+    at = [c.cast("long").alias(n) for c, n in zip(order or (), ("_part", "_row"))]
+    pieces = documents(docs, id_col, text_col, *at).mapInArrow(_pieces(json_path, ranks_path, size, bool(at)), _PIECE + (_ORDER if at else ""))
+    pieces = scratch.write(pieces, "pieces")
     counts = {r.length: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most ``size`` rows
     steps = plan(counts, size) or [(0, 0, 0, 0, 1, 0)]
     table = spark.createDataFrame(steps, "len long, rank long, n long, bin long, each long, base long")
     table = table.groupBy("len").agg(F.collect_list(F.struct("rank", "n", "bin", "each", "base")).alias("steps"))
     salts = max(16, -(-max(counts.values(), default=1) // 200_000))
-    ranked = running(pieces, "length", [F.col("_id"), F.col("_th"), F.col("piece")], F.lit(1), salts, "_rank")
+    if at:
+        ranked = running(pieces, "length", [F.col("_part"), F.col("_row"), F.col("piece")], F.lit(1), 0, "_rank", salt=F.col("_part"))
+    else:
+        ranked = running(pieces, "length", [F.col("_id"), F.col("_th"), F.col("piece")], F.lit(1), salts, "_rank")
     placed = ranked.join(F.broadcast(table), F.col("length") == F.col("len"))  # at most ``size`` rows
     step = F.filter("steps", lambda s: (s["rank"] <= F.col("_rank")) & (F.col("_rank") < s["rank"] + s["n"]))[0]
     placed = placed.withColumn("_s", step).withColumn("_i", F.col("_rank") - F.col("_s.rank"))
-    return placed.select(
-        public_id(id_col), "piece", "start", "length", "ids_crc32",
+    placed = placed.select(
+        "_id", "piece", "start", "length", "ids_crc32",
         (F.col("_s.bin") + F.floor(F.col("_i") / F.col("_s.each"))).cast("long").alias("sequence_id"),
         (F.col("_s.base") + F.col("_i") % F.col("_s.each") * F.col("length")).cast("long").alias("offset"),
+        *(["_part", "_row"] if at else []),
     )
+    if at:
+        placed = scratch.write(placed, "placed")
+        starts = placed.where("offset = 0").select("sequence_id", "_part", "_row", "piece", F.lit(0).alias("_all"))
+        starts = running(starts, "_all", [F.col("_part"), F.col("_row"), F.col("piece")], F.lit(1), 0, "_new", salt=F.col("_part"))
+        placed = placed.join(starts.select("sequence_id", "_new"), "sequence_id").withColumn("sequence_id", F.col("_new"))
+    return placed.select(public_id(id_col), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def tokenizer_paths() -> tuple[str, str]:

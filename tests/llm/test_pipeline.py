@@ -3,7 +3,10 @@
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
+from fieldhouse.llm import mixing
 from fieldhouse.llm.common import Scratch
 from tests.llm.test_corpus_operators import DOCS, brute_dedup, brute_link, brute_quality, odd_rows, pairs
 
@@ -41,3 +44,25 @@ def test_near_duplicates_by_text_not_by_id(spark, sf):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = pairs(corpus_pipeline.near_duplicates(spark, docs, sf))
     assert Counter((i, t.split()[0]) for i, t in got) == Counter([(None, "a0"), (None, "b0"), (None, "c0"), (7, "e0"), (3, "d0"), (8, "f0"), (9, "g0")])
+
+
+def test_mixing_reaches_the_sequences(spark, sf, monkeypatch):
+    """Sequences are numbered in the order of the schedule, and other weights give another result."""
+    n = {"a": 300, "b": 300, "c": 60}
+    rows = [(i * 10 + k, " ".join(f"{s}{(i * 7919 + j * 31) % 9973}" for j in range(300 + i % 50)), "en", s, 0) for k, (s, m) in enumerate(n.items()) for i in range(m)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    source = {r[0]: r[3] for r in rows}
+    mix, results, early = mixing.mix, [], []
+    for weights in ({"a": 9.0, "b": 1.0, "c": 1.0}, {"a": 1.0, "b": 9.0, "c": 1.0}):
+        monkeypatch.setattr(mixing, "mix", lambda d, w=weights, **kw: mix(d, w, block_bytes=1 << 12, **kw))
+        stored = Scratch(spark, "t").write(corpus_pipeline.mixed(spark, docs, sf))
+        place = {r.doc_id: (r.f, r.i) for r in stored.select("doc_id", F.col("_metadata.file_name").alias("f"), F.col("_metadata.row_index").alias("i")).collect()}
+        out = corpus_pipeline.packed(spark, stored, sf).collect()
+        assert {r.doc_id for r in out} == set(source)
+        starts = sorted((r.sequence_id, place[r.doc_id]) for r in out if r.offset == 0)
+        assert [q for q, _ in starts] == list(range(len({r.sequence_id for r in out})))
+        assert [p for _, p in starts] == sorted(p for _, p in starts)
+        early.append(Counter(source[r.doc_id] for r in out if r.sequence_id < len(starts) // 4))
+        results.append(sorted((r.doc_id, r.piece, r.sequence_id, r.offset) for r in out))
+    assert results[0] != results[1]
+    assert early[0]["a"] > 2 * early[0]["b"] and early[1]["b"] > 2 * early[1]["a"]
