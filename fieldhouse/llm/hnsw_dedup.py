@@ -4,8 +4,8 @@
    builds a hierarchical navigable small-world graph (layers of nested random samples, neighbours chosen for
    closeness and spread), searched and extended for many vectors at once in numpy.
 2. Every vector is a query to every shard, in blocks. A beam is widened for a query while all it holds is within the
-   threshold, and for all queries of a block while an audit of some against brute force finds less than
-   ``recall`` of the linked vectors.
+   threshold, and for all queries of a block while an audit against brute force, of queries that have links, finds
+   less than ``recall`` of the linked vectors; a beam as wide as the shard is brute force itself.
 3. What a beam found is verified by cosine in double precision. A block returns each query's number of links and a
    spanning forest of its links, at most a row for each vector, and the forests are united.
 
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import io
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -28,9 +29,10 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, components, public_id
 
-SHARDS, SHARD_ROWS, BLOCKS = 8, 50_000, 2
+SHARDS, SHARD_ROWS, BLOCKS, BLOCK_ROWS = 8, 50_000, 2, 50_000
 M, M0, BUILD_BEAM, BEAM = 12, 24, 48, 48
-AUDIT = 32
+#: an audit goes on until it has so many queries with links besides themselves, and so many links, or no query is left
+AUDIT, AUDIT_LINKS = 32, 200
 
 
 def spread(sims: np.ndarray, among: np.ndarray, most: int) -> np.ndarray:
@@ -236,30 +238,41 @@ def query_shard(threshold: float, recall: float):
         q, me = _unit(queries["vec"]), queries["_id"].to_numpy()
         q32, size = q.astype(np.float32), len(x)
         low, beam = threshold - 1e-4, min(BEAM, size)
-        # audit: the block's beam is widened until brute force on some queries agrees
-        some = np.random.default_rng(11).choice(len(q), min(AUDIT, len(q)), replace=False)
-        truth = (q32[some] @ g.x.T) >= low
-        crowd = int(truth.sum(1).max(initial=0))
-        while beam < size:
-            found, sims = g.search(q32[some], beam)
-            got = int((sims >= low).sum())
-            room = min(int(truth.sum()), int(np.minimum(truth.sum(1), beam).sum()))
-            if got >= recall * room or beam >= 4 * max(crowd, BEAM):
+
+        def exact(rows: np.ndarray) -> list[np.ndarray]:
+            return [np.flatnonzero(t) for a in range(0, len(rows), 64) for t in (q32[rows[a : a + 64]] @ g.x.T) >= low]
+
+        def close(rows: np.ndarray, beam: int) -> Iterator[tuple[int, np.ndarray]]:
+            """The vectors found within the threshold of each query."""
+            while len(rows) and beam < size:
+                found, sims = g.search(q32[rows], beam)
+                full = (sims >= low).all(1)
+                yield from ((i, f[s >= low]) for i, f, s in zip(rows[~full], found[~full], sims[~full], strict=True))
+                rows, beam = rows[full], min(size, 2 * beam)
+            yield from zip(rows, exact(rows), strict=True)
+
+        def others(i: int, f: np.ndarray) -> np.ndarray:
+            return f[(x[f] @ q[i] >= threshold) & (ids[f] != me[i])] if len(f) else f
+
+        # audit: the block's beam is widened until brute force on queries with links agrees
+        some, true = [], 0
+        order = np.random.default_rng(11).permutation(len(q))
+        for a in range(0, len(order), 64):
+            if len(some) >= AUDIT and true >= AUDIT_LINKS:
                 break
+            for i, f in zip(order[a : a + 64], exact(order[a : a + 64]), strict=True):
+                if n := len(others(i, f)):
+                    some.append(i)
+                    true += n
+        while beam < size and sum(len(others(i, f)) for i, f in close(np.array(some, np.int64), beam)) < recall * true:
             beam = min(size, 2 * beam)
         links, forest = np.zeros(len(q), np.int64), _Forest()
         for a in range(0, len(q), 1024):
-            todo, width = np.arange(a, min(a + 1024, len(q))), beam
-            while len(todo):
-                found, sims = g.search(q32[todo], width)
-                full = (sims >= low).all(1) & (width < size)
-                for i, f, s in zip(todo[~full], found[~full], sims[~full], strict=True):
-                    f = f[s >= low]
-                    f = f[(x[f] @ q[i] >= threshold) & (ids[f] != me[i])] if len(f) else f
-                    links[i] = weight[f].sum()
-                    for other in ids[f].tolist():
-                        forest.link(int(me[i]), other)
-                todo, width = todo[full], min(size, 2 * width)
+            for i, f in close(np.arange(a, min(a + 1024, len(q))), beam):
+                f = others(i, f)
+                links[i] = weight[f].sum()
+                for other in ids[f].tolist():
+                    forest.link(int(me[i]), other)
         some_links = links > 0
         e = np.array(forest.edges, np.int64).reshape(-1, 2)
         return pd.DataFrame({"_id": np.concatenate([me[some_links], e[:, 0]]), "links": np.concatenate([links[some_links], np.zeros(len(e), np.int64)]), "other": pd.array([*[None] * int(some_links.sum()), *e[:, 1].tolist()], dtype="Int64")})
@@ -276,13 +289,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, recall: float =
     good = F.coalesce(F.forall("vec", finite) & F.exists("vec", lambda c: c != 0), F.lit(False))
     v = scratch.write(v.withColumn("good", good), "vectors")
     kinds = scratch.write(v.where("good").groupBy("vec").agg(F.min("_id").alias("_id"), F.count("*").alias("n")), "kinds")
-    shards = max(shards, math.ceil(kinds.count() / SHARD_ROWS))
+    many = kinds.count()
+    shards, blocks = max(shards, math.ceil(many / SHARD_ROWS)), max(BLOCKS, math.ceil(many / BLOCK_ROWS))
     dim = F.size("vec").alias("dim")
     index = kinds.select("_id", "vec", "n", dim, F.pmod(F.xxhash64("_id"), F.lit(shards)).cast("int").alias("shard"))
     index = scratch.write(index.groupBy("dim", "shard").applyInPandas(build_shard, "dim int, shard int, blob binary"), "graphs")
-    block = F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(BLOCKS)).cast("int").alias("block")
+    block = F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(blocks)).cast("int").alias("block")
     asked = kinds.select("_id", "vec", dim, block, F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    held = index.select("dim", "shard", "blob", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("block"))
+    held = index.select("dim", "shard", "blob", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     keys = ["dim", "shard", "block"]
     found = asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(query_shard(threshold, recall), "_id long, links long, other long")
     found = scratch.write(found, "found")

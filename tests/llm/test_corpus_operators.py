@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 from fieldhouse.llm import ctw_score, hnsw_dedup, html_extract, mixing, ngram_join, packing, quality_rules, registry, substring_dedup, token_counts, url_filter
@@ -275,6 +276,18 @@ def test_hnsw(spark):
     assert hnsw_dedup.near_duplicates(d.limit(0)).count() == 0
 
 
+def test_hnsw_failed_audit_goes_on_to_brute_force(monkeypatch):
+    """Few queries have links, and the graph finds none of them at any beam."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(1500, 24))
+    x[:20] = x[20:40] + 0.01 * rng.normal(size=(20, 24))
+    rows = pd.DataFrame({"_id": np.arange(1500), "vec": list(x), "n": 1, "shard": 0})
+    monkeypatch.setattr(hnsw_dedup.Graph, "search", lambda self, q, beam, *a: (np.zeros((len(q), beam), np.int64), np.full((len(q), beam), -2.0, np.float32)))
+    index = pd.DataFrame({"blob": [hnsw_dedup._pack(x=hnsw_dedup._unit(rows["vec"]), id=np.arange(1500), n=np.ones(1500, np.int64), sizes=np.array([1500]), links0=np.zeros((1500, 24), np.int32))]})
+    got = hnsw_dedup.query_shard(0.9, 0.99)(rows[["_id", "vec"]], index)
+    assert dict(got[got.other.isna()][["_id", "links"]].itertuples(index=False)) == dict.fromkeys(range(40), 1)
+
+
 # ---------------------------------------------------------------- 6
 
 
