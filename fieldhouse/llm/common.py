@@ -225,6 +225,15 @@ class Words:
         return np.arange(n - k + 1) + k <= ends[: n - k + 1]
 
 
+def distinct_counts(x: np.ndarray, ordered: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values and how often each occurs; sorting is many times faster than ``np.unique`` on long arrays."""
+    x = x if ordered else np.sort(x)
+    if not len(x):
+        return x, np.zeros(0, np.int64)
+    first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+    return x[first], np.diff(np.append(first, len(x)))
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
     """The rows again, in pieces of about ``most`` bytes of text (a longer text is a piece of its own)."""
     for b in batches:

@@ -6,12 +6,16 @@ bytes before it; for every suffix of that context, training gives counts of zero
 Krichevsky-Trofimov estimate, and the weight of the estimate against the deeper ones (one half each before the data
 is seen). The score is the log10 probability of the text under the mixture; ``bits_per_byte`` is its code length.
 
-Counting is a shuffle of (bytes, count); the tree is weighted bottom-up and read top-down level by level as
-DataFrame steps. The finished tree is broadcast: its size is checked first, and where more than ``most`` distinct
-byte sequences were met at a depth, the next smaller depth is taken, down to 1, where 65,536 bound them.
+1. Documents are dealt into chunks of some 64 MB by a hash. A chunk gives its distinct grams (a byte under the
+   ``depth`` bytes before it) and words with their training counts, 0 where only held-out texts have them.
+2. The counts are added by key. The tree below contexts of ``TOP`` bytes is weighted in numpy, all grams of one such
+   context together; there are at most 256 ** (depth - TOP) contexts below one. Their weights go up to the root and
+   the mixture comes down again level by level as DataFrame steps; then numpy carries it on to each gram.
+3. The chunks' keys are joined with the finished logarithms and meet the chunk's documents again.
 
-The base score needs the corpus counts of all words, which are never broadcast: documents are dealt into chunks,
-the distinct words of a chunk are joined with the counts and meet the chunk's documents again.
+The depth is the same for every input, no part of the tree or of the vocabulary is broadcast or sent to the driver,
+and a gram that training has not seen goes through the tree as one with zero counts. Words are told apart by 63-bit
+hashes.
 
 Nulls, ties and odd rows: a null text is empty; a null id is carried and counted as the empty string in the split;
 rows that repeat are scored (and trained on) each; extra columns are ignored; an empty table gives an empty result.
@@ -20,18 +24,19 @@ rows that repeat are scored (and trained on) each; extra columns are ignored; an
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, documents, filled, public_id, schema_of, slices
+from .common import Scratch, Words, distinct_counts, documents, filled, partitions, public_id, schema_of, slices
 
-DEPTH, MOST = 4, 3_000_000
-CHUNK_BYTES = 16 << 20
+#: bytes of context, at most 6 so that a gram fits a positive long; bytes down to which levels are DataFrame steps
+DEPTH, TOP = 6, 3
+CHUNK_BYTES, BLOCK_BYTES, GROUP_ROWS = 64 << 20, 1 << 20, 1 << 18
 _U = np.uint64
 
 
@@ -39,236 +44,304 @@ def canonical(text: bytes) -> bytes:
     return b" ".join(text.lower().split()) + b"\n"
 
 
-def coded(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """For every byte of all texts, the byte (low) under the ``depth`` bytes before it; and where each text begins."""
+def _low(d: int) -> int:
+    """Mask of a byte and its d newest context bytes."""
+    return (1 << 8 * (d + 1)) - 1
+
+
+def coded(texts: list[bytes], depth: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Blocks (first text, text of each byte less the first (below 256), gram of each byte: the byte is lowest, under it the newest of
+    the bytes before it, and so on) that cover every byte of every text once; a long text is several blocks."""
     pad = b"\n" * depth
-    body = [canonical(t) for t in texts]
-    size = np.array([len(x) for x in body], np.int64)
-    raw = np.frombuffer(b"".join(pad + x for x in body), np.uint8).astype(_U)
-    key = raw.copy()
-    for d in range(1, depth + 1):
-        key[d:] |= raw[:-d] << _U(8 * d)
-    begin = np.concatenate([[0], np.cumsum(size)])
-    at = np.arange(begin[-1]) + np.repeat((np.arange(len(size)) + 1) * depth, size)
-    return key[at], begin
+    at = 0
+    while at < len(texts):
+        body, size = [], 0
+        while at + len(body) < len(texts) and len(body) < 256 and size < BLOCK_BYTES:
+            body.append(canonical(texts[at + len(body)]))
+            size += len(body[-1])
+        lengths = np.array([len(x) + depth for x in body])
+        raw = np.frombuffer(b"".join(pad + x for x in body), np.uint8)
+        who = np.repeat(np.arange(len(body), dtype=np.uint8), lengths)
+        real = np.ones(len(raw), bool)
+        real[(np.cumsum(lengths) - lengths)[:, None] + np.arange(depth)] = False
+        for a in range(0, len(raw), 4 * BLOCK_BYTES):
+            z, lo = min(len(raw), a + 4 * BLOCK_BYTES), max(0, a - depth)
+            part = raw[lo:z].astype(_U)
+            key = part.copy()
+            for d in range(1, depth + 1):
+                key[d:] |= part[:-d] << _U(8 * d)
+            ok = real[a:z]
+            yield at, who[a:z][ok], key[a - lo :][ok]
+        at += len(body)
+
+
+# ---------------------------------------------------------------- a chunk's grams and words
+
+
+def _word_keys(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A key (a negative long) for each word, and the text it is of."""
+    w = Words(texts, lower=True)
+    return (w.hash | _U(1 << 63)).view(np.int64), np.repeat(np.arange(len(texts)), np.diff(w.first))
+
+
+def _vocabulary(depth: int):
+    schema = schema_of("_chunk int, key long, n long")
+
+    def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        key, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(key)
+        key, n = key[order], n[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        return key[first], np.add.reduceat(n, first)
+
+    def run(table: pa.Table) -> pa.Table:
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def add(keys: np.ndarray, learn: bool) -> None:
+            k, n = distinct_counts(keys)
+            parts.append((k, n if learn else np.zeros_like(n)))
+            if len(parts) > 1 and sum(len(p[0]) for p in parts[1:]) > max(1 << 21, len(parts[0][0])):
+                parts[:] = [merged(parts)]
+
+        for b in slices(iter(table.to_batches()), "_text"):
+            learn = b.column("_train")
+            for flag, rows in ((True, b.filter(learn)), (False, b.filter(pc.invert(learn)))):
+                if rows.num_rows:
+                    texts = filled(rows, "_text")
+                    add(_word_keys(texts)[0], flag)
+                    grams = [key for _, _, key in coded(texts.cast(pa.large_binary()).to_pylist(), depth)]
+                    add(np.concatenate(grams).view(np.int64), flag)
+        key, n = merged(parts)
+        return pa.table([pa.array(np.full(len(key), table.column("_chunk")[0].as_py(), np.int32)), pa.array(key), pa.array(n)], schema=schema)
 
+    return run
 
-# ---------------------------------------------------------------- training
 
+# ---------------------------------------------------------------- the tree
 
-def _grams(depth: int):
-    schema = schema_of("key long, n long")
 
-    def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        k, inv = np.unique(np.concatenate(keys), return_inverse=True)
-        return k, np.bincount(inv, weights=np.concatenate(counts)).astype(np.int64)
+def _lgamma(x, log):
+    """ln gamma for x >= 0.5 by Stirling's series eight places on; for arrays and for Columns."""
+    y = x + 8.0
+    down = x * (x + 1) * (x + 2) * (x + 3) * (x + 4) * (x + 5) * (x + 6) * (x + 7)
+    z = 1 / (y * y)
+    return (y - 0.5) * log(y) - y + 0.5 * math.log(2 * math.pi) + (1 / 12 - z * (1 / 360 - z / 1260)) / y - log(down)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys: list[np.ndarray] = []
-        counts: list[np.ndarray] = []
-        for b in slices(batches, "_text"):
-            k, n = np.unique(coded(filled(b, "_text").cast(pa.large_binary()).to_pylist(), depth)[0], return_counts=True)
-            keys.append(k)
-            counts.append(n)
-            if sum(map(len, keys)) > 4_000_000:
-                k, n = merged(keys, counts)
-                keys, counts = [k], [n]
-                if len(k) > 2_000_000:
-                    yield pa.record_batch([pa.array(k.view(np.int64)), pa.array(n)], schema=schema)
-                    keys, counts = [], []
-        if keys:
-            k, n = merged(keys, counts)
-            yield pa.record_batch([pa.array(k.view(np.int64)), pa.array(n)], schema=schema)
 
-    return run
+def _kt(n0, n1, log):
+    """ln of the Krichevsky-Trofimov probability of one sequence of n0 zeros and n1 ones."""
+    return _lgamma(n0 + 0.5, log) + _lgamma(n1 + 0.5, log) - _lgamma(n0 + n1 + 1.0, log) - math.log(math.pi)
+
+
+class Below:
+    """The tree below contexts of ``top`` bytes, from distinct grams and their counts."""
+
+    def __init__(self, key: np.ndarray, n: np.ndarray, depth: int, top: int):
+        order = np.argsort(key)
+        self.depth, self.top, self.order = depth, top, order
+        self.keys, self.n, self.up = {depth: key[order].astype(_U)}, {depth: n[order].astype(np.float64)}, {}
+        for d in range(depth - 1, top - 1, -1):  # grams of one byte of context less, and where each goes
+            short = self.keys[d + 1] & _U(_low(d))
+            by = np.argsort(short, kind="stable")
+            new = np.concatenate([[True], short[by][1:] != short[by][:-1]])
+            self.keys[d], self.up[d + 1] = short[by][new], np.empty(len(by), np.int64)
+            self.up[d + 1][by] = np.cumsum(new) - 1
+            self.n[d] = np.bincount(self.up[d + 1], weights=self.n[d + 1])
+
+    def weighted(self, j: int) -> dict[int, dict[str, np.ndarray]]:
+        """depth -> the nodes after j bits of the byte, bottom-up: ``first`` gram, ``node`` of each gram, n0, n1, kt, below, lw, parent."""
+        out: dict[int, dict[str, np.ndarray]] = {}
+        for d in range(self.depth, self.top - 1, -1):
+            k = self.keys[d]
+            bits = k >> _U(8 - j)
+            new = np.concatenate([[True], bits[1:] != bits[:-1]])
+            c = {"first": np.flatnonzero(new), "node": np.cumsum(new) - 1}
+            n1 = np.add.reduceat(self.n[d] * ((k >> _U(7 - j)) & _U(1)), c["first"])
+            c["n0"], c["n1"] = np.add.reduceat(self.n[d], c["first"]) - n1, n1
+            c["kt"] = c["lw"] = _kt(c["n0"], n1, np.log)
+            if d < self.depth:
+                deep = out[d + 1]
+                deep["parent"] = c["node"][self.up[d + 1][deep["first"]]]
+                c["below"] = np.bincount(deep["parent"], weights=deep["lw"])
+                c["lw"] = np.logaddexp(c["kt"], c["below"]) - math.log(2)
+            out[d] = c
+        return out
 
+    def names(self, j: int, first: np.ndarray) -> np.ndarray:
+        """The keys of the top nodes after j bits: the context over the bits behind a leading one."""
+        k = self.keys[self.top][first]
+        byte = k & _U(255)
+        return ((k - byte) + _U(1 << j) + (byte >> _U(8 - j))).astype(np.int64)
+
+    def logs(self, names: np.ndarray, acc: np.ndarray, rem: np.ndarray) -> np.ndarray:
+        """log10 probability of each gram's byte, in the order given; ``acc`` of a top node is the mixture down to it, ``rem`` the weight
+        that is left for deeper ones."""
+        by = np.argsort(names)
+        names, acc, rem = names[by], acc[by], rem[by]
+        total = np.zeros(len(self.order))
+        for j in range(8):
+            nodes = self.weighted(j)
+            at = np.searchsorted(names, self.names(j, nodes[self.top]["first"]))
+            a, r = acc[at], rem[at]
+            for d in range(self.top + 1, self.depth + 1):
+                c = nodes[d]
+                one = (c["n1"] + 0.5) / (c["n0"] + c["n1"] + 1.0)
+                keep = 1 / (1 + np.exp(np.minimum(c["below"] - c["kt"], 700.0))) if "below" in c else np.ones(len(one))
+                a, r = a[c["parent"]] + r[c["parent"]] * keep * one, r[c["parent"]] * (1 - keep)
+            p = a[nodes[self.depth]["node"]]
+            total += np.log10(np.where((self.keys[self.depth] >> _U(7 - j)) & _U(1) == 1, p, 1 - p))
+        out = np.empty_like(total)
+        out[self.order] = total
+        return out
 
-def _lgamma(x: Column) -> Column:
-    """ln gamma for x >= 0.5: Stirling's series eight places on."""
-    y = x + 8
-    down = x * (x + 1) * (x + 2) * (x + 3) * (x + 4) * (x + 5) * (x + 6) * (x + 7)
-    return (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * F.pow(y, 5)) - F.log(down)
 
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+    """Rows sorted by ``ctx`` again, some ``GROUP_ROWS`` at a time, each context whole."""
+    held: list[dict[str, np.ndarray]] = []
 
-def _kt(n0: Column, n1: Column) -> Column:
-    """ln of the Krichevsky-Trofimov probability of one sequence of n0 zeros and n1 ones."""
-    return _lgamma(n0 + 0.5) + _lgamma(n1 + 0.5) - _lgamma(n0 + n1 + 1.0) - math.log(math.pi)
+    def joined() -> dict[str, np.ndarray]:
+        return {k: np.concatenate([h[k] for h in held]) for k in held[0]}
 
+    rows = 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append({k: b.column(k).to_numpy(zero_copy_only=False) for k in b.schema.names})
+        rows += b.num_rows
+        if rows >= GROUP_ROWS:
+            all_ = joined()
+            ctx = all_["ctx"]
+            cut = int(np.searchsorted(ctx, ctx[-1]))
+            if cut:
+                yield {k: v[:cut] for k, v in all_.items()}
+            held, rows = [{k: v[cut:] for k, v in all_.items()}], 0
+    if held:
+        yield joined()
 
-def train(docs: DataFrame, depth: int, most: int, scratch: Scratch) -> tuple[int, DataFrame, DataFrame]:
-    """(depth taken, grams (key, n), nodes (depth, key, p1)) from rows with ``_text``.
 
-    ``p1`` of a node is the probability of a one where the context is known as far as the node and no further.
-    """
-    grams = docs.select("_text").mapInArrow(_grams(depth), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    grams = scratch.write(grams, "grams")
-    while depth > 1 and grams.count() > most:
-        depth -= 1
-        grams = scratch.write(grams.groupBy(F.col("key").bitwiseAND(F.lit((1 << 8 * (depth + 1)) - 1)).alias("key")).agg(F.sum("n").alias("n")), "grams")
-    byte = F.col("key").bitwiseAND(F.lit(255))
-    bits = F.array(*(F.struct((F.lit(1 << j) + F.shiftright(byte, 8 - j)).alias("node"), F.shiftright(byte, 7 - j).bitwiseAND(F.lit(1)).alias("bit")) for j in range(8)))
-    each = grams.select((F.col("key") - byte).alias("ctx"), "n", F.explode(bits).alias("x")).select((F.col("ctx") + F.col("x.node")).alias("key"), (F.col("n") * (1 - F.col("x.bit"))).alias("n0"), (F.col("n") * F.col("x.bit")).alias("n1"))
-    level = each.groupBy("key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    level = level.select("key", "n0", "n1", _kt(F.col("n0"), F.col("n1")).alias("kt"), F.lit(None).cast("double").alias("below"))
-    level = level.withColumn("lw", F.col("kt"))
-    levels = [scratch.write(level, f"level{depth}")]
-    for d in range(depth - 1, -1, -1):
-        up = levels[0].groupBy(F.col("key").bitwiseAND(F.lit((1 << 8 * (d + 1)) - 1)).alias("key")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("lw").alias("below"))
-        up = up.select("key", "n0", "n1", _kt(F.col("n0"), F.col("n1")).alias("kt"), "below")
+def _up(depth: int, top: int):
+    ddl = "key long, n0 double, n1 double, kt double, below double, lw double"
+    schema = schema_of(ddl)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in _together(batches):
+            sub = Below(g["key"], g["n"], depth, top)
+            for j in range(8):
+                c = sub.weighted(j)[top]
+                yield pa.record_batch([pa.array(sub.names(j, c["first"])), *(pa.array(c[x]) for x in ("n0", "n1", "kt", "below", "lw"))], schema=schema)
+
+    return run, ddl
+
+
+def _down(depth: int, top: int):
+    ddl = "key long, v double"
+    schema = schema_of(ddl)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in _together(batches):
+            gram = g["n"] >= 0
+            sub = Below(g["key"][gram], g["n"][gram], depth, top)
+            v = sub.logs(g["key"][~gram], g["acc"][~gram], g["rem"][~gram])
+            yield pa.record_batch([pa.array(g["key"][gram]), pa.array(v)], schema=schema)
+
+    return run, ddl
+
+
+def gram_logs(grams: DataFrame, depth: int, scratch: Scratch) -> DataFrame:
+    """(key, v): log10 probability of each gram's byte after its context, from distinct grams (key, n: training count)."""
+    top = min(TOP, depth - 1)
+    n_parts = partitions(grams.sparkSession)
+    ctx = lambda d: F.col("key").bitwiseAND(F.lit(_low(d) - 255)).alias("ctx")
+    dealt = lambda x: x.repartition(n_parts, "ctx").sortWithinPartitions("ctx")
+    run, ddl = _up(depth, top)
+    levels = [scratch.write(dealt(grams.select(ctx(top), "key", "n")).mapInArrow(run, ddl), f"level{top}")]
+    for d in range(top - 1, -1, -1):
+        # a node's key keeps its bits in the lowest byte at every level
+        up = levels[0].groupBy(F.col("key").bitwiseAND(F.lit(_low(d))).alias("key")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("lw").alias("below"))
+        up = up.select("key", "n0", "n1", _kt(F.col("n0"), F.col("n1"), F.log).alias("kt"), "below")
         high = F.greatest("kt", "below")
         up = up.withColumn("lw", high + F.log(0.5 * F.exp(F.col("kt") - high) + 0.5 * F.exp(F.col("below") - high)))
         levels.insert(0, scratch.write(up, f"level{d}"))
     one = (F.col("n1") + 0.5) / (F.col("n0") + F.col("n1") + 1.0)
-    keep = F.when(F.col("below").isNull(), F.lit(1.0)).otherwise(1 / (1 + F.exp(F.least(F.col("below") - F.col("kt"), F.lit(700.0)))))
-    done, nodes = None, None
+    keep = 1 / (1 + F.exp(F.least(F.col("below") - F.col("kt"), F.lit(700.0))))
+    done = None
     for d, level in enumerate(levels):
         here = level.select("key", one.alias("one"), keep.alias("keep"))
         if done is None:
             here = here.select("key", (F.col("keep") * F.col("one")).alias("acc"), (1 - F.col("keep")).alias("rem"))
         else:
             up = done.select(F.col("key").alias("up"), F.col("acc").alias("pa"), F.col("rem").alias("pr"))
-            here = here.withColumn("up", F.col("key").bitwiseAND(F.lit((1 << 8 * d) - 1))).join(up, "up")
+            here = here.withColumn("up", F.col("key").bitwiseAND(F.lit(_low(d - 1)))).join(up, "up")
             here = here.select("key", (F.col("pa") + F.col("pr") * F.col("keep") * F.col("one")).alias("acc"), (F.col("pr") * (1 - F.col("keep"))).alias("rem"))
-        done = scratch.write(here, f"seen{d}")
-        out = done.select(F.lit(d).alias("depth"), "key", (F.col("acc") + 0.5 * F.col("rem")).alias("p1"))
-        nodes = out if nodes is None else nodes.unionByName(out)
-    return depth, grams, nodes
-
-
-class Tree:
-    """The finished tree as sorted arrays, with a bucketed table of whole contexts."""
-
-    def __init__(self, depth: int, grams: np.ndarray, keys: np.ndarray, p1: np.ndarray):
-        """keys: node keys with their depth from bit 48 on, sorted."""
-        self.depth, self.keys, self.p1 = depth, keys, p1.astype(np.float32)
-        logs = self._walk(grams)
-        self.bits = max(1, int(len(grams)).bit_length())
-        slot = self._slot(grams)
-        order = np.argsort(slot, kind="stable")
-        self.grams, self.logs = grams[order], logs[order]
-        self.first = np.searchsorted(slot[order], np.arange((1 << self.bits) + 1)).astype(np.int32)
-
-    def _slot(self, key: np.ndarray) -> np.ndarray:
-        return ((key * _U(0x9E3779B97F4A7C15)) >> _U(64 - self.bits)).astype(np.int64)
-
-    def _walk(self, key: np.ndarray) -> np.ndarray:
-        """log10 probability of the low byte after the others, bit by bit from the deepest node that is known."""
-        out = np.zeros(len(key))
-        byte = key & _U(255)
-        for j in range(8):
-            node = _U(1 << j) | (byte >> _U(8 - j))
-            p = np.full(len(key), 0.5)
-            left = np.arange(len(key))
-            for d in range(self.depth, -1, -1):
-                if not len(left) or not len(self.keys):
-                    break
-                ctx = key[left] & _U((1 << 8 * (d + 1)) - 256)
-                k = _U(d << 48) | ctx | node[left]
-                i = np.minimum(np.searchsorted(self.keys, k), len(self.keys) - 1)
-                hit = self.keys[i] == k
-                p[left[hit]] = self.p1[i[hit]]
-                left = left[~hit]
-            one = (byte >> _U(7 - j)) & _U(1)
-            out += np.log10(np.where(one == 1, p, 1 - p))
-        return out
-
-    def score(self, texts: list[bytes]) -> np.ndarray:
-        key, begin = coded(texts, self.depth)
-        out = np.empty(len(key))
-        slot = self._slot(key)
-        at, end = self.first[slot], self.first[slot + 1]
-        left = np.arange(len(key))
-        lost = []
-        while len(left):
-            gone = at >= end
-            if gone.any():
-                lost.append(left[gone])
-                left, at, end = left[~gone], at[~gone], end[~gone]
-            hit = self.grams[at] == key[left]
-            out[left[hit]] = self.logs[at[hit]]
-            left, at, end = left[~hit], at[~hit] + 1, end[~hit]
-        if lost:
-            rest = np.concatenate(lost)
-            new, inv = np.unique(key[rest], return_inverse=True)
-            out[rest] = self._walk(new)[inv]
-        return np.add.reduceat(out, begin[:-1]) if len(texts) else np.zeros(0)
-
-
-def tree(depth: int, grams: DataFrame, nodes: DataFrame) -> Tree:
-    g = np.sort(grams.select("key").toArrow().column(0).to_numpy().astype(np.int64).view(_U))
-    t = nodes.select((F.col("depth").cast("long") * F.lit(1 << 48) + F.col("key")).alias("key"), F.col("p1").cast("float").alias("p1")).toArrow()
-    keys = t.column(0).to_numpy().astype(np.int64).view(_U)
-    order = np.argsort(keys)
-    return Tree(depth, g, keys[order], t.column(1).to_numpy()[order])
+        done = scratch.write(here, f"mixed{d}")
+    run, ddl = _down(depth, top)
+    none = F.lit(None).cast("double")
+    both = grams.select(ctx(top), "key", "n", none.alias("acc"), none.alias("rem")).unionByName(done.select(ctx(top), "key", F.lit(-1).cast("long").alias("n"), "acc", "rem"))
+    return scratch.write(dealt(both).mapInArrow(run, ddl), "logs")
 
 
 # ---------------------------------------------------------------- scoring
 
 
-def _vocabulary(table: pa.Table) -> pa.Table:
-    c: Counter[bytes] = Counter()
-    rest: set[bytes] = set()
-    for t, learn in zip(table.column("_text").cast(pa.large_binary()).to_pylist(), table.column("_train").to_pylist(), strict=True):
-        ws = (t or b"").lower().split()
-        c.update(ws) if learn else rest.update(ws)
-    more = [w for w in rest if w not in c]
-    chunk = table.column("_chunk")[0].as_py() if table.num_rows else 0
-    return pa.table(
-        {"_chunk": pa.array([chunk] * (len(c) + len(more)), pa.int32()), "word": pa.array([*c, *more], pa.binary()), "n": pa.array([*c.values(), *[0] * len(more)], pa.int64())},
-    )
-
-
 _SCORED = "_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long"
 
 
-def _scored(model, total: int, distinct: int, ends: int):
+def _scored(depth: int, total: int, distinct: int, ends: int):
     schema = schema_of(_SCORED)
     log_total = math.log10(total + 0.5 * (distinct + 1))
 
-    def run(docs: pa.Table, words: pa.Table) -> pa.Table:
-        c = words.column("c").to_numpy()
-        worth = dict(zip(words.column("word").to_pylist(), zip(np.log10(c + 0.5).tolist(), (c > 0).tolist(), strict=True), strict=True))
-        end = (math.log10(ends + 0.5), ends > 0)
-        batches = []
-        for b in slices(iter(docs.combine_chunks().to_batches()), "_text", 1 << 23):
-            raw = filled(b, "_text").cast(pa.large_binary()).to_pylist()
-            n, known, base = [], [], []
-            for t in raw:
-                got = [worth[w] for w in t.lower().split()]
-                got.append(end)
-                n.append(len(got))
-                base.append(math.fsum(x for x, _ in got) - len(got) * log_total)
-                known.append(sum(k for _, k in got))
-            score = model.value.score(raw)
-            size = [len(canonical(t)) for t in raw]
-            held = [not x for x in b.column("_train").to_pylist()]
-            batches.append(pa.record_batch([b.column("_id"), pa.array(held, pa.bool_()), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array([total] * len(n), pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()), pa.array(size, pa.int64())], schema=schema))
-        return pa.Table.from_batches(batches, schema=schema)
+    def run(docs: pa.Table, known: pa.Table) -> pa.Table:
+        key, v = known.column("key").to_numpy(), known.column("v").to_numpy()
+        order = np.argsort(key)
+        key, v = key[order], v[order]
+        out = []
+        for b in slices(iter(docs.to_batches()), "_text"):
+            n = b.num_rows
+            texts = filled(b, "_text")
+            words, who = _word_keys(texts)
+            c = v[np.searchsorted(key, words)]
+            base = np.bincount(who, weights=np.log10(c + 0.5), minlength=n) + math.log10(ends + 0.5)
+            tokens = np.bincount(who, minlength=n) + 1
+            seen = np.bincount(who, weights=c > 0, minlength=n).astype(np.int64) + (ends > 0)
+            score, size = np.zeros(n), np.zeros(n, np.int64)
+            for first, text, gram in coded(texts.cast(pa.large_binary()).to_pylist(), depth):
+                pairs = np.sort(gram << _U(8) | text)  # the text's number stands under the gram
+                grams, times = distinct_counts((pairs >> _U(8)).view(np.int64), ordered=True)
+                logs = np.repeat(v[np.searchsorted(key, grams)], times)
+                text = (pairs & _U(255)).astype(np.int64)
+                last = int(text.max()) + 1
+                score[first : first + last] += np.bincount(text, weights=logs)
+                size[first : first + last] += np.bincount(text)
+            held = pc.invert(b.column("_train"))
+            cols = [b.column("_id"), held, pa.array(tokens), pa.array(seen), pa.array(np.full(n, total)), pa.array(base - tokens * log_total), pa.array(score), pa.array(size)]
+            out.append(pa.record_batch(cols, schema=schema))
+        return pa.Table.from_batches(out, schema=schema)
 
     return run
 
 
-def score(docs: DataFrame, depth: int = DEPTH, most: int = MOST, folds: int = 5, held_out: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, depth: int = DEPTH, folds: int = 5, held_out: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Train on the rows whose crc32(id as text) mod ``folds`` is not ``held_out``; score all rows.
 
     Returns id_col, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "ctw")
+    if not 1 <= depth <= 6:
+        raise ValueError("depth must be from 1 to 6")
+    scratch = Scratch(docs.sparkSession, "ctw")
     d = documents(docs, id_col, text_col)
     learn = F.pmod(F.crc32(F.coalesce(public_id("_id").cast("string"), F.lit("")).cast("binary")), F.lit(folds)) != held_out
     d = d.withColumn("_train", learn)
-    depth, grams, nodes = train(d.where("_train"), depth, most, scratch)
-    model = spark.sparkContext.broadcast(tree(depth, grams, nodes))
     size = d.agg(F.sum(F.octet_length("_text")).alias("b"), F.count_if(F.col("_train")).alias("ends")).first()
     chunks = max(1, math.ceil((size.b or 0) / CHUNK_BYTES))
     d = d.select("_id", "_text", "_train", F.pmod(F.xxhash64("_id", "_th"), F.lit(chunks)).cast("int").alias("_chunk"))
-    vocabulary = scratch.write(d.groupBy("_chunk").applyInArrow(_vocabulary, "_chunk int, word binary, n long"), "vocabulary")
-    counts = scratch.write(vocabulary.groupBy("word").agg(F.sum("n").alias("c")), "counts")
-    all_ = counts.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
-    words = vocabulary.select("_chunk", "word").join(counts, "word").select("_chunk", "word", "c")
-    run = _scored(model, (all_.n or 0) + size.ends, all_.v + (size.ends > 0), size.ends)
-    out = d.groupBy("_chunk").cogroup(words.groupBy("_chunk")).applyInArrow(run, _SCORED)
+    vocabulary = scratch.write(d.groupBy("_chunk").applyInArrow(_vocabulary(depth), "_chunk int, key long, n long"), "vocabulary")
+    counts = scratch.write(vocabulary.groupBy("key").agg(F.sum("n").alias("n")), "counts")
+    words = counts.where("key < 0")
+    all_ = words.agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
+    known = gram_logs(counts.where("key >= 0"), depth, scratch).unionByName(words.select("key", F.col("n").cast("double").alias("v")))
+    answers = vocabulary.select("_chunk", "key").join(known, "key").select("_chunk", "key", "v")
+    run = _scored(depth, (all_.n or 0) + size.ends, all_.v + (size.ends > 0), size.ends)
+    out = d.groupBy("_chunk").cogroup(answers.groupBy("_chunk")).applyInArrow(run, _SCORED)
     bits = -F.col("score") * math.log2(10) / F.col("n_bytes")
     return out.select(public_id(id_col), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", bits.alias("bits_per_byte"))
 

@@ -543,17 +543,25 @@ def brute_ctw(train, depth):
     return score
 
 
-def test_ctw_equals_direct_recursion(spark):
-    rows = [(i, t) for i, t in enumerate(["the cat sat on the mat", "the dog sat", None, "", "A cat and a dog; the mat", "zebra 42 the", "the the the"])]
-    got = {r.doc_id: r.score for r in ctw_score.score(spark.createDataFrame(rows, "doc_id long, text string"), depth=3).collect()}
-    brute = brute_ctw([(t or "").encode() for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1], 3)
+@pytest.mark.parametrize("depth", [1, 3, 4, ctw_score.DEPTH])
+def test_ctw_equals_direct_recursion(spark, depth):
+    rows = [(i, t) for i, t in enumerate(["the cat sat on the mat", "the dog sat", None, "", "A cat and a dog; the mat", "zebra 42 the", "the the the", "the cat sat on the mat", "\u6f22\u5b57 caf\u00e9"])]
+    got = {r.doc_id: r.score for r in ctw_score.score(spark.createDataFrame(rows, "doc_id long, text string"), depth=depth).collect()}
+    brute = brute_ctw([(t or "").encode() for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1], depth)
     for i, t in rows:
-        assert got[i] == pytest.approx(brute((t or "").encode()), rel=1e-5)
-
-
-def test_ctw_smaller_depth_where_the_tree_is_large(spark, plain):
-    a = ctw_score.score(plain.limit(50), depth=4, most=500)
-    assert a.count() == 50
+        assert got[i] == pytest.approx(brute((t or "").encode()), rel=1e-9)
+
+
+def test_ctw_blocks_and_groups_do_not_matter(spark, plain, monkeypatch):
+    want = sorted((r.doc_id, r.score) for r in ctw_score.score(plain).collect())
+    monkeypatch.setattr(ctw_score, "CHUNK_BYTES", 1 << 16)
+    got = sorted((r.doc_id, r.score) for r in ctw_score.score(plain).collect())
+    assert [i for i, _ in got] == [i for i, _ in want]
+    assert [x for _, x in got] == pytest.approx([x for _, x in want], rel=1e-9)
+    texts = [t.encode() for t in ("a long text " * 50, "", "b")]
+    whole = [(f + int(w), int(k)) for f, who, key in ctw_score.coded(texts, 6) for w, k in zip(who, key, strict=True)]
+    monkeypatch.setattr(ctw_score, "BLOCK_BYTES", 7)
+    assert whole == [(f + int(w), int(k)) for f, who, key in ctw_score.coded(texts, 6) for w, k in zip(who, key, strict=True)]
 
 
 # ---------------------------------------------------------------- registry
