@@ -6,12 +6,13 @@ bytes before it; for every suffix of that context, training gives counts of zero
 Krichevsky-Trofimov estimate, and the weight of the estimate against the deeper ones (one half each before the data
 is seen). The score is the log10 probability of the text under the mixture; ``bits_per_byte`` is its code length.
 
-1. Documents are dealt into chunks of some 64 MB by a hash. A chunk gives its distinct grams (a byte under the
-   ``depth`` bytes before it) and words with their training counts, 0 where only held-out texts have them.
+1. Documents are packed into compressed blocks of about 1 MB, stored once, and blocks are dealt in turn over chunks of
+   some 128 MB of text. A chunk gives its distinct grams (a byte under the ``depth`` bytes before it) and words with
+   their training counts, 0 where only held-out texts have them.
 2. The counts are added by key. The tree below contexts of ``TOP`` bytes is weighted in numpy, all grams of one such
    context together; there are at most 256 ** (depth - TOP) contexts below one. Their weights go up to the root and
    the mixture comes down again level by level as DataFrame steps; then numpy carries it on to each gram.
-3. The chunks' keys are joined with the finished logarithms and meet the chunk's documents again.
+3. The chunks' keys are joined with the finished logarithms and meet the chunk's blocks again, which stream by.
 
 The depth is the same for every input, no part of the tree or of the vocabulary is broadcast or sent to the driver,
 and a gram that training has not seen goes through the tree as one with zero counts. Words are told apart by 63-bit
@@ -29,6 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,7 +38,7 @@ from .common import Scratch, Words, distinct_counts, documents, filled, partitio
 
 #: bytes of context, at most 6 so that a gram fits a positive long; bytes down to which levels are DataFrame steps
 DEPTH, TOP = 6, 3
-CHUNK_BYTES, BLOCK_BYTES, GROUP_ROWS = 64 << 20, 1 << 20, 1 << 18
+CHUNK_BYTES, BLOCK_BYTES, GROUP_ROWS = 128 << 20, 1 << 20, 1 << 18
 _U = np.uint64
 
 
@@ -75,6 +77,32 @@ def coded(texts: list[bytes], depth: int) -> Iterator[tuple[int, np.ndarray, np.
         at += len(body)
 
 
+# ---------------------------------------------------------------- blocks of documents
+
+
+def _packed(chunks: int):
+    schema = schema_of("_chunk int, block binary")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.ipc.IpcWriteOptions(compression="zstd")
+        at = TaskContext.get().partitionId() * 7919
+        for b in slices(batches, "_text", BLOCK_BYTES):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, b.schema, options=codec) as out:
+                out.write_batch(b)
+            yield pa.record_batch([pa.array([at % chunks], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], schema=schema)
+            at += 1
+
+    return run
+
+
+def _unpacked(block: pa.Scalar) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """The batches of a block and their texts, nulls as empty ones."""
+    with pa.ipc.open_stream(block.as_buffer()) as f:
+        for b in f:
+            yield b, filled(b, "_text")
+
+
 # ---------------------------------------------------------------- a chunk's grams and words
 
 
@@ -84,35 +112,56 @@ def _word_keys(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (w.hash | _U(1 << 63)).view(np.int64), np.repeat(np.arange(len(texts)), np.diff(w.first))
 
 
-def _vocabulary(depth: int):
-    schema = schema_of("_chunk int, key long, n long")
+class _Counted:
+    """Keys with their counts, added up whenever as many new ones have come as half of those there are."""
 
-    def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        key, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    def __init__(self):
+        self.key, self.n, self.parts, self.new = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
+
+    def add(self, keys: np.ndarray, learn: bool) -> None:
+        k, n = distinct_counts(keys)
+        self.parts.append((k, n if learn else np.zeros_like(n)))
+        self.new += len(k)
+        if self.new > max(1 << 19, len(self.key) // 2):
+            self.merge()
+
+    def merge(self) -> None:
+        key = np.concatenate([self.key, *(p[0] for p in self.parts)])
+        n = np.concatenate([self.n, *(p[1] for p in self.parts)])
+        self.parts, self.new = [], 0
         order = np.argsort(key)
         key, n = key[order], n[order]
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        return key[first], np.add.reduceat(n, first)
-
-    def run(table: pa.Table) -> pa.Table:
-        parts: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def add(keys: np.ndarray, learn: bool) -> None:
-            k, n = distinct_counts(keys)
-            parts.append((k, n if learn else np.zeros_like(n)))
-            if len(parts) > 1 and sum(len(p[0]) for p in parts[1:]) > max(1 << 21, len(parts[0][0])):
-                parts[:] = [merged(parts)]
-
-        for b in slices(iter(table.to_batches()), "_text"):
-            learn = b.column("_train")
-            for flag, rows in ((True, b.filter(learn)), (False, b.filter(pc.invert(learn)))):
-                if rows.num_rows:
-                    texts = filled(rows, "_text")
-                    add(_word_keys(texts)[0], flag)
-                    grams = [key for _, _, key in coded(texts.cast(pa.large_binary()).to_pylist(), depth)]
-                    add(np.concatenate(grams).view(np.int64), flag)
-        key, n = merged(parts)
-        return pa.table([pa.array(np.full(len(key), table.column("_chunk")[0].as_py(), np.int32)), pa.array(key), pa.array(n)], schema=schema)
+        del order
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, int)
+        self.key, self.n = key[first], np.add.reduceat(n, first) if len(key) else n
+
+
+def _vocabulary(depth: int):
+    schema = schema_of("_chunk int, key long, n long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, kinds = None, (_Counted(), _Counted())
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for c in kinds:
+                c.merge()
+                for a in range(0, len(c.key), GROUP_ROWS):
+                    key, n = c.key[a : a + GROUP_ROWS], c.n[a : a + GROUP_ROWS]
+                    yield pa.record_batch([pa.array(np.full(len(key), chunk, np.int32)), pa.array(key), pa.array(n)], schema=schema)
+
+        for blocks in batches:
+            for at, block in zip(blocks.column("_chunk").to_pylist(), blocks.column("block"), strict=True):
+                if at != chunk:
+                    yield from out()
+                    chunk, kinds = at, (_Counted(), _Counted())
+                for b, texts in _unpacked(block):
+                    for learn in (True, False):
+                        some = texts.filter(pc.equal(b.column("_train"), learn))
+                        if len(some):
+                            kinds[0].add(_word_keys(some)[0], learn)
+                            for _, _, gram in coded(some.cast(pa.large_binary()).to_pylist(), depth):
+                                kinds[1].add(gram.view(np.int64), learn)
+        yield from out()
 
     return run
 
@@ -290,32 +339,48 @@ def _scored(depth: int, total: int, distinct: int, ends: int):
     schema = schema_of(_SCORED)
     log_total = math.log10(total + 0.5 * (distinct + 1))
 
-    def run(docs: pa.Table, known: pa.Table) -> pa.Table:
-        key, v = known.column("key").to_numpy(), known.column("v").to_numpy()
-        order = np.argsort(key)
-        key, v = key[order], v[order]
-        out = []
-        for b in slices(iter(docs.to_batches()), "_text"):
-            n = b.num_rows
-            texts = filled(b, "_text")
-            words, who = _word_keys(texts)
-            c = v[np.searchsorted(key, words)]
-            base = np.bincount(who, weights=np.log10(c + 0.5), minlength=n) + math.log10(ends + 0.5)
-            tokens = np.bincount(who, minlength=n) + 1
-            seen = np.bincount(who, weights=c > 0, minlength=n).astype(np.int64) + (ends > 0)
-            score, size = np.zeros(n), np.zeros(n, np.int64)
-            for first, text, gram in coded(texts.cast(pa.large_binary()).to_pylist(), depth):
-                pairs = np.sort(gram << _U(8) | text)  # the text's number stands under the gram
-                grams, times = distinct_counts((pairs >> _U(8)).view(np.int64), ordered=True)
-                logs = np.repeat(v[np.searchsorted(key, grams)], times)
-                text = (pairs & _U(255)).astype(np.int64)
-                last = int(text.max()) + 1
-                score[first : first + last] += np.bincount(text, weights=logs)
-                size[first : first + last] += np.bincount(text)
-            held = pc.invert(b.column("_train"))
-            cols = [b.column("_id"), held, pa.array(tokens), pa.array(seen), pa.array(np.full(n, total)), pa.array(base - tokens * log_total), pa.array(score), pa.array(size)]
-            out.append(pa.record_batch(cols, schema=schema))
-        return pa.Table.from_batches(out, schema=schema)
+    def scored(b: pa.RecordBatch, texts: pa.Array, key: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+        n = b.num_rows
+        words, who = _word_keys(texts)
+        c = v[np.searchsorted(key, words)]
+        base = np.bincount(who, weights=np.log10(c + 0.5), minlength=n) + math.log10(ends + 0.5)
+        tokens = np.bincount(who, minlength=n) + 1
+        seen = np.bincount(who, weights=c > 0, minlength=n).astype(np.int64) + (ends > 0)
+        score, size = np.zeros(n), np.zeros(n, np.int64)
+        for first, text, gram in coded(texts.cast(pa.large_binary()).to_pylist(), depth):
+            pairs = np.sort(gram << _U(8) | text)  # the text's number stands under the gram
+            grams, times = distinct_counts((pairs >> _U(8)).view(np.int64), ordered=True)
+            logs = np.repeat(v[np.searchsorted(key, grams)], times)
+            text = (pairs & _U(255)).astype(np.int64)
+            last = int(text.max()) + 1
+            score[first : first + last] += np.bincount(text, weights=logs)
+            size[first : first + last] += np.bincount(text)
+        cols = [b.column("_id"), pc.invert(b.column("_train")), pa.array(tokens), pa.array(seen), pa.array(np.full(n, total)), pa.array(base - tokens * log_total), pa.array(score), pa.array(size)]
+        return pa.record_batch(cols, schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, parts = None, []
+        key = v = np.zeros(0)
+        for rows in batches:  # of each chunk the keys come before the blocks
+            at = rows.column("_chunk").to_numpy()
+            for a, z in zip(*(lambda cut: (cut[:-1], cut[1:]))([0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(at)]), strict=True):
+                if a == z:
+                    continue
+                if at[a] != chunk:
+                    chunk, parts = at[a], []
+                some = rows.slice(a, z - a)
+                blocks = some.column("block")
+                keys = some.filter(blocks.is_null())
+                if keys.num_rows:
+                    parts.append((keys.column("key").to_numpy(), keys.column("v").to_numpy()))
+                for block in blocks.drop_null():
+                    if parts:
+                        key, v = (np.concatenate(x) for x in zip(*parts, strict=True))
+                        parts = []
+                        order = np.argsort(key)
+                        key, v = key[order], v[order]
+                    for b, texts in _unpacked(block):
+                        yield scored(b, texts, key, v)
 
     return run
 
@@ -328,20 +393,23 @@ def score(docs: DataFrame, depth: int = DEPTH, folds: int = 5, held_out: int = 1
     if not 1 <= depth <= 6:
         raise ValueError("depth must be from 1 to 6")
     scratch = Scratch(docs.sparkSession, "ctw")
+    n_parts = partitions(docs.sparkSession)
     d = documents(docs, id_col, text_col)
     learn = F.pmod(F.crc32(F.coalesce(public_id("_id").cast("string"), F.lit("")).cast("binary")), F.lit(folds)) != held_out
-    d = d.withColumn("_train", learn)
+    d = d.select("_id", "_text", learn.alias("_train"))
     size = d.agg(F.sum(F.octet_length("_text")).alias("b"), F.count_if(F.col("_train")).alias("ends")).first()
     chunks = max(1, math.ceil((size.b or 0) / CHUNK_BYTES))
-    d = d.select("_id", "_text", "_train", F.pmod(F.xxhash64("_id", "_th"), F.lit(chunks)).cast("int").alias("_chunk"))
-    vocabulary = scratch.write(d.groupBy("_chunk").applyInArrow(_vocabulary(depth), "_chunk int, key long, n long"), "vocabulary")
+    blocks = scratch.write(d.mapInArrow(_packed(chunks), "_chunk int, block binary"), "blocks")
+    vocabulary = blocks.repartition(n_parts, "_chunk").sortWithinPartitions("_chunk").mapInArrow(_vocabulary(depth), "_chunk int, key long, n long")
+    vocabulary = scratch.write(vocabulary, "vocabulary")
     counts = scratch.write(vocabulary.groupBy("key").agg(F.sum("n").alias("n")), "counts")
     words = counts.where("key < 0")
     all_ = words.agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
     known = gram_logs(counts.where("key >= 0"), depth, scratch).unionByName(words.select("key", F.col("n").cast("double").alias("v")))
-    answers = vocabulary.select("_chunk", "key").join(known, "key").select("_chunk", "key", "v")
-    run = _scored(depth, (all_.n or 0) + size.ends, all_.v + (size.ends > 0), size.ends)
-    out = d.groupBy("_chunk").cogroup(answers.groupBy("_chunk")).applyInArrow(run, _SCORED)
+    answers = vocabulary.select("_chunk", "key").join(known, "key").select("_chunk", "key", "v", F.lit(None).cast("binary").alias("block"))
+    both = answers.unionByName(blocks.select("_chunk", F.lit(None).cast("long").alias("key"), F.lit(None).cast("double").alias("v"), "block"))
+    both = both.repartition(n_parts, "_chunk").sortWithinPartitions("_chunk", F.col("block").isNotNull())
+    out = both.mapInArrow(_scored(depth, (all_.n or 0) + size.ends, all_.v + (size.ends > 0), size.ends), _SCORED)
     bits = -F.col("score") * math.log2(10) / F.col("n_bytes")
     return out.select(public_id(id_col), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", bits.alias("bits_per_byte"))
 
