@@ -7,7 +7,7 @@ Krichevsky-Trofimov estimate, and the weight of the estimate against the deeper
 is seen). The score is the log10 probability of the text under the mixture; ``bits_per_byte`` is its code length.
 
 1. Documents are packed into compressed blocks of about 1 MB, stored once, and blocks are dealt in turn over chunks of
-   some 128 MB of text. A chunk gives its distinct grams (a byte under the ``depth`` bytes before it) and words with
+   some 96 MB of text. A chunk gives its distinct grams (a byte under the ``depth`` bytes before it) and words with
    their training counts, 0 where only held-out texts have them.
 2. The counts are added by key. The tree below contexts of ``TOP`` bytes is weighted in numpy, all grams of one such
    context together; there are at most 256 ** (depth - TOP) contexts below one. Their weights go up to the root and
@@ -38,7 +38,7 @@ from .common import Scratch, Words, distinct_counts, documents, filled, partitio
 
 #: bytes of context, at most 6 so that a gram fits a positive long; bytes down to which levels are DataFrame steps
 DEPTH, TOP = 6, 3
-CHUNK_BYTES, BLOCK_BYTES, GROUP_ROWS = 128 << 20, 1 << 20, 1 << 18
+CHUNK_BYTES, BLOCK_BYTES, GROUP_ROWS = 96 << 20, 1 << 20, 1 << 18
 _U = np.uint64
 
 
@@ -113,27 +113,31 @@ def _word_keys(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class _Counted:
-    """Keys with their counts, added up whenever as many new ones have come as half of those there are."""
+    """Keys with their counts, added up whenever as many new ones have come as a quarter of those there are."""
 
     def __init__(self):
-        self.key, self.n, self.parts, self.new = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
+        self.key, self.n, self.parts, self.new = np.zeros(0, np.int64), np.zeros(0, np.int32), [], 0
 
     def add(self, keys: np.ndarray, learn: bool) -> None:
         k, n = distinct_counts(keys)
-        self.parts.append((k, n if learn else np.zeros_like(n)))
+        self.parts.append((k, n.astype(np.int32) if learn else np.zeros(len(n), np.int32)))
         self.new += len(k)
-        if self.new > max(1 << 19, len(self.key) // 2):
+        if self.new > max(1 << 19, len(self.key) // 4):
             self.merge()
 
     def merge(self) -> None:
         key = np.concatenate([self.key, *(p[0] for p in self.parts)])
         n = np.concatenate([self.n, *(p[1] for p in self.parts)])
-        self.parts, self.new = [], 0
+        self.key, self.n, self.parts, self.new = key[:0], n[:0], [], 0
+        if not len(key):
+            return
         order = np.argsort(key)
-        key, n = key[order], n[order]
+        n = n[order]
+        key = key[order]
         del order
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, int)
-        self.key, self.n = key[first], np.add.reduceat(n, first) if len(key) else n
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        self.n = np.add.reduceat(n, first, dtype=np.int32)
+        self.key = key[first]
 
 
 def _vocabulary(depth: int):
@@ -147,13 +151,15 @@ def _vocabulary(depth: int):
                 c.merge()
                 for a in range(0, len(c.key), GROUP_ROWS):
                     key, n = c.key[a : a + GROUP_ROWS], c.n[a : a + GROUP_ROWS]
-                    yield pa.record_batch([pa.array(np.full(len(key), chunk, np.int32)), pa.array(key), pa.array(n)], schema=schema)
+                    yield pa.record_batch([pa.array(np.full(len(key), chunk, np.int32)), pa.array(key), pa.array(n.astype(np.int64))], schema=schema)
+                c.__init__()
+            pa.default_memory_pool().release_unused()
 
         for blocks in batches:
             for at, block in zip(blocks.column("_chunk").to_pylist(), blocks.column("block"), strict=True):
                 if at != chunk:
                     yield from out()
-                    chunk, kinds = at, (_Counted(), _Counted())
+                    chunk = at
                 for b, texts in _unpacked(block):
                     for learn in (True, False):
                         some = texts.filter(pc.equal(b.column("_train"), learn))
