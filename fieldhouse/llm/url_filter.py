@@ -48,10 +48,14 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     paths = F.transform(F.filter(lengths, lambda n: n <= F.length("path")), lambda n: F.col("path").substr(F.lit(1), n))
     each = urls.select("host", "path", F.explode(hosts).alias("_h"), paths.alias("_paths")).select("host", "path", "_h", F.explode("_paths").alias("_p"))
     each = each.withColumn("_digest", F.sha2(F.concat_ws("\x00", "_h", "_p"), 256)).withColumn("_short", F.substring("_digest", 1, 8))
-    met = each.join(known, (F.col("_short") == F.col("short")) & (F.col("_digest") == F.col("digest")))
+    met = each.join(known, F.col("_short") == F.col("short"))
     size = F.length("rule_host") + F.length("rule_path")
-    best = met.groupBy("host", "path").agg(F.max_by(F.struct("verdict", F.concat("rule_host", "rule_path").alias("rule")), F.struct(size, F.length("rule_host"), F.when(F.col("verdict") == "allow", 1).otherwise(0))).alias("best"))
-    out = d.join(best, ["host", "path"], "left")
+    # the digests are compared inside the aggregate: as a filter they would become a second key of the join
+    sure = F.when(F.col("_digest") == F.col("digest"), F.struct(size, F.length("rule_host"), F.when(F.col("verdict") == "allow", 1).otherwise(0)))
+    best = met.groupBy("host", "path").agg(F.max_by(F.struct("verdict", F.concat("rule_host", "rule_path").alias("rule")), sure).alias("best"))
+    none = F.lit(None).cast(best.schema["best"].dataType)
+    # rows without a host fit no rule and stay out of the join
+    out = d.where("host <> ''").join(best, ["host", "path"], "left").unionByName(d.where("host = ''").withColumn("best", none))
     return out.select(F.col("_page").alias(id_col), "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit("allow")).alias("verdict"))
 
 
