@@ -5,6 +5,7 @@ Words everywhere are maximal runs of bytes outside ``\\x20 \\x09-\\x0D`` in the
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -20,20 +21,32 @@ from pyspark.sql import Window as W
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one is set only where none is."""
+    """The shared folder named by ``spark.checkpoint.dir``; a temporary one is set only where none is and all runs in one process."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[\d*, ]+\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="fieldhouse-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
+#: bytes of an Arrow batch on its way to a Python worker; whole texts make Spark's default of 64 MB a real cost on both sides
+ARROW_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches by ``ARROW_BYTES``."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
+
 class Scratch:
     """Tables that one operator call writes to cut lineage; they survive the loss of any executor."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.n, self.tables = 0, []
+        small_batches(spark)
 
     def write(self, df: DataFrame, name: str = "t") -> DataFrame:
         path = self.path(name)
@@ -82,6 +95,19 @@ def public_id(name: str = "doc_id", col: str = "_id") -> Column:
     return F.when(F.col(col) != F.lit(-(2**63)), F.col(col)).alias(name)
 
 
+def named(value: Column) -> Column:
+    """A text value as a key that is never null, the null one apart from the empty one."""
+    return F.coalesce(F.concat(F.lit("="), value.cast("string")), F.lit(""))
+
+
+def named_key(value: str | None) -> str:
+    return "" if value is None else "=" + value
+
+
+def unnamed(key: str) -> Column:
+    return F.when(F.col(key) != "", F.expr(f"substr({key}, 2)"))
+
+
 # ---------------------------------------------------------------- ranks without a window over a hot key
 
 
@@ -114,7 +140,7 @@ SMALL_ROWS = 200_000
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, component) for every node of ``edges`` (a, b: long); component is the smallest node reachable.
+    """(node, component) for every node of ``edges`` (a, b: long, rows with a null left out); component is the smallest node reachable.
 
     Randomised contraction: each round every node moves to the neighbour (itself included) with the smallest
     salted hash, the edges follow, loops go. A round removes a constant share of the nodes on average, so rounds
@@ -239,6 +265,9 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 1 << 22) ->
     for b in batches:
         if not b.num_rows:
             continue
+        if b.nbytes <= most:
+            yield b
+            continue
         col = b.column(text).cast(pa.large_string())
         off = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1]
         at = 0

@@ -22,7 +22,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, public_id, running
+from .common import Scratch, named, named_key, public_id, running, unnamed
 
 BLOCK_BYTES, SLOTS = 1 << 16, 1000
 
@@ -84,22 +84,22 @@ def plan(blocks: dict[str, int], weights: dict[str, float], slots: int) -> list[
     return steps
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_bytes: int = BLOCK_BYTES, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keys: bool = False) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block_bytes: int = BLOCK_BYTES, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keys: bool = False) -> DataFrame:
     """Per row: id_col, source, block, slot, place (bytes of its source before it). Order by slot, then place.
 
-    ``weights`` default to the square roots of the sources' sizes.
+    ``weights`` (source, None for the null one, to its weight) default to the square roots of the sources' sizes.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mixing")
     d = docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("_id"), F.xxhash64(text_col).alias("_th"),
-        F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), F.greatest(F.coalesce(F.octet_length(text_col), F.lit(0)), F.lit(1)).cast("long").alias("_size"),
+        named(F.col(source_col)).alias("source"), F.greatest(F.coalesce(F.octet_length(text_col), F.lit(0)), F.lit(1)).cast("long").alias("_size"),
     )
     d = scratch.write(d, "sizes")
     totals = {r.source: r.n for r in d.groupBy("source").agg(F.sum("_size").alias("n")).collect()}  # a row for each source
     placed = running(d, "source", [F.xxhash64("_id", "_th"), F.col("_id"), F.col("_th")], F.col("_size"), max(16, -(-max(totals.values(), default=1) // (1 << 30))), "place")
     placed = placed.withColumn("block", F.floor(F.col("place") / block_bytes).cast("long"))
-    steps = plan({s: (n - 1) // block_bytes + 1 for s, n in totals.items()}, weights or {s: math.sqrt(n) for s, n in totals.items()}, slots)
+    steps = plan({s: (n - 1) // block_bytes + 1 for s, n in totals.items()}, {named_key(s): w for s, w in weights.items()} if weights else {s: math.sqrt(n) for s, n in totals.items()}, slots)
     table = spark.createDataFrame(steps or [("", 0, 0, 0, 1, [0])], "s string, first long, n long, start long, slots long, places array<long>")
     table = table.groupBy("s").agg(F.collect_list(F.struct("first", "n", "start", "slots", "places")).alias("steps"))
     out = placed.join(F.broadcast(table), F.col("source") == F.col("s"))  # at most sources x slots entries
@@ -107,7 +107,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_bytes: i
     out = out.withColumn("_x", step).withColumn("_i", F.col("block") - F.col("_x.first"))
     each = F.size("_x.places")
     slot = F.col("_x.start") + F.floor(F.col("_i") / each) * F.col("_x.slots") + F.get(F.col("_x.places"), (F.col("_i") % each).cast("int"))
-    return out.select(public_id(id_col), "source", "block", slot.cast("long").alias("slot"), "place", *(["_id", "_th"] if keys else []))
+    return out.select(public_id(id_col), unnamed("source").alias("source"), "block", slot.cast("long").alias("slot"), "place", *(["_id", "_th"] if keys else []))
 
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

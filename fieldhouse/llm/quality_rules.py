@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import _SEP, Scratch, Words, filled, public_id, slices
+from .common import _SEP, Scratch, Words, filled, named, public_id, slices
 
 #: rule -> grid of cutoffs, ascending; a text is rejected where its value is above the cutoff
 GRIDS: dict[str, list[float]] = {
@@ -112,12 +112,12 @@ def cutoffs(cells: list[tuple[str, str, int, int]], alpha: float = ALPHA, delta:
     strata = sorted({s for s, *_ in cells})
     tests = max(1, len(strata)) * sum(map(len, GRIDS.values()))
     out: dict[str, dict[str, float]] = {s: {} for s in strata}
+    seen = {(s, rule): np.zeros(len(grid) + 1, np.int64) for s in strata for rule, grid in GRIDS.items()}
+    for s, rule, cell, good in cells:
+        seen[s, rule][cell] += good
     for s in strata:
         for rule, grid in GRIDS.items():
-            by = np.zeros(len(grid) + 1, np.int64)
-            for s2, r2, cell, good in cells:
-                if s2 == s and r2 == rule:
-                    by[cell] += good
+            by = seen[s, rule]
             n, above = int(by.sum()), by[::-1].cumsum()[::-1]
             for i, cut in enumerate(grid):
                 if above[i + 1] <= alpha / len(GRIDS) * n and upper_bound(int(above[i + 1]), n, delta / tests) <= alpha / len(GRIDS):
@@ -160,7 +160,7 @@ def thresholds(seen: DataFrame, labels: DataFrame, alpha: float, delta: float) -
 
 
 def _slim(docs: DataFrame, stratum: str, id_col: str, text_col: str) -> DataFrame:
-    d = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("_id"), F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("_stratum"), F.col(text_col).alias("_text"))
+    d = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("_id"), named(F.col(stratum)).alias("_stratum"), F.col(text_col).alias("_text"))
     return counted(d, "_text").drop("_text")
 
 
@@ -176,7 +176,7 @@ def keep(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float
     """The rows that ``judge`` keeps, whole. Texts are read twice and never shuffled."""
     seen = Scratch(docs.sparkSession, "quality").write(_slim(docs, stratum, id_col, text_col), "counted")
     table = thresholds(seen, labels, alpha, delta)
-    d = counted(docs, text_col, "_q_").withColumn("_stratum", F.coalesce(F.col(stratum).cast("string"), F.lit("")))
+    d = counted(docs, text_col, "_q_").withColumn("_stratum", named(F.col(stratum)))
     d = d.join(F.broadcast(table), "_stratum", "left")
     return d.where(~_base_failed("_q_") & (F.size(_rejected_by("_q_")) == 0)).select(*docs.columns)
 
