@@ -100,7 +100,6 @@ class Graph:
         both = np.concatenate([self.links[layer][hit].astype(np.int64), more], 1)
         for a in range(0, len(hit), 512):
             h, c = hit[a : a + 512], both[a : a + 512]
-            sim = np.einsum("bcd,bd->bc", self.x[np.maximum(c, 0)], self.x[h])
             c.sort(axis=1)
             sim = np.einsum("bcd,bd->bc", self.x[np.maximum(c, 0)], self.x[h])
             same = np.zeros(c.shape, bool)
@@ -188,6 +187,7 @@ def _pack(**arrays: np.ndarray) -> bytes:
 
 def _unit(vectors: pd.Series) -> np.ndarray:
     x = np.stack(vectors.to_numpy()).astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)  # squares of very large or small components leave the doubles
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
