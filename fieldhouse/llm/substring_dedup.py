@@ -69,7 +69,7 @@ def _texts_of(w: Words, at: np.ndarray) -> np.ndarray:
 
 
 def _prints(words: int, gram: int):
-    schema = schema_of("fp long, _id long, _th int, n int")
+    schema = schema_of("fp long, _id long, _th long, n int")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "_text"):
@@ -107,8 +107,8 @@ class FingerprintIndex:
         return name, path
 
     def add(self, docs: DataFrame) -> DataFrame:
-        """docs: rows of ``documents()``, with an int ``_th``."""
-        name, path = self._write(docs.select("_id", "_th", "_text").mapInArrow(_prints(self.words, self.gram), "fp long, _id long, _th int, n int"))
+        """docs: rows of ``documents()``."""
+        name, path = self._write(docs.select("_id", "_th", "_text").mapInArrow(_prints(self.words, self.gram), "fp long, _id long, _th long, n int"))
         run = self.spark.table(name)
         hits = run.groupBy("fp").agg(F.sum("n").alias("n")).where("n > 1").select("fp")
         for old, _ in self.runs:
@@ -145,9 +145,9 @@ class FingerprintIndex:
         return found.groupBy("_id", "_th").agg(F.collect_set("fp").alias("fps"))
 
 
-_LOOKED = "_id long, _th int, _text string, fps array<long>, n_words long, kept_sha256 string, _row {row}"
-_CUT = "_id long, _th int, n_words long, n_removed long, kept_sha256 string, kept_text string, _row {row}"
-_SEGMENT = "fp long, whole long, _id long, _th int, start int, n int, windows array<long>"
+_LOOKED = "_id long, _th long, _text string, fps array<long>, n_words long, kept_sha256 string, _row {row}"
+_CUT = "_id long, _th long, n_words long, n_removed long, kept_sha256 string, kept_text string, _row {row}"
+_SEGMENT = "fp long, whole long, _id long, _th long, start int, n int, windows array<long>"
 
 
 def _look(text_for_all: bool, ddl: str):
@@ -267,7 +267,7 @@ def dedup(docs: DataFrame, words: int = WORDS, gram: int = GRAM, batches: int =
     scratch = Scratch(spark, "substrings")
     row = F.struct(*(F.col(c) for c in carry)) if carry else F.lit(None).cast("boolean")
     d = docs.withColumn("_row", row)
-    d = documents(d, id_col, text_col, "_row").withColumn("_th", F.hash("_text"))
+    d = documents(d, id_col, text_col, "_row")
     kind = d.schema["_row"].dataType.simpleString()
     index, hits = FingerprintIndex(spark, scratch, words, gram), None
     for k in range(batches):
