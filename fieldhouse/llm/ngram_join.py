@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import Scratch, Words, components, documents, filled, mix, public_id, schema_of, slices
+from .common import Scratch, Words, components, distinct_counts, documents, filled, mix, public_id, schema_of, slices
 
 SKETCH_BITS, SLICE = 22, 1 << 15
 HOT = 5000
@@ -41,7 +41,7 @@ def shingles(w: Words, k: int) -> Iterator[np.ndarray]:
     grams = w.windows(k)
     for a, z in zip(w.first[:-1], w.first[1:], strict=True):
         if z - a >= k:
-            yield np.unique(grams[a : z - k + 1])
+            yield distinct_counts(grams[a : z - k + 1])[0]
         elif z > a:
             h = np.full(1, z - a, np.uint64)
             for i in range(a, z):
@@ -72,20 +72,28 @@ def _sliced(total: np.ndarray, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array([TaskContext.get().partitionId()] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], schema=schema)
 
 
-def _added(pdf: pd.DataFrame) -> pd.DataFrame:
-    total = np.zeros(SLICE, np.uint32)
-    for c in pdf["counts"]:
-        total += np.frombuffer(c, np.uint16)
-    return pd.DataFrame({"part": [0], "slice": [pdf["slice"].iloc[0]], "counts": [np.minimum(total, 0xFFFF).astype(np.uint16).tobytes()]})
+def _added(kind: type):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(SLICE, np.uint64)
+        for c in pdf["counts"]:
+            total += np.frombuffer(c, kind)
+        return pd.DataFrame({"part": [0], "slice": [pdf["slice"].iloc[0]], "counts": [total.tobytes()]})
+
+    return run
+
+
+def scaled(count: np.ndarray) -> np.ndarray:
+    """Counts as two bytes on a logarithmic scale, so that the order holds for counts of any size."""
+    return np.round(1024 * np.log2(1 + count.astype(np.float64))).astype(np.uint16)
 
 
 def _gathered(part: DataFrame, bits: int) -> np.ndarray:
-    """Partial counts added in two levels: 2**bits two-byte counts, whatever the input."""
+    """Partial counts added in two levels and scaled: 2**bits two-byte counts, whatever the input."""
     ddl = "part int, slice int, counts binary"
-    part = part.groupBy("slice", F.pmod("part", F.lit(32)).alias("group")).applyInPandas(_added, ddl)
+    part = part.groupBy("slice", F.pmod("part", F.lit(32)).alias("group")).applyInPandas(_added(np.uint16), ddl)
     total = np.zeros(1 << bits, np.uint16)
-    for r in part.groupBy("slice").applyInPandas(_added, ddl).collect():
-        total[r.slice * SLICE : (r.slice + 1) * SLICE] = np.frombuffer(r.counts, np.uint16)
+    for r in part.groupBy("slice").applyInPandas(_added(np.uint64), ddl).collect():
+        total[r.slice * SLICE : (r.slice + 1) * SLICE] = scaled(np.frombuffer(r.counts, np.uint64))
     return total
 
 
@@ -131,7 +139,7 @@ def _signed(k: int, num: int, den: int, counts):
                 take = n + (-num * n) // den + 1 if n else 0  # n - ceil(num * n / den) + 1
                 often = table[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                 first = np.lexsort((s, often))[:take]
-                p, hot = s[first], often[first] > HOT
+                p, hot = s[first], often[first] > scaled(np.array([HOT]))[0]
                 for c, v in zip(out, (n, *_digest(s), *_digest(p), p[~hot].view(np.int64), p[hot].view(np.int64)), strict=True):
                     c.append(v)
             yield pa.record_batch([b.column("_id"), b.column("_th"), pa.array(out[0], pa.int32()), *(pa.array(c, pa.int64()) for c in out[1:5]), *(pa.array(c, pa.list_(pa.int64())) for c in out[5:])], schema=schema)
