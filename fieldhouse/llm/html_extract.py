@@ -16,7 +16,7 @@ Blocks end at block-level elements; character references are decoded, white spac
 blocks are joined by an empty line.
 
 Nulls, ties and odd rows: null or empty html gives the empty text; pages without a host share one wrapper; broken
-markup is closed as browsers do; elements nested over ``DEPTH`` deep are read as if at that depth; rows that
+markup is closed as browsers do, and as there, elements nested over ``DEPTH`` deep are read as if at that depth; rows that
 repeat are extracted each; other columns are ignored; an empty table gives an empty result.
 """
 
@@ -25,9 +25,9 @@ from __future__ import annotations
 import html as _html
 import json
 import re
+import sys
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, filled, schema_of, slices
 from .url_filter import _host
 
-DEPTH = 120
+DEPTH = 512  # as in browsers
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>", re.S)
 _NAMED = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -56,6 +56,11 @@ _BAD_WORDS = set(
     "nav navigation navbar menu sidebar aside footer ad ads advert advertisement adverts banner promo promotion sponsor sponsored cookie cookies consent notice notification alert gdpr "
     "newsletter subscribe subscription comment comments reply replies respond disqus share sharing social related recommended breadcrumb breadcrumbs popup modal overlay widget login signup search toolbar pagination pager masthead skip".split()
 )
+#: words that say nothing beside a word above; a name with any other word, such as "related-work", is no sign
+_PLAIN_WORDS = set(
+    "area bar block body bottom box button card center col column container content fixed footer form global group head header inner item items js large left link links list main "
+    "module off on outer page panel post posts row section site slot small sticky sub text title top unit wide wrap wrapper right".split()
+)
 _GOOD_WORDS = set("article content main post entry story body".split())
 
 #: kinds of slots, in the order in which a page tries them; a USABLE one is of no boilerplate and not dull
@@ -69,10 +74,10 @@ def _label(name: str, attrs: str) -> str:
     if name in _BAD_NAMES:
         return name + "-"
     if attrs and name not in ("body", "html", "article", "main"):
-        words = {w.lower() for m in _NAMED.finditer(attrs) for w in _WORD.findall(m[1] or m[2] or m[3] or "")}
-        if words & _BAD_WORDS:
+        names = [{w.lower() for w in _WORD.findall(x)} for m in _NAMED.finditer(attrs) for x in (m[1] or m[2] or m[3] or "").split()]
+        if any(words & _BAD_WORDS and words <= _BAD_WORDS | _PLAIN_WORDS for words in names):
             return name + "-"
-        if words & _GOOD_WORDS:
+        if any(words & _GOOD_WORDS for words in names):
             return name + "+"
     return name
 
@@ -201,6 +206,38 @@ def _add(a: Node, b: Node) -> None:
     a[3] = _merge(a[3], b[3])
 
 
+def common(xs: list[str], ys: list[str]) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence, for lists of any length: a row of its table is one integer, a bit for each of ``ys``
+    that is 0 where the length grows."""
+    n, m = len(xs), len(ys)
+    head = 0
+    while head < min(n, m) and xs[head] == ys[head]:
+        head += 1
+    tail = 0
+    while tail < min(n, m) - head and xs[n - 1 - tail] == ys[m - 1 - tail]:
+        tail += 1
+    mid, other = xs[head : n - tail], ys[head : m - tail]
+    where: dict[str, int] = {}
+    for j, y in enumerate(other):
+        where[y] = where.get(y, 0) | 1 << j
+    full = (1 << len(other)) - 1
+    rows = [full]
+    for x in mid:
+        row, hit = rows[-1], where.get(x, 0)
+        rows.append(((row + (row & hit)) | (row & ~hit)) & full)
+    pairs = []
+    i, j = len(mid), len(other)
+    while i and j:
+        if rows[i] >> (j - 1) & 1:
+            j -= 1
+        elif not rows[i - 1] >> (j - 1) & 1:
+            i -= 1
+        else:
+            i, j = i - 1, j - 1
+            pairs.append((head + i, head + j))
+    return [*((i, i) for i in range(head)), *reversed(pairs), *((n - tail + i, m - tail + i) for i in range(tail))]
+
+
 def _merge(xs: list[Node], ys: list[Node]) -> list[Node]:
     if not ys:
         return xs
@@ -212,28 +249,7 @@ def _merge(xs: list[Node], ys: list[Node]) -> list[Node]:
             _add(x, y)
         return xs
     n, m = len(lx), len(ly)
-    pairs: list[tuple[int, int]] = []
-    if n * m <= 40_000:
-        best = np.zeros((n + 1, m + 1), np.int32)
-        for i in range(n - 1, -1, -1):
-            row, below = best[i], best[i + 1]
-            for j in range(m - 1, -1, -1):
-                row[j] = below[j + 1] + 1 if lx[i] == ly[j] else max(below[j], row[j + 1])
-        i = j = 0
-        while i < n and j < m:
-            if lx[i] == ly[j]:
-                pairs.append((i, j))
-                i, j = i + 1, j + 1
-            elif best[i + 1, j] >= best[i, j + 1]:
-                i += 1
-            else:
-                j += 1
-    else:  # very long lists: the first place that fits
-        j = 0
-        for i, x in enumerate(lx):
-            if x in ly[j:]:
-                j = ly.index(x, j) + 1
-                pairs.append((i, j - 1))
+    pairs = common(lx, ly)
     out: list[Node] = []
     i = j = 0
     for pi, pj in [*pairs, (n, m)]:
@@ -396,10 +412,16 @@ def _taken(page: Element, kids: list, kind: int, within: Element | None = None)
 # ---------------------------------------------------------------- jobs
 
 
+def deep_pages() -> None:
+    """Room for functions that call themselves once or twice for each of ``DEPTH`` levels."""
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 10 * DEPTH))
+
+
 def _infer():
     schema = schema_of("host string, part int, wrapper string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        deep_pages()
         found: dict[str, Node] = {}
         part = TaskContext.get().partitionId()
 
@@ -424,6 +446,7 @@ def _infer():
 
 
 def _aligned(pdf: pd.DataFrame) -> pd.DataFrame:
+    deep_pages()
     ws = [json.loads(w) for w in sorted(pdf["wrapper"])]
     for w in ws[1:]:
         _add(ws[0], w)
@@ -442,6 +465,7 @@ def _extracted(ddl: str):
     schema = schema_of(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        deep_pages()
         decided: dict[str, list] = {}
         for b in slices(batches, "_html"):
             texts = []
