@@ -3,8 +3,9 @@
 For byte-pair encoding the tokens of a string are the tokens of one of its prefixes plus one more token, and a
 token may follow another exactly where the two encode together to themselves. So the table over the prefixes of a
 word, last token and count, is filled left to right: the last token of a prefix is the one that fits behind the
-last token of the prefix it leaves. Prefixes are shared between words, so a word costs its new letters only. The
-sum over words gives every prefix of a text; truncation and budget questions read the table and encode nothing.
+last token of the prefix it leaves. Prefixes of short words are shared between words, so a word costs its new letters
+only; a long word has a table of its own, an entry for each letter. The library only normalises and splits words of
+rare letters. The sum over words gives every prefix of a text; truncation and budget questions read the table and encode nothing.
 
 Nulls, ties and odd rows: a null text is empty (0 bytes, 0 tokens); null ids, repeated rows and other columns are
 carried as they are, each row counted by itself; an empty table gives an empty result.
@@ -23,11 +24,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import filled, schema_of, slices
+from .common import filled, schema_of, slices, small_batches
 
 TOKENIZER = "word_bpe_49k.json"
 #: entries after which a table is emptied and filled anew; counts do not depend on it
 TABLE = 400_000
+#: letters up to which a word's prefixes and count are kept for other words
+SHARED = 64
 _ODD = re.compile("[^\x21-\x7e¡-ɏ]")
 
 
@@ -88,6 +91,16 @@ class PrefixCounter:
             known = self.follows[key] = self.merge([*list(left), *self._letters(right)]) == want
         return known
 
+    def _step(self, x: str, i: int, state) -> tuple[str, int]:
+        """Last token and count of x[:i], from ``state`` of the shorter prefixes."""
+        for n in range(min(self.longest, i), 0, -1):
+            t = x[i - n : i]
+            if t in self.vocab:
+                last, count = state(i - n)
+                if self.fits(last, t):
+                    return t, count + 1
+        raise ValueError(x[:i])
+
     def _state(self, x: str) -> tuple[str, int]:
         """Last token and count of x as the beginning of a longer word."""
         states = self.states
@@ -95,42 +108,45 @@ class PrefixCounter:
         while i and x[:i] not in states:
             i -= 1
         for i in range(i + 1, len(x) + 1):
-            for n in range(min(self.longest, i), 0, -1):
-                t = x[i - n : i]
-                if t in self.vocab:
-                    last, count = states[x[: i - n]] if i > n else ("", 0)
-                    if self.fits(last, t):
-                        states[x[:i]] = (t, count + 1)
-                        break
+            states[x[:i]] = self._step(x, i, lambda k: states[x[:k]] if k else ("", 0))
         return states[x]
 
     def piece(self, x: str) -> int:
         """Tokens of one piece, its last letter marked as the word's end."""
         if len(self.states) > TABLE:
             self.states.clear()
+        long_ = None
+        if len(x) > SHARED:  # one table for all the places where the last token may begin
+            long_ = [("", 0)]
+            for i in range(1, len(x)):
+                long_.append(self._step(x, i, long_.__getitem__))
         for n in range(min(self.longest, len(x)), 0, -1):
             t = x[-n:] + self.end
             if t in self.vocab:
-                last, count = self._state(x[:-n]) if len(x) > n else ("", 0)
+                last, count = ("", 0) if len(x) == n else long_[len(x) - n] if long_ else self._state(x[:-n])
                 if self.fits(last, t):
                     return count + 1
         raise ValueError(x)
 
-    def word(self, w: str) -> int:
-        """Tokens of a stretch of text between spaces or line ends."""
+    def split(self, w: str) -> list[str]:
+        """The pieces of a stretch of text between spaces or line ends, in letters for bytes."""
+        if _ODD.search(w):  # the library's Unicode tables decide for rare letters
+            return [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(w))]
         x = unicodedata.normalize("NFC", w)
-        x = "".join(c.lower() for c in x) if "Σ" in x else x.lower()
         letters = self.letters
-        n = sum(self.piece("".join([letters[b] for b in p.encode()])) for p in self.pieces.findall(x))
-        if _ODD.search(w):  # the library's Unicode tables decide for rare letters
-            n = len(self.library.encode(w, add_special_tokens=False).ids)
-        return n
+        return ["".join([letters[b] for b in p.encode()]) for p in self.pieces.findall(x.lower())]
+
+    def word(self, w: str) -> int:
+        """Tokens of a stretch of text between spaces or line ends."""
+        return sum(map(self.piece, self.split(w)))
 
     def _known(self, w: str) -> int:
         if (n := self.words.get(w)) is None:
             if len(self.words) > TABLE:
                 self.words.clear()
-            n = self.words[w] = self.word(w)
+            n = self.word(w)
+            if len(w) <= SHARED:
+                self.words[w] = n
         return n
 
     def ends(self, text: str) -> list[int]:
@@ -184,6 +200,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048, prefixes: bool =
     """Per row: id_col, n_bytes, n_tokens, over_limit; with ``prefixes`` also word_ends, tokens up to each word's end."""
     ddl = "id long, n_bytes long, n_tokens long, over_limit boolean" + ", word_ends array<int>" * prefixes
     schema = schema_of(ddl)
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(path)
