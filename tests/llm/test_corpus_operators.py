@@ -564,6 +564,123 @@ def test_ctw_blocks_and_groups_do_not_matter(spark, plain, monkeypatch):
     assert whole == [(f + int(w), int(k)) for f, who, key in ctw_score.coded(texts, 6) for w, k in zip(who, key, strict=True)]
 
 
+def brute_lcs(a, b):
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+    return best[-1][-1]
+
+
+def test_html_alignment_is_a_longest_common_subsequence():
+    r = random.Random(3)
+    for n in [0, 1, 5, 40, 300]:
+        for letters in ("ab", "abcdefgh"):
+            a, b = r.choices(letters, k=n), r.choices(letters, k=r.randint(0, n))
+            got = html_extract.common(a, b)
+            assert all(a[i] == b[j] for i, j in got) and len(got) == brute_lcs(a, b)
+            assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(got, got[1:], strict=False))
+    a, b = r.choices("abcde", k=6000), r.choices("abcde", k=5000)
+    got = html_extract.common(a, b)
+    assert len(got) > 3000 and all(a[i] == b[j] for i, j in got)
+
+
+def test_html_deep_pages_and_ambiguous_names(spark):
+    deep = "<body>" + "<div>" * 400 + "<nav>menu</nav><p>deep text here</p>" + "</div>" * 400 + "</body>"
+    pages = [(i, f"http://a{i}.org/", f"{deep}{i}") for i in range(2)]
+    story = "<body><nav>menu</nav><div class='story'><p>first {0}</p><div class='related-work'><p>kept content {0}</p></div><div class='related-posts'>go {0}</div></div></body>"
+    pages += [(10 + i, "http://b.org/", story.format(i)) for i in range(3)]
+    got = {r.page_id: r.text for r in html_extract.extract_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got[0].startswith("deep text here") and "menu" not in got[0]
+    assert got[11] == "first 1\n\nkept content 1"
+
+
+def test_token_counts_long_words_and_all_scripts():
+    import public_tokenizers
+
+    c = token_counts.counter(public_tokenizers.path(token_counts.TOKENIZER))
+    r = random.Random(9)
+    scripts = ["abcXYZ019", "\u0430\u0431\u0432\u0414", "\u6f22\u5b57\u4eee", "\u03b1\u03c2\u03a3", "\u201c\u2019\u2026", "\U0001f642", "\t\x0b\u3000 \n", "\u0627\u0644", "<|>"]
+    for _ in range(2000):
+        t = "".join(r.choice(r.choice(scripts)) for _ in range(r.randint(1, 30)))
+        assert c.count(t) == len(c.library.encode(t, add_special_tokens=False).ids)
+    long_ = "".join(r.choice("ACGT") for _ in range(20_000))
+    assert c.count(long_) == len(c.library.encode(long_, add_special_tokens=False).ids)
+    assert c.count(long_ * 50) > 0 and max(map(len, c.states)) <= token_counts.SHARED and max(map(len, c.words)) <= token_counts.SHARED
+
+
+def test_mixing_null_source_is_its_own_and_slots_equal_a_plain_schedule(spark):
+    r = random.Random(4)
+    rows = [(i, "x" * r.randint(0, 300), [None, "", "a", "a", "a", "b"][i % 6]) for i in range(600)]
+    weights = {None: 1.0, "": 2.0, "a": 3.0, "b": 4.0}
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights, block_bytes=500, slots=50).collect()
+    assert {x.source for x in got} == {None, "", "a", "b"} and sorted(x.doc_id for x in got) == list(range(600))
+    text = {i: t for i, t, _ in rows}
+    blocks, slot_of = Counter(), defaultdict(set)
+    for s in (None, "", "a", "b"):
+        mine = sorted((x for x in got if x.source == s), key=lambda x: x.place)
+        at = 0
+        for x in mine:  # places are the running size, blocks follow from them
+            assert x.place == at and x.block == at // 500
+            at += max(1, len(text[x.doc_id]))
+            slot_of[s, x.block].add(x.slot)
+        blocks[s] = (at - 1) // 500 + 1
+    assert all(len(v) == 1 for v in slot_of.values())
+    # one slot at a time: of the blocks released, the one due first
+    key = mixing.named_key
+    left, done, start = dict(blocks), Counter(), 0
+    want = {}
+    while any(left.values()):
+        live = {s: left[s] for s in left if left[s]}
+        now = min(max(50, 2 * len(live)), max(sum(live.values()), len(live)))
+        e = mixing.shares({key(s): weights[s] for s in live}, now)
+        used = Counter()
+        for t in range(now):
+            ready = [(-(-(used[s] + 1) * now // e[key(s)]), key(s), s) for s in live if used[s] < e[key(s)] and used[s] * now // e[key(s)] <= t]
+            if not ready:
+                continue
+            s = min(ready)[2]
+            want[s, done[s]] = start + t
+            used[s] += 1
+            done[s] += 1
+            left[s] -= 1
+            if not left[s]:
+                break
+        start += t + 1
+    assert {k: v for k, (v,) in slot_of.items()} == {k: want[k] for k in slot_of}
+
+
+def test_quality_verdict_equals_plain_thresholds(spark):
+    docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    rows = quality_rules.judge(docs, labels, alpha=0.3, delta=0.3).collect()
+    info = {r.doc_id: (r.lang, r.text or "") for r in docs.collect()}
+    good = {r.doc_id for r in labels.where("quality = 1").collect()}
+
+    def values(r):
+        n = max(r.n_words, 1)
+        lines = [x for x in info[r.doc_id][1].split("\n") if x.strip(" \t\n\r\x0b\x0c")]
+        return {"symbols_per_word": r.n_symbols / n, "dup_line_share": r.n_dup_lines / max(len(lines), 1), "repeat_word_share": r.n_repeat_words / n, "long_words": r.word_chars / n, "short_words": -r.word_chars / n}
+
+    strata = {info[r.doc_id][0] for r in rows if r.doc_id in good}
+    tests = len(strata) * sum(map(len, quality_rules.GRIDS.values()))
+    cuts = {}
+    for s in strata:
+        mine = [values(r) for r in rows if r.doc_id in good and info[r.doc_id][0] == s]
+        for rule, grid in quality_rules.GRIDS.items():
+            for cut in grid:
+                bad = sum(v[rule] > cut for v in mine)
+                p = 0.3 / len(quality_rules.GRIDS)
+                # the bound is at most p where so few are improbable at p
+                tail = sum(math.exp(math.lgamma(len(mine) + 1) - math.lgamma(i + 1) - math.lgamma(len(mine) - i + 1) + i * math.log(p) + (len(mine) - i) * math.log1p(-p)) for i in range(bad + 1))
+                if bad < len(mine) and tail <= 0.3 / tests:
+                    cuts[s, rule] = cut
+                    break
+    assert cuts
+    for r in rows:
+        gone = [k for k, v in values(r).items() if v > cuts.get((info[r.doc_id][0], k), math.inf)]
+        assert r.kept == (not r.base_failed and not gone)
+
+
 # ---------------------------------------------------------------- registry
 
 
