@@ -5,7 +5,9 @@ Words everywhere are maximal runs of bytes outside ``\\x20 \\x09-\\x0D`` in the
 
 from __future__ import annotations
 
+import ctypes
 import re
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -260,6 +262,15 @@ def distinct_counts(x: np.ndarray, ordered: bool = False) -> tuple[np.ndarray, n
     return x[first], np.diff(np.append(first, len(x)))
 
 
+def release() -> None:
+    """Give freed memory back to the system: Python workers are used again and keep what earlier tasks took."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+        if trim:
+            trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
     """The rows again, in pieces of about ``most`` bytes of text (a longer text is a piece of its own)."""
     for b in batches:
@@ -275,6 +286,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 1 << 22) ->
             to = max(at + 1, int(np.searchsorted(off, off[at] + most, "right")) - 1)
             yield b.slice(at, to - at)
             at = to
+    release()
 
 
 def filled(b: pa.RecordBatch, name: str) -> pa.Array:

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, Words, distinct_counts, documents, filled, partitions, public_id, schema_of, slices
+from .common import Scratch, Words, distinct_counts, documents, filled, partitions, public_id, release, schema_of, slices
 
 #: bytes of context, at most 6 so that a gram fits a positive long; bytes down to which levels are DataFrame steps
 DEPTH, TOP = 6, 3
@@ -153,7 +153,7 @@ def _vocabulary(depth: int):
                     key, n = c.key[a : a + GROUP_ROWS], c.n[a : a + GROUP_ROWS]
                     yield pa.record_batch([pa.array(np.full(len(key), chunk, np.int32)), pa.array(key), pa.array(n.astype(np.int64))], schema=schema)
                 c.__init__()
-            pa.default_memory_pool().release_unused()
+            release()
 
         for blocks in batches:
             for at, block in zip(blocks.column("_chunk").to_pylist(), blocks.column("block"), strict=True):
@@ -365,15 +365,15 @@ def _scored(depth: int, total: int, distinct: int, ends: int):
         return pa.record_batch(cols, schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, parts = None, []
-        key = v = np.zeros(0)
+        chunk, parts, key, v = None, [], None, None
         for rows in batches:  # of each chunk the keys come before the blocks
             at = rows.column("_chunk").to_numpy()
             for a, z in zip(*(lambda cut: (cut[:-1], cut[1:]))([0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(at)]), strict=True):
                 if a == z:
                     continue
                 if at[a] != chunk:
-                    chunk, parts = at[a], []
+                    chunk, parts, key, v = at[a], [], None, None
+                    release()
                 some = rows.slice(a, z - a)
                 blocks = some.column("block")
                 keys = some.filter(blocks.is_null())
@@ -381,12 +381,16 @@ def _scored(depth: int, total: int, distinct: int, ends: int):
                     parts.append((keys.column("key").to_numpy(), keys.column("v").to_numpy()))
                 for block in blocks.drop_null():
                     if parts:
-                        key, v = (np.concatenate(x) for x in zip(*parts, strict=True))
-                        parts = []
+                        key, parts = np.concatenate([p[0] for p in parts]), [p[1] for p in parts]
                         order = np.argsort(key)
-                        key, v = key[order], v[order]
+                        key = key[order]
+                        v, parts = np.concatenate(parts)[order], []
+                        del order
+                        release()
                     for b, texts in _unpacked(block):
                         yield scored(b, texts, key, v)
+        key = v = None
+        release()
 
     return run
 
