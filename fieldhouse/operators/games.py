@@ -231,10 +231,12 @@ def backfill_names(df: DataFrame, teams: DataFrame, name: str = "name") -> DataF
 
 
 def match_odds(games: DataFrame, odds: DataFrame, keys: list[str]) -> DataFrame:
-    """Lines by game id, else by natural keys for the games that had none."""
+    """Lines by game id, else by natural keys for the games that had none; of several lines without an id the smallest row."""
     direct = games.join(odds.drop(*keys), "game_id").withColumn("matched_by", F.lit("id"))
     rest = games.join(odds.select("game_id"), "game_id", "left_anti")
-    natural = rest.join(odds.drop("game_id").dropDuplicates(keys), keys).withColumn("matched_by", F.lit("keys"))
+    others = [c for c in odds.columns if c not in ("game_id", *keys)]
+    lines = odds.where("game_id IS NULL").groupBy(*keys).agg(F.min(F.struct(*others)).alias("_l")).select(*keys, "_l.*")
+    natural = rest.join(lines, keys).withColumn("matched_by", F.lit("keys"))
     return direct.unionByName(natural, allowMissingColumns=True)
 
 
@@ -258,6 +260,28 @@ def bridge_ids(a: DataFrame, b: DataFrame, name: str, a_id: str, b_id: str) -> D
     return votes.withColumn("_r", F.row_number().over(w)).where("_r = 1").select("a_id", "b_id", F.col("count").alias("votes"))
 
 
+def normal_team_ids(df: DataFrame, known: DataFrame, raw: str) -> DataFrame:
+    """Short abbreviations as they are, provider numbers by a map (numeric_id, team_id); all else is blank."""
+    t = F.col(raw)
+    short = (F.length(t) <= 5) & ~t.rlike("^[0-9]+$")
+    d = df.join(known.select(F.col("numeric_id").alias(raw), F.col("team_id").alias("_mapped")), raw, "left")
+    return d.withColumn("team_id", F.when(short, t).otherwise(F.coalesce("_mapped", F.lit("")))).drop("_mapped")
+
+
+def venue_constants(games: DataFrame, parks: dict[str, float], altitudes: dict[str, float], venue: str = "venue", stage: str = "stage") -> DataFrame:
+    """Park factor (1 elsewhere) and altitude (0 elsewhere) of the first key in the venue's name, and whether a tournament stage is named."""
+    v = F.replace(F.lower(F.coalesce(F.col(venue), F.lit(""))), F.lit(" "), F.lit("_"))
+
+    def of(table: dict[str, float], default: float) -> Column:
+        out = F.lit(default)
+        for k, x in reversed(table.items()):
+            out = F.when(v.contains(k), F.lit(x)).otherwise(out)
+        return out
+
+    named = ~F.lower(F.coalesce(F.col(stage), F.lit(""))).isin("", "nan", "none")
+    return games.select("*", of(parks, 1.0).alias("park_factor"), of(altitudes, 0.0).alias("altitude"), F.when(named, 1.0).otherwise(0.0).alias("tournament"))
+
+
 def fill_ids(df: DataFrame, known: DataFrame, name: str, id_col: str) -> DataFrame:
     """Missing ids from a name map; for the rest a synthetic id that is the same in every run."""
     m = known.groupBy(fold(name).alias("_k")).agg(F.min(F.col(id_col).cast("string")).alias("_m"))

@@ -62,41 +62,34 @@ def dynamic_thresholds(bets: DataFrame, base: float = 0.55, target: float = 0.55
     return e.select("sport", "n", "ema", (base + move).alias("threshold"))
 
 
-def parlays(cands: DataFrame, legs: int = 2, per_day: int = 12, penalty: float = 0.97) -> DataFrame:
-    """Combinations of a day's best candidates from different games, with their product price and value.
+def parlays(cands: DataFrame, legs: int = 2, least_prob: float = 0.55, penalty: float = 0.97) -> DataFrame:
+    """All combinations of a day's candidates of different games, with their product price and value, that are worth their stake.
 
-    Only the ``per_day`` best candidates of a day enter, so a day gives at most C(per_day, legs) rows.
+    Thresholds on each leg and on the value of the whole thin the combinations out; none is dropped by rank.
     """
-    w = W.partitionBy("date").orderBy(F.desc("ev"), "game_id", "selection")
-    c = cands.withColumn("seq", F.row_number().over(w)).where(F.col("seq") <= per_day)
-    leg = F.struct("game_id", "selection", "prob", "price", "seq")
+    c = cands.where(F.col("prob") >= least_prob)
+    leg = F.struct("game_id", "selection", "prob", "price")
     d = c.select("date", F.array(leg).alias("legs"))
     for _ in range(legs - 1):
-        n = c.select("date", leg.alias("_n"))
-        later = F.col("_n.seq") > F.element_at("legs", -1)["seq"]
-        other = ~F.exists("legs", lambda x: x["game_id"] == F.col("_n.game_id"))
-        d = d.join(n, "date").where(later & other).select("date", F.concat("legs", F.array("_n")).alias("legs"))
+        later = F.col("_n.game_id") > F.element_at("legs", -1)["game_id"]
+        d = d.join(c.select("date", leg.alias("_n")), "date").where(later).select("date", F.concat("legs", F.array("_n")).alias("legs"))
     times = lambda f: F.aggregate("legs", F.lit(1.0), lambda s, x: s * x[f])
     p = times("prob") * penalty ** (legs - 1)
-    d = d.select("date", F.transform("legs", lambda x: x["seq"]).alias("key"), F.transform("legs", lambda x: x["game_id"]).alias("games"), times("price").alias("price"), p.alias("prob"))
-    return d.withColumn("ev", expected_value("prob", "price"))
+    key = F.transform("legs", lambda x: F.struct(x["game_id"].alias("game_id"), x["selection"].alias("selection")))
+    d = d.select("date", key.alias("key"), F.transform("legs", lambda x: x["game_id"]).alias("games"), times("price").alias("price"), p.alias("prob"))
+    return d.withColumn("ev", expected_value("prob", "price")).where("ev >= 0")
 
 
 def disjoint(parlay: DataFrame, most: int = 3) -> DataFrame:
-    """Greedy choice per day of parlays that share no game, best value first; a day's rows are few by construction."""
-    import pandas as pd
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        used: set[int] = set()
-        rows = []
-        for r in pdf.sort_values(["ev", "_k"], ascending=[False, True]).itertuples(index=False):
-            if len(rows) < most and not used & set(r.games):
-                used |= set(r.games)
-                rows.append((r.date, len(rows) + 1, list(r.games), r.price, r.prob, r.ev))
-        return pd.DataFrame(rows, columns=["date", "rank", "games", "price", "prob", "ev"])
-
-    d = parlay.withColumn("_k", F.array_join(F.transform("key", lambda x: F.lpad(x.cast("string"), 3, "0")), "-")).drop("key")
-    return d.groupBy("date").applyInPandas(run, "date date, rank int, games array<long>, price double, prob double, ev double")
+    """Greedy choice per day of at most ``most`` parlays that share no game, best value first: an aggregation for each."""
+    left, out = parlay, None
+    for rank in range(1, most + 1):
+        best = left.groupBy("date").agg(F.min_by(F.struct("games", "price", "prob", "ev"), F.struct(-F.round("ev", 9), "key")).alias("_b"))
+        taken = best.select("date", F.lit(rank).alias("rank"), "_b.*")
+        out = taken if out is None else out.unionByName(taken)
+        if rank < most:
+            left = left.join(best, "date").where(~F.arrays_overlap("games", "_b.games")).drop("_b")
+    return out
 
 
 def grade_leg(kind: Column, selection: Column, line: Column, home: Column, away: Column) -> Column:

@@ -53,13 +53,12 @@ def severity_counts(reports: DataFrame, field: str, value: str) -> DataFrame:
     return reports.where(F.col(field) == value).groupBy("detail.severity").agg(F.count("*").alias("n"))
 
 
-def ladder(cands: DataFrame, steps: list[tuple[str, int, int, float]]) -> DataFrame:
-    """Parlays of several sizes and cuts: (name, legs, candidates a day, least price)."""
+def ladder(cands: DataFrame, steps: list[tuple[str, int, float, float]]) -> DataFrame:
+    """The day's best parlay for several sizes and cuts: (name, legs, least probability of a leg, least price)."""
     out = None
-    for name, legs, per_day, least in steps:
-        p = parlays(cands, legs, per_day).where(F.col("price") >= least).withColumn("step", F.lit(name))
-        best = W.partitionBy("date").orderBy(F.desc("ev"), "key")
-        p = p.withColumn("_r", F.row_number().over(best)).where("_r = 1").select("step", "date", "games", "price", "ev")
+    for name, legs, least_prob, least in steps:
+        p = parlays(cands, legs, least_prob).where(F.col("price") >= least).withColumn("step", F.lit(name))
+        p = p.withColumn("ev", F.round("ev", 9)).groupBy("step", "date").agg(F.min_by(F.struct("games", "price", "ev"), F.struct(-F.col("ev"), "key")).alias("b")).select("step", "date", "b.*")
         out = p if out is None else out.unionByName(p)
     return out
 

@@ -137,3 +137,12 @@ def latest_first(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Keep the last row of each key by load order."""
     w = W.partitionBy(*keys).orderBy(F.desc(order))
     return df.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+
+
+def team_checks(teams: DataFrame) -> DataFrame:
+    """Per sport: teams, repeated ids and names, blank names, teams without a conference."""
+    blank = F.col("name").isNull() | (F.trim("name") == "")
+    return teams.groupBy("sport").agg(
+        F.count("*").alias("teams"), (F.count("*") - F.count_distinct("team_id")).alias("duplicate_ids"), F.count_if(blank).alias("blank_names"),
+        (F.count("*") - F.count_distinct(F.lower("name"))).alias("duplicate_names"), F.count_if(F.col("conference").isNull()).alias("no_conference"),
+    )

@@ -8,7 +8,7 @@ from ..operators import evaluation as V, games as G, market as M, quality as Q,
 from ..streaming import live
 from . import models
 from .registry import query
-from .table_queries import LATEST, rounded
+from .table_queries import LATEST, half_up, rounded
 
 SCORED = """sc AS (SELECT *, CASE WHEN home_score > away_score THEN 1 ELSE 0 END AS outcome, greatest(home_win_prob, 1 - home_win_prob) AS confidence,
  CASE WHEN (home_win_prob >= 0.5) = (home_score > away_score) THEN 1 ELSE 0 END AS correct FROM predictions WHERE home_score IS NOT NULL AND away_score IS NOT NULL AND home_score <> away_score AND home_win_prob BETWEEN 0 AND 1)"""
@@ -58,20 +58,29 @@ def _(t):
     return rounded(M.candidates(t.predictions, t.odds).select("game_id", "selection", "bookmaker", "edge", "ev", "tier", "stake"))
 
 
-@query(
-    "j6_parlays",
-    f"""WITH {CANDS}, s AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY round(ev, 9) DESC, game_id, selection) AS seq FROM c QUALIFY seq <= 12)
- SELECT a.date, a.game_id AS g1, b.game_id AS g2, round(a.price * b.price, 6) AS price, round(a.prob * b.prob * 0.97, 6) AS prob FROM s a JOIN s b ON a.date = b.date AND a.seq < b.seq AND a.game_id <> b.game_id""",
-)
+PAIRS = f"""{CANDS}, s AS (SELECT * FROM c WHERE prob >= 0.55),
+ y AS (SELECT a.date, a.game_id AS g1, a.selection AS s1, b.game_id AS g2, b.selection AS s2, a.price * b.price AS price, a.prob * b.prob * 0.97 AS prob FROM s a JOIN s b ON a.date = b.date AND a.game_id < b.game_id),
+ yy AS (SELECT *, prob * (price - 1) - (1 - prob) AS ev FROM y WHERE prob * (price - 1) - (1 - prob) >= 0)"""
+
+
+@query("j6_parlays", f"WITH {PAIRS} SELECT date, g1, g2, round(price, 6) AS price, round(prob, 6) AS prob FROM yy")
 def _(t):
-    c = M.candidates(t.predictions, t.odds).withColumn("ev", F.round("ev", 9))
-    p = M.parlays(c)
+    p = M.parlays(M.candidates(t.predictions, t.odds))
     return rounded(p.select("date", F.get("games", F.lit(0)).alias("g1"), F.get("games", F.lit(1)).alias("g2"), "price", "prob"))
 
 
-@query("j6_disjoint_parlays")
+_TAKE = "QUALIFY row_number() OVER (PARTITION BY date ORDER BY round(ev, 9) DESC, g1, s1, g2, s2) = 1"
+_LEFT = "SELECT r.* FROM {0} r JOIN {1} b ON r.date = b.date WHERE r.g1 NOT IN (b.g1, b.g2) AND r.g2 NOT IN (b.g1, b.g2)"
+
+
+@query(
+    "j6_disjoint_parlays",
+    f"""WITH {PAIRS}, b1 AS (SELECT * FROM yy {_TAKE}), r2 AS ({_LEFT.format("yy", "b1")}), b2 AS (SELECT * FROM r2 {_TAKE}), r3 AS ({_LEFT.format("r2", "b2")}), b3 AS (SELECT * FROM r3 {_TAKE}),
+ picked AS (SELECT *, 1 AS rank FROM b1 UNION ALL SELECT *, 2 FROM b2 UNION ALL SELECT *, 3 FROM b3) SELECT date, rank, g1, g2, round(price, 6) AS price, round(prob, 6) AS prob, round(ev, 6) AS ev FROM picked""",
+)
 def _(t):
-    return rounded(M.disjoint(M.parlays(M.candidates(t.predictions, t.odds))))
+    d = M.disjoint(M.parlays(M.candidates(t.predictions, t.odds)))
+    return rounded(d.select("date", "rank", F.get("games", F.lit(0)).alias("g1"), F.get("games", F.lit(1)).alias("g2"), "price", "prob", "ev"))
 
 
 BETS = "b AS (SELECT game_id, sport, date, CASE game_id % 3 WHEN 0 THEN 'winner' WHEN 1 THEN 'spread' ELSE 'total' END AS kind, CASE WHEN game_id % 3 = 2 THEN (CASE WHEN game_id % 2 = 0 THEN 'over' ELSE 'under' END) ELSE (CASE WHEN game_id % 2 = 0 THEN 'home' ELSE 'away' END) END AS selection, CASE game_id % 3 WHEN 1 THEN CAST(game_id % 11 - 5 AS DOUBLE) WHEN 2 THEN CAST(150 + game_id % 60 AS DOUBLE) END AS line, CASE WHEN game_id % 5 < 2 THEN 120.0 ELSE -110.0 END AS odds, CAST(50 + game_id % 4 * 25 AS DOUBLE) AS stake, home_score, away_score FROM games)"
@@ -116,7 +125,8 @@ def _(t):
 @query("f13_bankroll", f"WITH {GRADED}, w AS (SELECT sport, game_id, 1000 + sum(pnl) OVER (PARTITION BY sport ORDER BY date, game_id) AS bal, date FROM gb), p AS (SELECT *, greatest(max(bal) OVER (PARTITION BY sport ORDER BY date, game_id), 1000) AS pk FROM w) SELECT sport, game_id, round(bal, 4) AS balance, round(pk, 4) AS peak, round((pk - bal) / pk, 5) AS drawdown FROM p")
 def _(t):
     d = windows.bankroll(M.grade_bets(bets(t), t.games), 1000.0, "sport", ["date", "game_id"])
-    return d.select("sport", "game_id", F.round("balance", 4).alias("balance"), F.round("peak", 4).alias("peak"), (F.round("drawdown", 5) + 0.0).alias("drawdown"))
+    # drawdowns are fractions of elevenths: exact ties, which sums of doubles leave just below
+    return d.select("sport", "game_id", half_up("balance", 4).alias("balance"), half_up("peak", 4).alias("peak"), half_up(F.col("drawdown") + 1e-10, 5).alias("drawdown"))
 
 
 @query(

@@ -110,13 +110,12 @@ def _(t):
 
 @query(
     "j7_ladder",
-    f"""WITH {CANDS}, s AS (SELECT * REPLACE (round(ev, 9) AS ev), row_number() OVER (PARTITION BY date ORDER BY round(ev, 9) DESC, game_id, selection) AS seq FROM c QUALIFY seq <= 6),
- p AS (SELECT a.date, a.price * b.price AS price, a.prob * b.prob * 0.97 * (a.price * b.price - 1) - (1 - a.prob * b.prob * 0.97) AS ev, a.seq AS k1, b.seq AS k2 FROM s a JOIN s b ON a.date = b.date AND a.seq < b.seq AND a.game_id <> b.game_id WHERE a.price * b.price >= 3)
- SELECT 'double' AS step, date, round(price, 6) AS price, round(ev, 6) AS ev FROM p QUALIFY row_number() OVER (PARTITION BY date ORDER BY ev DESC, k1, k2) = 1""",
+    f"""WITH {CANDS}, s AS (SELECT * FROM c WHERE prob >= 0.6),
+ p AS (SELECT a.date, a.price * b.price AS price, round(a.prob * b.prob * 0.97 * (a.price * b.price - 1) - (1 - a.prob * b.prob * 0.97), 9) AS ev, a.game_id AS g1, a.selection AS s1, b.game_id AS g2, b.selection AS s2 FROM s a JOIN s b ON a.date = b.date AND a.game_id < b.game_id WHERE a.price * b.price >= 3)
+ SELECT 'double' AS step, date, round(price, 6) AS price, round(ev, 6) AS ev FROM p WHERE ev >= 0 QUALIFY row_number() OVER (PARTITION BY date ORDER BY ev DESC, g1, s1, g2, s2) = 1""",
 )
 def _(t):
-    c = M.candidates(t.predictions, t.odds).withColumn("ev", F.round("ev", 9))
-    return rounded(more.ladder(c, [("double", 2, 6, 3.0)]).drop("games"))
+    return rounded(more.ladder(M.candidates(t.predictions, t.odds), [("double", 2, 0.6, 3.0)]).drop("games"))
 
 
 @query("k1_evaluable", "SELECT game_id, CASE WHEN home_score > away_score THEN 1 ELSE 0 END AS outcome, CASE WHEN (home_win_prob >= 0.5) = (home_score > away_score) THEN 1 ELSE 0 END AS correct FROM predictions WHERE home_score <> away_score AND home_win_prob BETWEEN 0 AND 1")

@@ -18,9 +18,15 @@ TG = """tg AS (
 LATEST = "latest AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY game_id, bookmaker ORDER BY ts DESC, seq DESC, tie DESC) AS rn FROM odds) WHERE rn = 1)"
 
 
+def half_up(x, places: int):
+    """The scaled double rounded half away from zero; ``F.round`` rounds the decimal text of the double, which ties differently."""
+    x, k = F.col(x) if isinstance(x, str) else x, 10.0**places
+    return F.signum(x) * F.floor(F.abs(x) * k + 0.5) / k + 0.0
+
+
 def rounded(df, places: int = 6):
     """Doubles rounded, so that the order of sums does not show."""
-    return df.select(*((F.round(c, places) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+    return df.select(*((half_up(c, places)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
 # ---------------------------------------------------------------- scans

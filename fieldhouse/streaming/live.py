@@ -31,12 +31,17 @@ def latest(snapshots: DataFrame) -> DataFrame:
     return snapshots.groupBy("game_id").agg(*(F.max_by(c, o).alias(c) for c in ("status", "home_score", "away_score")), F.max("snapshot_time").alias("snapshot_time"))
 
 
+def changed_rows(rows: DataFrame, keys: list[str], order: list[str], values: list[str]) -> DataFrame:
+    """Rows whose values differ from those of their key's previous row, and each key's first."""
+    r = F.struct(*values)
+    d = rows.withColumn("_p", F.lag(r).over(W.partitionBy(*keys).orderBy(*order)))
+    return d.where(~F.col("_p").eqNullSafe(r)).drop("_p")
+
+
 def changes(snapshots: DataFrame) -> DataFrame:
     """Snapshots that differ from their game's previous one."""
-    w = W.partitionBy("game_id").orderBy("snapshot_time", "seq")
-    r = F.struct("status", "home_score", "away_score")
-    d = snapshots.withColumn("_p", F.lag(r).over(w))
-    return d.where(F.col("_p").isNull() | (F.col("_p") != r)).select("game_id", "seq", "status", "home_score", "away_score")
+    values = ["status", "home_score", "away_score"]
+    return changed_rows(snapshots, ["game_id"], ["snapshot_time", "seq"], values).select("game_id", "seq", *values)
 
 
 def elapsed(periods: int) -> Column:
