@@ -409,8 +409,9 @@ def score(docs: DataFrame, depth: int = DEPTH, folds: int = 5, held_out: int = 1
     d = d.select("_id", "_text", learn.alias("_train"))
     size = d.agg(F.sum(F.octet_length("_text")).alias("b"), F.count_if(F.col("_train")).alias("ends")).first()
     chunks = max(1, math.ceil((size.b or 0) / CHUNK_BYTES))
+    n_parts = max(n_parts, chunks)  # a partition has one chunk, or none
     blocks = scratch.write(d.mapInArrow(_packed(chunks), "_chunk int, block binary"), "blocks")
-    vocabulary = blocks.repartition(n_parts, "_chunk").sortWithinPartitions("_chunk").mapInArrow(_vocabulary(depth), "_chunk int, key long, n long")
+    vocabulary = blocks.repartitionById(n_parts, F.col("_chunk")).sortWithinPartitions("_chunk").mapInArrow(_vocabulary(depth), "_chunk int, key long, n long")
     vocabulary = scratch.write(vocabulary, "vocabulary")
     counts = scratch.write(vocabulary.groupBy("key").agg(F.sum("n").alias("n")), "counts")
     words = counts.where("key < 0")
@@ -418,7 +419,9 @@ def score(docs: DataFrame, depth: int = DEPTH, folds: int = 5, held_out: int = 1
     known = gram_logs(counts.where("key >= 0"), depth, scratch).unionByName(words.select("key", F.col("n").cast("double").alias("v")))
     answers = vocabulary.select("_chunk", "key").join(known, "key").select("_chunk", "key", "v", F.lit(None).cast("binary").alias("block"))
     both = answers.unionByName(blocks.select("_chunk", F.lit(None).cast("long").alias("key"), F.lit(None).cast("double").alias("v"), "block"))
-    both = both.repartition(n_parts, "_chunk").sortWithinPartitions("_chunk", F.col("block").isNotNull())
+    # one number to sort by: chunk, and keys before blocks
+    both = both.withColumn("_order", F.col("_chunk").cast("long") * 2 + F.col("block").isNotNull().cast("int"))
+    both = both.repartitionById(n_parts, F.col("_chunk")).sortWithinPartitions("_order").drop("_order")
     out = both.mapInArrow(_scored(depth, (all_.n or 0) + size.ends, all_.v + (size.ends > 0), size.ends), _SCORED)
     bits = -F.col("score") * math.log2(10) / F.col("n_bytes")
     return out.select(public_id(id_col), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", bits.alias("bits_per_byte"))
