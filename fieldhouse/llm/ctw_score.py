@@ -7,7 +7,7 @@ Krichevsky-Trofimov estimate, and the weight of the estimate against the deeper
 is seen). The score is the log10 probability of the text under the mixture; ``bits_per_byte`` is its code length.
 
 1. Documents are packed into compressed blocks of about 1 MB, stored once, and blocks are dealt in turn over chunks of
-   some 96 MB of text. A chunk gives its distinct grams (a byte under the ``depth`` bytes before it) and words with
+   some 80 MB of text. A chunk gives its distinct grams (a byte under the ``depth`` bytes before it) and words with
    their training counts, 0 where only held-out texts have them.
 2. The counts are added by key. The tree below contexts of ``TOP`` bytes is weighted in numpy, all grams of one such
    context together; there are at most 256 ** (depth - TOP) contexts below one. Their weights go up to the root and
@@ -38,7 +38,7 @@ from .common import Scratch, Words, distinct_counts, documents, filled, partitio
 
 #: bytes of context, at most 6 so that a gram fits a positive long; bytes down to which levels are DataFrame steps
 DEPTH, TOP = 6, 3
-CHUNK_BYTES, BLOCK_BYTES, GROUP_ROWS = 96 << 20, 1 << 20, 1 << 18
+CHUNK_BYTES, BLOCK_BYTES, GROUP_ROWS = 80 << 20, 1 << 20, 1 << 17
 _U = np.uint64
 
 
@@ -284,6 +284,8 @@ def _up(depth: int, top: int):
             for j in range(8):
                 c = sub.weighted(j)[top]
                 yield pa.record_batch([pa.array(sub.names(j, c["first"])), *(pa.array(c[x]) for x in ("n0", "n1", "kt", "below", "lw"))], schema=schema)
+            del g, sub, c
+        release()
 
     return run, ddl
 
@@ -298,6 +300,8 @@ def _down(depth: int, top: int):
             sub = Below(g["key"][gram], g["n"][gram], depth, top)
             v = sub.logs(g["key"][~gram], g["acc"][~gram], g["rem"][~gram])
             yield pa.record_batch([pa.array(g["key"][gram]), pa.array(v)], schema=schema)
+            del g, sub, v
+        release()
 
     return run, ddl
 
