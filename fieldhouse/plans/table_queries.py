@@ -21,7 +21,8 @@ LATEST = "latest AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PA
 def half_up(x, places: int):
     """The scaled double rounded half away from zero; ``F.round`` rounds the decimal text of the double, which ties differently."""
     x, k = F.col(x) if isinstance(x, str) else x, 10.0**places
-    return F.signum(x) * F.floor(F.abs(x) * k + 0.5) / k + 0.0
+    scaled = F.signum(x) * F.floor(F.abs(x) * k + 0.5) / k
+    return F.when(F.abs(x) < 1e9, scaled).otherwise(F.round(x, places)) + 0.0  # floor gives a long
 
 
 def rounded(df, places: int = 6):
