@@ -12,7 +12,8 @@ is seen). The score is the log10 probability of the text under the mixture; ``bi
 2. The counts are added by key. The tree below contexts of ``TOP`` bytes is weighted in numpy, all grams of one such
    context together; there are at most 256 ** (depth - TOP) contexts below one. Their weights go up to the root and
    the mixture comes down again level by level as DataFrame steps; then numpy carries it on to each gram.
-3. The chunks' keys are joined with the finished logarithms and meet the chunk's blocks again, which stream by.
+3. The chunks' keys are joined with the finished logarithms, cross to their chunk as compressed packs of many keys, and meet
+   the chunk's blocks again, which stream by.
 
 The depth is the same for every input, no part of the tree or of the vocabulary is broadcast or sent to the driver,
 and a gram that training has not seen goes through the tree as one with zero counts. Words are told apart by 63-bit
@@ -38,7 +39,7 @@ from .common import Scratch, Words, distinct_counts, documents, filled, partitio
 
 #: bytes of context, at most 6 so that a gram fits a positive long; bytes down to which levels are DataFrame steps
 DEPTH, TOP = 6, 3
-CHUNK_BYTES, BLOCK_BYTES, GROUP_ROWS = 80 << 20, 1 << 20, 1 << 17
+CHUNK_BYTES, BLOCK_BYTES, GROUP_ROWS, PACK_ROWS = 80 << 20, 1 << 20, 1 << 17, 1 << 19
 _U = np.uint64
 
 
@@ -80,17 +81,20 @@ def coded(texts: list[bytes], depth: int) -> Iterator[tuple[int, np.ndarray, np.
 # ---------------------------------------------------------------- blocks of documents
 
 
+def _compressed(b: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, b.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(b)
+    return sink.getvalue().to_pybytes()
+
+
 def _packed(chunks: int):
     schema = schema_of("_chunk int, block binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = pa.ipc.IpcWriteOptions(compression="zstd")
         at = TaskContext.get().partitionId() * 7919
         for b in slices(batches, "_text", BLOCK_BYTES):
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, b.schema, options=codec) as out:
-                out.write_batch(b)
-            yield pa.record_batch([pa.array([at % chunks], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], schema=schema)
+            yield pa.record_batch([pa.array([at % chunks], pa.int32()), pa.array([_compressed(b)], pa.binary())], schema=schema)
             at += 1
 
     return run
@@ -342,6 +346,44 @@ def gram_logs(grams: DataFrame, depth: int, scratch: Scratch) -> DataFrame:
 # ---------------------------------------------------------------- scoring
 
 
+def _answers():
+    """Rows (_chunk, key, v) as packs (_chunk, block): of some ``PACK_ROWS`` rows at a time, each chunk's keys in order, as steps from
+    one to the next (modulo 2**64), and their values."""
+    schema = schema_of("_chunk int, block binary")
+
+    def packs(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, key, v = (np.concatenate([h.column(c).to_numpy() for h in held]) for c in ("_chunk", "key", "v"))
+        order = np.lexsort((key, chunk))
+        chunk, key, v = chunk[order], key[order], v[order]
+        cut = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), len(chunk)]
+        for a, z in zip(cut[:-1], cut[1:], strict=True):
+            pack = pa.record_batch([pa.array(np.diff(key[a:z], prepend=np.int64(0))), pa.array(v[a:z])], names=["step", "v"])
+            yield pa.record_batch([pa.array(chunk[a : a + 1]), pa.array([_compressed(pack)], pa.binary())], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+                rows += b.num_rows
+            if rows >= PACK_ROWS:
+                yield from packs(held)
+                held, rows = [], 0
+        if held:
+            yield from packs(held)
+        del held
+        release()
+
+    return run
+
+
+def _answered(pack: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of a pack and their values."""
+    with pa.ipc.open_stream(pack.as_buffer()) as f:
+        b = f.read_next_batch()
+        return np.cumsum(b.column("step").to_numpy()), b.column("v").to_numpy()
+
+
 _SCORED = "_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long"
 
 
@@ -371,28 +413,22 @@ def _scored(depth: int, total: int, distinct: int, ends: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, parts, key, v = None, [], None, None
         for rows in batches:  # of each chunk the keys come before the blocks
-            at = rows.column("_chunk").to_numpy()
-            for a, z in zip(*(lambda cut: (cut[:-1], cut[1:]))([0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(at)]), strict=True):
-                if a == z:
+            for at, is_text, block in zip(rows.column("_chunk").to_pylist(), rows.column("_is_text").to_pylist(), rows.column("block"), strict=True):
+                if at != chunk:
+                    chunk, parts, key, v = at, [], None, None
+                    release()
+                if not is_text:
+                    parts.append(_answered(block))
                     continue
-                if at[a] != chunk:
-                    chunk, parts, key, v = at[a], [], None, None
+                if parts:
+                    key, parts = np.concatenate([p[0] for p in parts]), [p[1] for p in parts]
+                    order = np.argsort(key)
+                    key = key[order]
+                    v, parts = np.concatenate(parts)[order], []
+                    del order
                     release()
-                some = rows.slice(a, z - a)
-                blocks = some.column("block")
-                keys = some.filter(blocks.is_null())
-                if keys.num_rows:
-                    parts.append((keys.column("key").to_numpy(), keys.column("v").to_numpy()))
-                for block in blocks.drop_null():
-                    if parts:
-                        key, parts = np.concatenate([p[0] for p in parts]), [p[1] for p in parts]
-                        order = np.argsort(key)
-                        key = key[order]
-                        v, parts = np.concatenate(parts)[order], []
-                        del order
-                        release()
-                    for b, texts in _unpacked(block):
-                        yield scored(b, texts, key, v)
+                for b, texts in _unpacked(block):
+                    yield scored(b, texts, key, v)
         key = v = None
         release()
 
@@ -421,11 +457,9 @@ def score(docs: DataFrame, depth: int = DEPTH, folds: int = 5, held_out: int = 1
     words = counts.where("key < 0")
     all_ = words.agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
     known = gram_logs(counts.where("key >= 0"), depth, scratch).unionByName(words.select("key", F.col("n").cast("double").alias("v")))
-    answers = vocabulary.select("_chunk", "key").join(known, "key").select("_chunk", "key", "v", F.lit(None).cast("binary").alias("block"))
-    both = answers.unionByName(blocks.select("_chunk", F.lit(None).cast("long").alias("key"), F.lit(None).cast("double").alias("v"), "block"))
-    # one number to sort by: chunk, and keys before blocks
-    both = both.withColumn("_order", F.col("_chunk").cast("long") * 2 + F.col("block").isNotNull().cast("int"))
-    both = both.repartitionById(n_parts, F.col("_chunk")).sortWithinPartitions("_order").drop("_order")
+    answers = vocabulary.select("_chunk", "key").join(known, "key").select("_chunk", "key", "v").mapInArrow(_answers(), "_chunk int, block binary")
+    both = answers.withColumn("_is_text", F.lit(False)).unionByName(blocks.withColumn("_is_text", F.lit(True)))
+    both = both.repartitionById(n_parts, F.col("_chunk")).sortWithinPartitions("_chunk", "_is_text")
     out = both.mapInArrow(_scored(depth, (all_.n or 0) + size.ends, all_.v + (size.ends > 0), size.ends), _SCORED)
     bits = -F.col("score") * math.log2(10) / F.col("n_bytes")
     return out.select(public_id(id_col), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", bits.alias("bits_per_byte"))
