@@ -1,12 +1,14 @@
-"""Elo ratings: sequential within a pool, so each pool is one group and pools run in parallel.
+"""Elo ratings: sequential within a pool, so each pool is one stream of rows and pools run in parallel.
 
-The number of pools bounds the parallelism; a pool's games must fit one worker (a league's whole history is some
-100,000 rows). Only ids, dates and scores are sent to it.
+The number of pools bounds the parallelism. A pool's games pass by in order of (date, game_id), sorted by Spark, which
+spills; the task keeps one rating a team and the changes of one day, never the history. Games without a date come last.
+Only ids, dates and scores are sent to it.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -18,26 +20,29 @@ def expected(a: float, b: float) -> float:
 
 
 def _rate(k: float, start: float):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["date", "game_id"])
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rating: dict[int, float] = {}
         pending: list[tuple[int, float]] = []
-        day, out = None, []
-        for r in pdf.itertuples(index=False):
-            if r.date != day:  # games of a day are rated on what was known before it
-                for team, d in pending:
-                    rating[team] = rating.get(team, start) + d
-                pending, day = [], r.date
-            h, a = rating.get(r.home_team_id, start), rating.get(r.away_team_id, start)
-            p = expected(h, a)
-            out.append((r.sport, r.game_id, h, a, p))
-            if r.home_score == r.home_score and r.away_score == r.away_score:
-                margin = r.home_score - r.away_score
-                won = 1.0 if margin > 0 else 0.0 if margin < 0 else 0.5
-                lead = (h - a) if margin > 0 else (a - h)
-                change = k * math.log(abs(margin) + 1) * (2.2 / (max(lead, -2000) * 0.001 + 2.2)) * (won - p)
-                pending += [(r.home_team_id, change), (r.away_team_id, -change)]
-        return pd.DataFrame(out, columns=["sport", "game_id", "home_elo", "away_elo", "home_expected"])
+        pool, day = None, None
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                if r.sport != pool:
+                    rating, pending, pool, day = {}, [], r.sport, r.date
+                elif r.date != day:  # games of a day are rated on what was known before it
+                    for team, d in pending:
+                        rating[team] = rating.get(team, start) + d
+                    pending, day = [], r.date
+                h, a = rating.get(r.home_team_id, start), rating.get(r.away_team_id, start)
+                p = expected(h, a)
+                out.append((r.sport, r.game_id, h, a, p))
+                if pd.notna(r.home_score) and pd.notna(r.away_score):
+                    margin = r.home_score - r.away_score
+                    won = 1.0 if margin > 0 else 0.0 if margin < 0 else 0.5
+                    lead = (h - a) if margin > 0 else (a - h)
+                    change = k * math.log(abs(margin) + 1) * (2.2 / (max(lead, -2000) * 0.001 + 2.2)) * (won - p)
+                    pending += [(r.home_team_id, change), (r.away_team_id, -change)]
+            yield pd.DataFrame(out, columns=["sport", "game_id", "home_elo", "away_elo", "home_expected"])
 
     return run
 
@@ -45,5 +50,6 @@ def _rate(k: float, start: float):
 def elo(games: DataFrame, k: float = 32.0, start: float = 1500.0) -> DataFrame:
     """Ratings of both teams before each game, with the difference and the expected result."""
     d = games.select("sport", "game_id", "date", "home_team_id", "away_team_id", "home_score", "away_score")
-    r = d.groupBy("sport").applyInPandas(_rate(k, start), "sport string, game_id long, home_elo double, away_elo double, home_expected double")
+    d = d.repartition("sport").sortWithinPartitions("sport", F.asc_nulls_last("date"), "game_id")
+    r = d.mapInPandas(_rate(k, start), "sport string, game_id long, home_elo double, away_elo double, home_expected double")
     return r.withColumn("elo_diff", F.col("home_elo") - F.col("away_elo"))
