@@ -42,8 +42,8 @@ def total(c: str | Column) -> Callable[[object], Column]:
     return lambda w: F.sum(c).over(w)
 
 
-def count() -> Callable[[object], Column]:
-    return lambda w: F.count("*").over(w)
+def count(cond: Column | None = None) -> Callable[[object], Column]:
+    return lambda w: (F.count("*") if cond is None else F.count_if(cond)).over(w)
 
 
 def share(cond: Column) -> Callable[[object], Column]:

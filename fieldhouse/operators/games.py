@@ -22,8 +22,8 @@ def completed() -> Column:
     return F.lower("status").contains("final") | (F.col("home_score").isNotNull() & F.col("away_score").isNotNull())
 
 
-def team_games(games: DataFrame) -> DataFrame:
-    """One row per team and game (both sides from one scan): pf, pa, win, is_home, opp, completed."""
+def team_games(games: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per team and game (both sides from one scan): pf, pa, win, is_home, opp, completed, and columns to carry."""
     def side(me: str, other: str) -> Column:
         return F.struct(
             F.col(f"{me}_team_id").alias("team_id"), F.col(f"{other}_team_id").alias("opp_id"), F.lit(me == "home").alias("is_home"),
@@ -31,7 +31,7 @@ def team_games(games: DataFrame) -> DataFrame:
         )
 
     sides = games.withColumn("_x", F.explode(F.array(side("home", "away"), side("away", "home"))))
-    out = sides.select("game_id", "sport", "date", "season", "status", completed().alias("completed"), "_x.*")
+    out = sides.select("game_id", "sport", "date", "season", "status", completed().alias("completed"), "_x.*", *carry)
     return out.withColumn("win", F.when(F.col("pf") > F.col("pa"), 1).when(F.col("pf").isNotNull() & F.col("pa").isNotNull(), 0))
 
 

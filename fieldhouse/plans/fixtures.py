@@ -45,7 +45,27 @@ FROM {events}"""
 
 NEWS = """SELECT doc_id AS id, source AS provider, lower(trim(substr(text, 1, 40))) AS headline, lang FROM {documents}"""
 
-VIEWS = {"games": GAMES, "teams": TEAMS, "odds": ODDS, "player_stats": PLAYER_STATS, "predictions": PREDICTIONS, "injuries": INJURIES, "live_snapshots": SNAPSHOTS, "news": NEWS}
+BOUTS = """SELECT o_orderkey AS game_id, c_mktsegment AS sport, CAST(o_orderdate AS DATE) AS date, CAST(year(o_orderdate) AS BIGINT) AS season,
+ o_custkey AS home_team_id, o_custkey + 1 + (o_orderkey % 7) AS away_team_id,
+ CAST(CASE WHEN o_orderstatus = 'F' THEN CAST(floor(o_totalprice) AS BIGINT) % 4 END AS DOUBLE) AS home_score,
+ CAST(CASE WHEN o_orderstatus = 'F' THEN CAST(floor(o_totalprice / 7) AS BIGINT) % 4 END AS DOUBLE) AS away_score,
+ CASE o_orderstatus WHEN 'F' THEN 'final' ELSE 'scheduled' END AS status,
+ CASE o_orderkey % 5 WHEN 0 THEN 'KO/TKO' WHEN 1 THEN 'Submission' WHEN 2 THEN 'Decision - Unanimous' WHEN 3 THEN '' END AS method,
+ CAST(CASE WHEN o_orderkey % 11 <> 0 THEN 1 + o_orderkey % 3 END AS DOUBLE) AS finish_round,
+ CASE o_custkey % 4 WHEN 0 THEN 'Clay' WHEN 1 THEN 'Grass' WHEN 2 THEN 'Hard' END AS surface
+FROM {orders} JOIN {customer} ON o_custkey = c_custkey"""
+
+FINISHES = """SELECT l_orderkey AS game_id, l_partkey AS player_id, min(CAST(o_orderdate AS DATE)) AS date, min(o_custkey % 6) AS circuit_id,
+ CAST(min(CASE WHEN l_suppkey % 9 > 0 THEN l_linenumber * 6 - 5 END) AS DOUBLE) AS position, CAST(min(l_suppkey % 21 - 10) AS DOUBLE) AS score_to_par,
+ CAST(max(CASE WHEN l_suppkey % 9 > 0 THEN 4 ELSE 2 END) AS DOUBLE) AS rounds
+FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey GROUP BY l_orderkey, l_partkey"""
+
+_QUARTERS = ", ".join(f"CAST(CAST(floor(o_totalprice / {d}) AS BIGINT) % 3 AS DOUBLE) AS {side}_q{q}" for side, ds in (("home", (3, 11, 13, 17)), ("away", (5, 7, 19, 23))) for q, d in enumerate(ds, 1))
+_EXTRA = ", ".join(f"CAST(CASE WHEN o_orderkey % 5 = 0 THEN CAST(floor(o_totalprice / {d}) AS BIGINT) % 2 END AS DOUBLE) AS {side}_ot" for side, d in (("home", 29), ("away", 31)))
+PERIOD_SCORES = f"""SELECT *, home_q1 + home_q2 + home_q3 + home_q4 + coalesce(home_ot, 0) AS home_score, away_q1 + away_q2 + away_q3 + away_q4 + coalesce(away_ot, 0) AS away_score
+FROM (SELECT o_orderkey AS game_id, o_orderpriority AS sport, {_QUARTERS}, {_EXTRA}, CAST(6 + o_orderkey % 3 AS DOUBLE) AS total_line, CAST(3 + o_orderkey % 2 AS DOUBLE) AS home_line, CAST(4 - o_orderkey % 2 AS DOUBLE) AS away_line FROM {{orders}} WHERE o_orderstatus = 'F') q"""
+
+VIEWS = {"games": GAMES, "teams": TEAMS, "odds": ODDS, "player_stats": PLAYER_STATS, "predictions": PREDICTIONS, "injuries": INJURIES, "live_snapshots": SNAPSHOTS, "news": NEWS, "bouts": BOUTS, "finishes": FINISHES, "period_scores": PERIOD_SCORES}
 BASE = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents"]
 
 
@@ -70,6 +90,9 @@ class Tables:
     injuries = cached_property(lambda self: self.view("injuries"))
     live_snapshots = cached_property(lambda self: self.view("live_snapshots"))
     news = cached_property(lambda self: self.view("news"))
+    bouts = cached_property(lambda self: self.view("bouts"))
+    finishes = cached_property(lambda self: self.view("finishes"))
+    period_scores = cached_property(lambda self: self.view("period_scores"))
 
 
 def with_views(sql: str) -> str:
