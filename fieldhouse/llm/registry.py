@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .ctw_score import op10_ctw_score
+from .fill_in_middle import OP12_SQL, op12_fill_in_middle
 from .hnsw_dedup import op5_hnsw_dedup
 from .html_extract import op3_html_extract
 from .mixing import op6_source_mixing
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_ngram_join": op9_ngram_join,
     "op10_ctw_score": op10_ctw_score,
+    "op12_fill_in_middle": op12_fill_in_middle,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_url_filter": OP1_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_url_filter": OP1_SQL, "op12_fill_in_middle": OP12_SQL}
