@@ -14,6 +14,7 @@ from .mixing import op6_source_mixing
 from .ngram_join import op9_ngram_join
 from .packing import op2_best_fit_packing
 from .quality_rules import op8_quality_rules
+from .spelling import OP11_SQL, op11_spelling_variants
 from .substring_dedup import op4_substring_dedup
 from .token_counts import op7_token_counts
 from .url_filter import OP1_SQL, op1_url_filter
@@ -29,7 +30,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_ngram_join": op9_ngram_join,
     "op10_ctw_score": op10_ctw_score,
+    "op11_spelling_variants": op11_spelling_variants,
     "op12_fill_in_middle": op12_fill_in_middle,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_url_filter": OP1_SQL, "op12_fill_in_middle": OP12_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_url_filter": OP1_SQL, "op11_spelling_variants": OP11_SQL, "op12_fill_in_middle": OP12_SQL}
