@@ -18,6 +18,7 @@ from .spelling import OP11_SQL, op11_spelling_variants
 from .substring_dedup import op4_substring_dedup
 from .token_counts import op7_token_counts
 from .url_filter import OP1_SQL, op1_url_filter
+from .warc import OP13_SQL, op13_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
@@ -32,6 +33,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_ctw_score": op10_ctw_score,
     "op11_spelling_variants": op11_spelling_variants,
     "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_warc": op13_warc,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_url_filter": OP1_SQL, "op11_spelling_variants": OP11_SQL, "op12_fill_in_middle": OP12_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op1_url_filter": OP1_SQL,
+    "op11_spelling_variants": OP11_SQL,
+    "op12_fill_in_middle": OP12_SQL,
+    "op13_warc": OP13_SQL,
+}

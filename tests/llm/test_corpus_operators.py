@@ -685,4 +685,4 @@ def test_quality_verdict_equals_plain_thresholds(spark):
 
 
 def test_all_operators_registered():
-    assert {int(re.match(r"op(\d+)_", k)[1]) for k in registry.QUERIES} == set(range(1, 13))
+    assert {int(re.match(r"op(\d+)_", k)[1]) for k in registry.QUERIES} == set(range(1, 14))
