@@ -56,7 +56,7 @@ def dynamic_thresholds(bets: DataFrame, base: float = 0.55, target: float = 0.55
     from .windows import ema_rate
 
     v = F.when(F.col("result") == "won", 1.0).when(F.col("result") == "push", 0.5).otherwise(0.0)
-    e = ema_rate(bets.withColumn("_v", v), ["sport"], [F.desc("date"), F.desc("game_id")], "_v")
+    e = ema_rate(bets.withColumn("_v", v), ["sport"], "date", [F.desc("game_id")], "_v")
     gap = F.lit(target) - F.col("ema")
     move = F.when((F.col("n") >= least) & (F.abs(gap) > dead), F.greatest(F.least(gap, F.lit(most)), F.lit(-most))).otherwise(0.0)
     return e.select("sport", "n", "ema", (base + move).alias("threshold"))
@@ -129,9 +129,11 @@ def ledger_stats(bets: DataFrame) -> DataFrame:
 
 def leaderboard(bets: DataFrame, user: str, start: float = 1000.0) -> DataFrame:
     """Portfolios by balance."""
+    from .windows import ranked
+
     open_ = F.sum(F.when(F.col("result") == "open", F.col("stake")).otherwise(0.0))
     d = bets.groupBy(user).agg((F.lit(start) + F.sum("pnl") - open_).alias("balance"), open_.alias("exposure"), F.count("*").alias("bets"))
-    return d.withColumn("rank", F.row_number().over(W.orderBy(F.desc("balance"), user)))
+    return ranked(d, [F.desc("balance"), F.asc(user)])
 
 
 def opportunities(predictions: DataFrame, live: DataFrame, most: int) -> DataFrame:

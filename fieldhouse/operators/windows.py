@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..sources.stored import written
+
 
 def leaders(df: DataFrame, keys: list[str], stats: dict[str, bool], most: int = 25) -> DataFrame:
     """Best ``most`` keys per stat (True: high is good), as (stat, rank, key, value)."""
@@ -58,19 +60,53 @@ def shifted_stats(df: DataFrame, key: str, order: list[str], value: str, spans:
     return d.withColumn("trend", a - b).withColumn("consistency", F.when(b > 0, 1 - F.least(F.col(f"std_{spans[-1]}") / F.when(b > 0, b), F.lit(1.0))).otherwise(0.0))
 
 
+def running_totals(df: DataFrame, key: str, order: list[str], value: str, total: str = "running", peak: str = "highest") -> DataFrame:
+    """Sum of ``value`` up to each row of its key, and the highest such sum so far, without a window over a bare key.
+
+    (sum, highest sum) joins associatively: windows run inside a key's chunks, the values of the first column of ``order``
+    (a day), and the totals of the chunks, one row each, are scanned by key. A row gets its chunk's start added.
+    """
+    chunk = order[0]
+    inner = W.partitionBy(key, chunk).orderBy(*order[1:]).rowsBetween(W.unboundedPreceding, 0)
+    d = df.withColumn("_in", F.sum(value).over(inner)).withColumn("_hi", F.max("_in").over(inner))
+    chunks = d.groupBy(key, chunk).agg(F.sum(value).alias("_sum"), F.max("_in").alias("_top"))
+    before = W.partitionBy(key).orderBy(F.asc_nulls_first(chunk)).rowsBetween(W.unboundedPreceding, -1)
+    chunks = chunks.withColumn("_base", F.coalesce(F.sum("_sum").over(before), F.lit(0.0)))
+    chunks = chunks.withColumn("_past", F.max(F.col("_base") + F.col("_top")).over(before))
+    chunks = chunks.select(F.col(key).alias("_k"), F.col(chunk).alias("_c"), "_base", "_past")
+    d = d.join(chunks, d[key].eqNullSafe(chunks["_k"]) & d[chunk].eqNullSafe(chunks["_c"]))
+    return d.select(*df.columns, (F.col("_base") + F.col("_in")).alias(total), F.greatest(F.col("_past"), F.col("_base") + F.col("_hi")).alias(peak))
+
+
 def bankroll(bets: DataFrame, start: float, key: str, order: list[str], pnl: str = "pnl") -> DataFrame:
     """Balance, peak so far and drawdown after each bet."""
-    w = W.partitionBy(key).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    d = bets.withColumn("balance", start + F.sum(pnl).over(w))
-    d = d.withColumn("peak", F.greatest(F.max("balance").over(w), F.lit(start)))
+    d = running_totals(bets, key, order, pnl, "_run", "_high")
+    d = d.withColumn("balance", start + F.col("_run")).withColumn("peak", F.greatest(start + F.col("_high"), F.lit(start))).drop("_run", "_high")
     return d.withColumn("drawdown", (F.col("peak") - F.col("balance")) / F.col("peak"))
 
 
-def ema_rate(df: DataFrame, keys: list[str], order: list[Column], value: str, half_life: float = 25.0) -> DataFrame:
-    """Weighted mean per key with weights halving every ``half_life`` rows, newest first."""
-    w = W.partitionBy(*keys).orderBy(*order)
-    d = df.withColumn("_w", F.exp(-(F.row_number().over(w) - 1) * math.log(2) / half_life))
-    return d.groupBy(*keys).agg((F.sum(F.col("_w") * F.col(value)) / F.sum("_w")).alias("ema"), F.count("*").alias("n"))
+def ema_rate(df: DataFrame, keys: list[str], chunk: str, order: list[Column], value: str, half_life: float = 25.0) -> DataFrame:
+    """Weighted mean per key with weights halving every ``half_life`` rows, newest ``chunk`` first, then by ``order``.
+
+    (weighted sum, weight, rows) joins associatively: a key's chunks are weighed on their own, and each is then discounted by
+    the rows of newer chunks.
+    """
+    w = W.partitionBy(*keys, chunk).orderBy(*order)
+    fade = lambda n: F.exp(-n * math.log(2) / half_life)
+    d = df.withColumn("_w", fade(F.row_number().over(w) - 1))
+    chunks = d.groupBy(*keys, chunk).agg(F.sum(F.col("_w") * F.col(value)).alias("_v"), F.sum("_w").alias("_w"), F.count("*").alias("_n"))
+    newer = W.partitionBy(*keys).orderBy(F.desc_nulls_last(chunk)).rowsBetween(W.unboundedPreceding, -1)
+    chunks = chunks.withColumn("_f", fade(F.coalesce(F.sum("_n").over(newer), F.lit(0))))
+    return chunks.groupBy(*keys).agg((F.sum(F.col("_f") * F.col("_v")) / F.sum(F.col("_f") * F.col("_w"))).alias("ema"), F.sum("_n").alias("n"))
+
+
+def ranked(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
+    """Place of each row in one order over all rows: ranges of the order are written, counted, and ranked each on its own."""
+    d = written(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranked")
+    sizes = d.groupBy("_part").agg(F.count("*").alias("_c"))
+    before = F.coalesce(F.sum("_c").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a row a range
+    d = d.join(F.broadcast(sizes.select("_part", before.alias("_before"))), "_part")
+    return d.withColumn(name, (F.col("_before") + F.row_number().over(W.partitionBy("_part").orderBy(*order))).cast("int")).drop("_part", "_before")
 
 
 def field_ranks(df: DataFrame, group: str, value: str, tie: list[str]) -> DataFrame:
