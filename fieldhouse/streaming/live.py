@@ -1,20 +1,23 @@
 """Live snapshots: batch operators, and the same operators over streams.
 
-Streams keep state per game only: the last emitted record (changes), the last row (latest), or the keys of a
-watermark (news). Batch and stream share the column expressions.
+Streams keep bounded state: the last emitted record of a key, until the watermark is a lifetime past it (changes); the rows
+of an interval (quotes); the keys of a watermark (news). Newest rows lie in a versioned table, not in state. Batch and
+stream share the column expressions.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import datetime
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.scalars import fold, logit, sigmoid
+from ..sources.versioned import VersionedTable
 
 SCHEMA = "game_id long, seq long, snapshot_time timestamp, status string, home_score long, away_score long, period int"
 
@@ -88,41 +91,107 @@ def append_snapshots(stream: DataFrame, path: str, checkpoint: str):
     return stream.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _changed(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    last = state.get if state.exists else (None, None, None)
-    rows = pd.concat(list(batches)).sort_values(["snapshot_time", "seq"])
-    out = []
-    for r in rows.itertuples(index=False):
-        now = (r.status, int(r.home_score), int(r.away_score))
-        if now != tuple(last):
-            out.append((int(key[0]), int(r.seq), *now))
-            last = now
-    state.update(tuple(last))
-    yield pd.DataFrame(out, columns=["game_id", "seq", "status", "home_score", "away_score"])
+_STAMP = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "ignoreNullFields": "false"}
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def changed_stream(stream: DataFrame) -> DataFrame:
-    """Records that differ from their game's last one, across micro-batches (A, B, A gives three)."""
-    return stream.groupBy("game_id").applyInPandasWithState(_changed, "game_id long, seq long, status string, home_score long, away_score long", "status string, home_score long, away_score long", "append", GroupStateTimeout.NoTimeout)
+class _Changes(StatefulProcessor):
+    """The last (order, values) of a key as texts; forgotten when the watermark passes the key's newest row by ``life_ms``."""
 
+    def __init__(self, life_ms: int):
+        self.life_ms = life_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "micros long, rank string, value string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        micros, rank, value = self.last.get() if self.last.exists() else (None, None, None)
+        new = sorted((int(m), r, v, row) for pdf in rows if len(pdf) for m, r, v, row in zip(pdf["x_micros"], pdf["x_rank"], pdf["x_value"], pdf["x_row"], strict=True))
+        if not new:  # a batch without rows of this key
+            yield pd.DataFrame({"_row": pd.Series([], dtype="object")})
+            return
+        out = []
+        for m, r, v, row in new:
+            if micros is not None and (m, r) < (micros, rank):
+                continue  # older than what has been emitted
+            if v != value:
+                out.append(row)
+            micros, rank, value = m, r, v
+        self.last.update((micros, rank, value))
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        self.handle.registerTimer(micros // 1000 + self.life_ms)
+        yield pd.DataFrame({"_row": pd.Series(out, dtype="object")})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.last.clear()
+        yield pd.DataFrame({"_row": pd.Series([], dtype="object")})
+
+    def close(self) -> None:
+        pass
+
+
+def changed_stream(stream: DataFrame, keys: list[str] = ["game_id"], time: str = "snapshot_time", order: tuple[str, ...] = ("seq",), values: tuple[str, ...] = ("status", "home_score", "away_score"), late: str = "10 minutes", life: str = "2 days") -> DataFrame:  # noqa: B006
+    """Rows whose values differ from their key's last row, across micro-batches and restarts (A, B, A gives three).
+
+    Any of the values may be null, which is a value of its own. A row older than its key's last one is dropped, as are rows without a
+    time or later than ``late``; a key without rows for ``life`` is forgotten, and its next row counts as its first. ``order`` (not
+    negative longs) breaks ties of ``time``.
+    """
+    spark = stream.sparkSession
+    if "RocksDB" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass"):
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)  # what this operator needs; a running query keeps its own
+    life_ms = int(pd.Timedelta(life).total_seconds() * 1000)
+    names = stream.columns
+    rank = F.concat_ws("|", *(F.lpad(F.coalesce(F.col(c).cast("string"), F.lit("")), 20, "0") for c in order)) if order else F.lit("")
+    d = stream.where(F.col(time).isNotNull()).withWatermark(time, late)
+    d = d.select(  # no name begins with an underscore: Spark hands groups on as named tuples
+        F.to_json(F.struct(*keys), {**_STAMP}).alias("x_key"), F.col(time), F.unix_micros(F.col(time).cast("timestamp")).alias("x_micros"), rank.alias("x_rank"),
+        F.to_json(F.struct(*values), {**_STAMP}).alias("x_value"), F.to_json(F.struct(*names), {**_STAMP}).alias("x_row"),
+    )
+    out = d.groupBy("x_key").transformWithStateInPandas(_Changes(life_ms), "_row string", "append", "eventTime")
+    return out.select(F.from_json("_row", stream.schema, {**_STAMP}).alias("r")).select("r.*")
+
+
+LATEST = "game_id long, seq long, snapshot_time timestamp, status string, home_score long, away_score long"
+
+
+def latest_table(spark: SparkSession, path: str, parts: int = 32) -> VersionedTable:
+    """Each game's newest row, in hashed partitions."""
+    return VersionedTable(spark, path, LATEST, ["game_id"], parts)
+
+
+def keep_latest(stream: DataFrame, table: VersionedTable, checkpoint: str, keep: int = 5):
+    """Merge every micro-batch into the table of newest rows by (time, seq); only partitions that it touches are written.
+
+    A batch that comes again (the driver was lost after the commit, or before it) gives the same rows: the newest one of a key
+    stays the newest.
+    """
+    names = [f.name for f in table.schema]
 
-def keep_latest(stream: DataFrame, path: str, checkpoint: str):
-    """A table of each game's newest row, rewritten by every micro-batch."""
     def merge(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        new = latest(batch)
-        target = f"{path}/v={epoch}"
-        jvm = spark.sparkContext._jvm
-        fs_path = jvm.org.apache.hadoop.fs.Path(f"{path}/v={epoch - 1}")
-        if epoch and fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs_path):
-            old = spark.read.parquet(f"{path}/v={epoch - 1}")
-            both = old.unionByName(new)
-            new = both.groupBy("game_id").agg(F.max_by(F.struct("status", "home_score", "away_score"), "snapshot_time").alias("x"), F.max("snapshot_time").alias("snapshot_time")).select("game_id", "x.*", "snapshot_time")
-        new.write.mode("overwrite").parquet(target)
+        rows = batch.groupBy("game_id").agg(F.max_by(F.struct(*names[1:]), F.struct("snapshot_time", "seq")).alias("x")).select("game_id", "x.*")
+        table.upsert(rows, ["snapshot_time", "seq"])
+        if epoch % (10 * keep) == 0:
+            table.vacuum(keep)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def pregame_quotes(quotes: DataFrame, games: DataFrame, before: str = "2 days", after: str = "0 seconds", late: str | None = None) -> DataFrame:
+    """Quotes (game_id, ts, ...) from ``before`` a game's start (game_id, start) until ``after`` it.
+
+    With ``late`` both sides are streams: their watermarks and the interval say how long a row of either side is kept, so state
+    holds the rows of an interval and no more.
+    """
+    q, g = quotes, games.select(F.col("game_id").alias("_game"), "start")
+    if late is not None:
+        q, g = q.withWatermark("ts", late), g.withWatermark("start", late)
+    near = F.expr(f"game_id = _game AND ts >= start - INTERVAL {before} AND ts <= start + INTERVAL {after}")
+    return q.join(g, near).drop("_game")
+
+
 def news_dedup(stream: DataFrame, time: str, headline: str, delay: str = "1 day") -> DataFrame:
     """One item per folded headline within the watermark."""
     return stream.withWatermark(time, delay).withColumn("key", fold(headline)).dropDuplicatesWithinWatermark(["key"])
