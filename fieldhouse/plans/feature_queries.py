@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import datetime
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..features import asof, elo, families
 from ..operators import games as G
+from ..sources.stored import shared_dir
 from .registry import query
-from .table_queries import TG, rounded
+from .table_queries import TG, half_up, rounded
 
 WIN = "CASE WHEN pf > pa THEN 1 WHEN pf IS NOT NULL AND pa IS NOT NULL THEN 0 END"
 PAST = f"""{TG}, w AS (SELECT *, {WIN} AS win FROM tg), past AS (
@@ -58,9 +62,21 @@ def _(t):
     return rounded(asof.momentum(t.games))
 
 
-@query("i7_elo")
+@query("i7_elo", elo.ELO_SQL)
+def _(t):
+    d = elo.elo(t.games)
+    return d.select("sport", "game_id", *(half_up(c, 4).alias(c) for c in ("home_elo", "away_elo", "elo_diff")), half_up("home_expected", 6).alias("home_expected"))
+
+
+@query("i7_elo_ratings", elo.RATINGS_SQL)
 def _(t):
-    return rounded(elo.elo(t.games))
+    """Ratings after all games, by a book that is founded on the days until 1998 and goes on from there in one step a day."""
+    book = elo.EloBook(t.spark, f"{shared_dir(t.spark)}/elo-book-{uuid.uuid4().hex[:12]}")
+    played = t.games.where("home_score IS NOT NULL")
+    last = played.agg(F.max("date")).first()[0]
+    book.found(played, last - datetime.timedelta(days=5))
+    book.advance(played)
+    return book.table.read().select("sport", "team_id", half_up("rating", 4).alias("rating"))
 
 
 @query("i9_injury_burden", "SELECT team_id, count(CASE WHEN status = 'Out' THEN 1 END) AS out, count(CASE WHEN status = 'Questionable' THEN 1 END) AS questionable, count(CASE WHEN status = 'Day-To-Day' THEN 1 END) AS day_to_day, CAST(sum(CASE status WHEN 'Out' THEN 3 WHEN 'Questionable' THEN 2 WHEN 'Day-To-Day' THEN 1 ELSE 0 END) AS BIGINT) AS severity FROM injuries GROUP BY 1")

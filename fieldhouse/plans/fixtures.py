@@ -104,4 +104,7 @@ def with_views(sql: str) -> str:
     body = sql.strip()
     if not head:
         return body
-    return f"WITH {head}, {body[5:]}" if body[:5].upper() == "WITH " else f"WITH {head} {body}"
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if body.upper().startswith(start):
+            return f"{start}{head}, {body[len(start):]}"
+    return f"WITH {head} {body}"

@@ -133,6 +133,13 @@ class VersionedTable:
         now = self.manifest()
         self._commit(now, now["parts"], None, None, notes)
 
+    def restore(self, version: int) -> None:
+        """Put an earlier version in place again, as the next one: its rows, notes and what its writers had committed."""
+        old = self.manifest(version)
+        new = old | {"version": self.manifest()["version"] + 1}
+        if not self.files.put(f"_versions/{new['version']:012d}.json", json.dumps(new, sort_keys=True)):
+            raise LostRace(f"{self.path}: version {new['version']} was committed by another writer")
+
     def _commit(self, now: dict, parts: dict, writer: str | None, batch: int | None, notes: dict | None) -> None:
         seen = now["seen"] | ({writer: batch} if writer is not None and batch is not None else {})
         new = {"version": now["version"] + 1, "parts": parts, "seen": seen, "notes": now["notes"] | (notes or {})}
