@@ -34,6 +34,42 @@ def as_of(tg: DataFrame, states: State, keys: tuple[str, ...] = ("team_id",), or
     return d.select(*tg.columns, *(F.col(f"_last.{name}").alias(name) for name in states))
 
 
+_DAY = 1 << 20
+
+
+def as_of_undated(tg: DataFrame, states: State, keys: tuple[str, ...] = ("team_id",), known: str = "completed") -> DataFrame:
+    """``as_of`` where some games have no date, or none has: ids are given in order of time.
+
+    An undated game stands on the newest date of the team's dated games with smaller ids (before all dates where there is none), in
+    order of its id. It sees dated games of earlier days and undated ones that stand before it; a dated game sees what stands on
+    earlier days. So nothing is seen that may be later, and without any date the order is that of the ids.
+    """
+    by_id = W.partitionBy(*keys).orderBy("game_id").rowsBetween(W.unboundedPreceding, -1)
+    undated = F.col("date").isNull()
+    day = F.coalesce(F.unix_date("date"), F.unix_date(F.max("date").over(by_id)), F.lit(-1_000_000)).cast("long")
+    d = tg.withColumn("_day", day).withColumn("_undated", undated)
+    nth = F.row_number().over(W.partitionBy(*keys, "_day", "_undated").orderBy("game_id"))
+    start = F.col("_day") * _DAY
+    d = d.withColumn("_nth", nth).withColumn("_place", start + F.when(F.col("_undated"), F.col("_nth")).otherwise(_DAY - 1)).withColumn("_look", start + F.when(F.col("_undated"), F.col("_nth")).otherwise(0))
+    part = W.partitionBy(*keys, known).orderBy("_place", "game_id")
+    frames = {n: part.rowsBetween(-(n - 1) if n else W.unboundedPreceding, 0) for n, _ in states.values()}
+    d = d.select("*", *(agg(frames[n]).alias(f"_s_{name}") for name, (n, agg) in states.items()))
+    here = F.struct(*(F.col(f"_s_{name}").alias(name) for name in states))
+    d = d.withColumn("_state", F.when(F.col(known), here))
+    events = F.array(F.struct(F.col("_place").alias("k"), F.col("_state").alias("s"), F.lit(False).alias("asks")), F.struct(F.col("_look").alias("k"), F.lit(None).alias("s"), F.lit(True).alias("asks")))
+    d = d.select(*tg.columns, F.explode(events).alias("_e")).withColumn("_k", F.col("_e.k"))
+    before = W.partitionBy(*keys).orderBy("_k").rangeBetween(W.unboundedPreceding, -1)
+    rank = F.when(F.col("_e.s").isNotNull(), F.struct("_k", "game_id"))
+    d = d.withColumn("_last", F.max_by("_e.s", rank).over(before)).where("_e.asks")
+    return d.select(*tg.columns, *(F.col(f"_last.{name}").alias(name) for name in states))
+
+
+def undated_form(games: DataFrame, n: int = 10, short: int = 5) -> DataFrame:
+    """Share of wins and margin of the last games, for tables whose dates are missing in part or altogether."""
+    f = as_of_undated(team_games(games), {"form_win_pct": (n, mean("win")), "form_margin": (short, mean(F.col("pf") - F.col("pa"))), "form_games": (n, count())})
+    return f.select("game_id", "team_id", "is_home", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("form_win_pct", "form_margin", "form_games")))
+
+
 def mean(c: str | Column) -> Callable[[object], Column]:
     return lambda w: F.avg(c).over(w)
 

@@ -6,10 +6,13 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import games as G, rollups as R
+from ..features import asof
+from ..operators import evaluation as V, games as G, history as H, rollups as R
 from ..sources.stored import shared_dir
+from ..sources.versioned import VersionedTable
+from .evaluation_queries import SCORED
 from .registry import query
-from .table_queries import TG, half_up
+from .table_queries import TG, half_up, rounded
 
 
 def path(t, name: str) -> str:
@@ -34,3 +37,54 @@ def _(t):
     r.refresh(other.unionByName(today.where("season = 1994").withColumn("season", F.lit(2050).cast("long"))))
     r.refresh(today)
     return r.read().select("sport", "team_id", "games", "wins", half_up("avg_for", 6).alias("avg_for"), half_up("avg_against", 6).alias("avg_against"), half_up("spread", 5).alias("spread"), "best", "worst")
+
+
+# ---------------------------------------------------------------- reports by run
+
+
+@query(
+    "l10_coverage_trend",
+    """WITH r AS (SELECT 1 AS run, * FROM games WHERE date < DATE '1996-07-01' AND NOT (sport = 'BUILDING' AND season = 1995) UNION ALL SELECT 2, * FROM games WHERE date < DATE '1997-07-01' AND season <> 1992),
+ c AS (SELECT run, sport, season, count(*) AS games, count(home_score) AS scored FROM r GROUP BY 1, 2, 3), a AS (SELECT * FROM c WHERE run = 1), b AS (SELECT * FROM c WHERE run = 2)
+ SELECT coalesce(a.sport, b.sport) AS sport, coalesce(a.season, b.season) AS season, b.games, a.games AS games_before, b.games - a.games AS games_change, b.scored - a.scored AS scored_change,
+  CASE WHEN a.games IS NULL THEN 'new' WHEN b.games IS NULL THEN 'gone' WHEN b.games > a.games THEN 'up' WHEN b.games < a.games THEN 'down' ELSE 'same' END AS state FROM a FULL JOIN b ON a.sport = b.sport AND a.season = b.season""",
+)
+def _(t):
+    """Two coverage reports: seasons and sports that came, went or grew since the first; the second run is logged twice."""
+    table = VersionedTable(t.spark, path(t, "coverage"), "run long, sport string, season long, games long, scored long", ["run", "sport", "season"], 8)
+    runs = {1: t.games.where("date < DATE'1996-07-01' AND NOT (sport = 'BUILDING' AND season = 1995)"), 2: t.games.where("date < DATE'1997-07-01' AND season <> 1992")}
+    for run in (1, 2, 2):
+        H.log(table, runs[run].groupBy("sport", "season").agg(F.count("*").alias("games"), F.count("home_score").alias("scored")).withColumn("run", F.lit(run).cast("long")), "run")
+    d = H.against_previous(table.read(), "run", ["sport", "season"], ["games", "scored"])
+    return d.where("run = 2").select("sport", "season", "games", "games_before", "games_change", "scored_change", "state")
+
+
+@query(
+    "k12_accuracy_trend",
+    f"""WITH {SCORED}, r AS (SELECT CAST(y AS BIGINT) AS run, sc.* FROM sc, range(1993, 1999) q(y) WHERE year(sc.date) <= y), c AS (SELECT run, sport, avg(correct) AS acc FROM r GROUP BY 1, 2),
+ n AS (SELECT *, dense_rank() OVER (ORDER BY run) AS no, row_number() OVER (PARTITION BY sport ORDER BY run DESC) AS k FROM c), l AS (SELECT * FROM n WHERE k <= 4)
+ SELECT sport, round(max(CASE WHEN k = 1 THEN acc END), 6) AS latest, round(max(CASE WHEN k = 2 THEN acc END), 6) AS previous, round(max(CASE WHEN k = 1 THEN acc END) - max(CASE WHEN k = 2 THEN acc END), 6) + 0.0 AS change, count(*) AS runs, round(regr_slope(acc, no), 6) + 0.0 AS slope,
+  CASE WHEN count(*) < 2 THEN 'short' WHEN regr_slope(acc, no) > 0.0005 THEN 'rising' WHEN regr_slope(acc, no) < -0.0005 THEN 'falling' ELSE 'flat' END AS direction FROM l GROUP BY 1""",
+)
+def _(t):
+    """Accuracy so far at the end of each year, six reports; the direction of the last four."""
+    table = VersionedTable(t.spark, path(t, "accuracy"), "run long, sport string, acc double", ["run", "sport"], 4)
+    years = F.explode(F.expr("filter(sequence(1993L, 1998L), y -> y >= year(date))"))
+    reports = V.scored(t.predictions).select("sport", "correct", years.alias("run")).groupBy("run", "sport").agg(F.avg("correct").alias("acc"))
+    H.log(table, reports, "run")
+    return rounded(H.trend(table.read(), "run", ["sport"], "acc", 4, 0.0005))
+
+
+UNDATED = "ug AS (SELECT * REPLACE (CASE WHEN game_id % 3 = 0 OR home_team_id % 10 = 0 THEN NULL ELSE date END AS date) FROM games)"
+
+
+@query(
+    "i34_undated_form",
+    f"""WITH {UNDATED}, {TG.replace("FROM games", "FROM ug")}, e AS (SELECT *, coalesce(date, max(date) OVER (PARTITION BY team_id ORDER BY game_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), DATE '0001-01-01') AS day, date IS NULL AS u FROM tg),
+ p AS (SELECT t.game_id, t.team_id, t.is_home, s.pf, s.pa, row_number() OVER (PARTITION BY t.game_id, t.team_id, t.is_home ORDER BY s.day DESC, s.u, s.game_id DESC) AS k, s.game_id AS sid
+  FROM e t LEFT JOIN e s ON s.team_id = t.team_id AND s.completed AND (s.day < t.day OR (t.u AND s.u AND s.day = t.day AND s.game_id < t.game_id)))
+ SELECT game_id, team_id, is_home, round(coalesce(avg(CASE WHEN pf > pa THEN 1.0 WHEN pf IS NOT NULL AND pa IS NOT NULL THEN 0.0 END), 0), 6) AS form_win_pct, round(coalesce(avg(CASE WHEN k <= 5 THEN pf - pa END), 0), 6) + 0.0 AS form_margin, count(sid) AS form_games FROM p WHERE k <= 10 GROUP BY 1, 2, 3""",
+)
+def _(t):
+    g = t.games.withColumn("date", F.when((F.col("game_id") % 3 != 0) & (F.col("home_team_id") % 10 != 0), F.col("date")))
+    return rounded(asof.undated_form(g))
