@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import evaluation as V, games as G, market as M, quality as Q, windows
 from ..streaming import live
 from . import models
+from .feature_queries import PAST
 from .registry import query
 from .table_queries import LATEST, half_up, rounded
 
@@ -308,9 +309,14 @@ def _(t):
     return live.tumbling(t.live_snapshots, "1 hour")
 
 
-@query("n1_feature_matrix")
+@query(
+    "n1_feature_matrix",
+    f"""WITH {PAST}, f AS (SELECT game_id, is_home, coalesce(avg(CASE WHEN k <= 10 THEN win END), 0) AS w, coalesce(avg(CASE WHEN k <= 10 THEN pf - pa END), 0) AS m, coalesce(avg(CASE WHEN k <= 10 THEN pf END), 0) AS p, coalesce(date_diff('day', max(pdate), date), 7) AS rest, count(CASE WHEN pdate >= date - INTERVAL 7 DAY THEN 1 END) AS g7 FROM past GROUP BY game_id, is_home, team_id, date)
+ SELECT g.game_id, round(h.w - a.w, 6) + 0.0 AS delta_form_win_pct, round(h.m - a.m, 6) + 0.0 AS delta_form_margin, round(h.p - a.p, 6) + 0.0 AS delta_form_ppg, CAST(h.rest - a.rest AS INT) AS delta_rest_days, CAST(h.g7 - a.g7 AS BIGINT) AS delta_games_7d, CASE WHEN home_score > away_score THEN 1.0 ELSE 0.0 END AS label
+ FROM games g JOIN f h ON h.game_id = g.game_id AND h.is_home JOIN f a ON a.game_id = g.game_id AND NOT a.is_home WHERE home_score <> away_score""",
+)
 def _(t):
-    return models.feature_matrix(t.games).select("game_id", *models.FEATURES, "label")
+    return rounded(models.feature_matrix(t.games).select("game_id", *models.FEATURES, "label"))
 
 
 @query("n2_temporal_split", "WITH d AS (SELECT game_id, percent_rank() OVER (ORDER BY date, game_id) AS r FROM games WHERE home_score IS NOT NULL) SELECT game_id, r >= 0.8 AS test FROM d")

@@ -174,10 +174,10 @@ def _(t):
 
 @query(
     "m5_news_dedup",
-    "SELECT lang, headline, min(id) AS id FROM (SELECT id, lang, trim(headline) AS headline FROM news WHERE headline IS NOT NULL AND regexp_matches(headline, '^[a-z0-9 .,]*$')) WHERE headline <> '' GROUP BY 1, 2",
+    f"SELECT lang, headline, min(id) AS id FROM (SELECT id, lang, trim(translate(lower(headline), '{S.MARKED}', '{S.PLAIN_}')) AS headline FROM news WHERE headline IS NOT NULL) WHERE headline <> '' GROUP BY 1, 2",
 )
 def _(t):
-    n = t.news.where(F.col("headline").rlike("^[a-z0-9 .,]*$")).withColumn("headline", S.fold("headline")).where("headline <> ''")
+    n = t.news.withColumn("headline", S.fold("headline")).where("headline <> ''")
     return n.groupBy("lang", "headline").agg(F.min("id").alias("id"))
 
 
