@@ -12,6 +12,7 @@ from ..sources.stored import shared_dir
 from ..sources.versioned import VersionedTable
 from .evaluation_queries import SCORED
 from .registry import query
+from ..streaming import live
 from .table_queries import TG, half_up, rounded
 
 
@@ -88,3 +89,31 @@ UNDATED = "ug AS (SELECT * REPLACE (CASE WHEN game_id % 3 = 0 OR home_team_id %
 def _(t):
     g = t.games.withColumn("date", F.when((F.col("game_id") % 3 != 0) & (F.col("home_team_id") % 10 != 0), F.col("date")))
     return rounded(asof.undated_form(g))
+
+
+# ---------------------------------------------------------------- live formulas
+
+_SNAP = """snap AS (SELECT game_id, seq, home_score, away_score, ['basketball', 'football', 'hockey', 'baseball', 'soccer', 'curling'][CAST(seq % 6 AS INT) + 1] AS sport, CAST(seq // 6 % 10 AS INT) AS p, CAST(seq // 60 % 12 AS INT) AS mm, CAST(seq % 60 AS INT) AS ss FROM live_snapshots)"""
+
+
+@query(
+    "m6_live_formulas",
+    f"""WITH {_SNAP}, c AS (SELECT *, CASE WHEN seq % 11 = 0 THEN NULL ELSE mm + ss / 60.0 END AS l, CASE WHEN p = 9 THEN 0 ELSE p END AS d FROM snap),
+ e AS (SELECT *, CASE sport WHEN 'basketball' THEN greatest(CASE WHEN p = 9 THEN 5 ELSE d END - 1, 0) * 12 + 12 - coalesce(l, 12) WHEN 'football' THEN greatest(d - 1, 0) * 15 + 15 - coalesce(l, 15) WHEN 'hockey' THEN greatest(CASE WHEN p = 9 THEN 4 ELSE d END - 1, 0) * 20 + 20 - coalesce(l, 20)
+   WHEN 'baseball' THEN greatest(CASE WHEN d = 0 THEN 1 ELSE d END - 1, 0) + CASE WHEN p % 2 = 0 THEN 0 ELSE 0.5 END WHEN 'soccer' THEN CASE WHEN p >= 7 THEN 120 - coalesce(l, 45) WHEN p >= 4 THEN 90 - coalesce(l, 45) ELSE 45 - coalesce(l, 45) END ELSE 30 END AS el FROM c),
+ r AS (SELECT *, CASE sport WHEN 'basketball' THEN greatest(48 - el, 0.1) WHEN 'football' THEN greatest(60 - el, 0.1) WHEN 'hockey' THEN greatest(60 - el, 0.1) WHEN 'baseball' THEN greatest(9 - el, 0.5) WHEN 'soccer' THEN greatest(90 - least(el, 90), 0.1) ELSE 30 END AS rem, home_score - away_score AS m FROM e),
+ z AS (SELECT r.game_id, r.seq, r.sport, r.el, ln(coalesce(p.home_win_prob, 0.5) / (1 - coalesce(p.home_win_prob, 0.5))) + CASE r.sport WHEN 'basketball' THEN 0.35 * m / sqrt(rem + 1) + 0.03 WHEN 'football' THEN (0.3 + 0.5 * el / 60) * 0.15 * m - CASE WHEN el / 60 > 0.75 AND m < 0 THEN 0.03 ELSE 0 END
+   WHEN 'hockey' THEN m * 0.8 / sqrt(rem / 20 + 0.5) WHEN 'baseball' THEN 0.4 * CASE WHEN 9 - rem >= 8 THEN 2.0 WHEN 9 - rem >= 7 THEN 1.5 ELSE 1.0 END * m / sqrt(rem + 0.5) WHEN 'soccer' THEN m * 1.2 / sqrt(rem / 15 + 0.5) ELSE 0.2 * m / sqrt(rem + 1) END AS z FROM r LEFT JOIN predictions p ON p.game_id = r.game_id)
+ SELECT game_id, seq, sport, round(CAST(el AS DOUBLE), 5) AS elapsed, round(1 / (1 + exp(-z)), 6) AS home_win_prob FROM z""",
+)
+def _(t):
+    """Each sport's formula on every snapshot, with periods and clocks written as providers do."""
+    seq = F.col("seq")
+    sport = F.element_at(F.array(*map(F.lit, ("basketball", "football", "hockey", "baseball", "soccer", "curling"))), (seq % 6 + 1).cast("int"))
+    p = F.floor(seq / 6) % 10
+    half = F.when(p >= 7, "Extra time").when(p >= 4, "2nd Half").otherwise("1st Half")
+    inning = F.concat(F.when(p % 2 == 0, "Top ").otherwise("Bot "), F.when(p == 9, "").otherwise(p.cast("string")))
+    period = F.when(sport == "soccer", half).when(sport == "baseball", inning).when((p == 9) & (sport != "football"), "OT").when(p == 9, "").otherwise(F.concat(F.lit("Q"), p.cast("string")))
+    clock = F.when(seq % 11 != 0, F.concat((F.floor(seq / 60) % 12).cast("string"), F.lit(":"), F.lpad((seq % 60).cast("string"), 2, "0")))
+    d = t.live_snapshots.select("game_id", "seq", "home_score", "away_score", sport.alias("sport"), period.alias("period"), clock.alias("clock"))
+    return live.live_win_probability(d, t.predictions).select("game_id", "seq", "sport", half_up("elapsed", 5).alias("elapsed"), half_up("home_win_prob", 6).alias("home_win_prob"))

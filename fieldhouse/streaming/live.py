@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from ..functions.scalars import fold, logit, sigmoid
+from ..functions.scalars import clock_seconds, fold, logit, sigmoid
 from ..sources.versioned import VersionedTable
 
 SCHEMA = "game_id long, seq long, snapshot_time timestamp, status string, home_score long, away_score long, period int"
@@ -61,6 +61,66 @@ def win_probability(snapshots: DataFrame, pregame: DataFrame, sport: str) -> Dat
     return d.withColumn("home_win_prob", sigmoid(z)).drop("_pre")
 
 
+#: fixed values: length of a period and of regulation, in minutes (baseball: innings); least time that counts as left
+CLOCKS = {"basketball": (12.0, 48.0, 0.1), "football": (15.0, 60.0, 0.1), "hockey": (20.0, 60.0, 0.1), "baseball": (1.0, 9.0, 0.5), "soccer": (45.0, 90.0, 0.1)}
+
+
+def _by_sport(sport: str, of: dict[str, Column], otherwise: Column) -> Column:
+    out = None
+    for name, value in of.items():
+        out = F.when(F.col(sport) == name, value) if out is None else out.when(F.col(sport) == name, value)
+    return out.otherwise(otherwise)
+
+
+def played(sport: str = "sport", period: str = "period", clock: str = "clock") -> tuple[Column, Column, Column]:
+    """Time played, time left and time in all, from a period ("Q3", "P2", "Top 7", "2nd Half", "OT") and what its clock shows ("4:30").
+
+    Without a clock a period has just begun. Overtime comes after regulation; other sports are taken as half played.
+    """
+    text = F.lower(F.coalesce(F.col(period), F.lit("")))
+    digit = F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(text, "[0-9]", 0), F.lit("")), F.lit("9")).cast("double"), F.lit(0.0))
+    left = clock_seconds(clock) / 60
+    over = text.contains("ot")
+
+    def periods(name: str) -> Column:
+        length, all_, _ = CLOCKS[name]
+        number = F.when(over, F.greatest(digit, F.lit(all_ / length + 1))).otherwise(digit) if name != "football" else digit
+        return F.greatest(number - 1, F.lit(0.0)) * length + (length - F.coalesce(left, F.lit(length)))
+
+    inning = F.greatest(F.when(digit == 0, 1.0).otherwise(digit) - 1, F.lit(0.0)) + F.when(text.contains("top"), 0.0).otherwise(0.5)
+    rest = F.coalesce(left, F.lit(45.0))
+    extra, second = text.contains("et") | text.contains("extra"), text.contains("2") | text.contains("second")
+    half = F.when(extra, 90 + (30 - rest)).when(second, 45 + (45 - rest)).otherwise(45 - rest)
+    elapsed_ = _by_sport(sport, {n: periods(n) for n in ("basketball", "football", "hockey")} | {"baseball": inning, "soccer": half}, F.lit(30.0))
+    remaining = {n: F.greatest(all_ - (F.least(elapsed_, F.lit(90.0)) if n == "soccer" else elapsed_), F.lit(least)) for n, (_, all_, least) in CLOCKS.items()}
+    return elapsed_, _by_sport(sport, remaining, F.lit(30.0)), _by_sport(sport, {n: F.lit(all_) for n, (_, all_, _) in CLOCKS.items()}, F.lit(60.0))
+
+
+def live_win_probability(snapshots: DataFrame, pregame: DataFrame) -> DataFrame:
+    """Home win probability by the formula of the snapshot's sport (sport, period, clock, scores), from the pregame one.
+
+    Pregame log odds plus the lead, which weighs more the less time is left. ``snapshots`` may be a stream, ``pregame`` (game_id,
+    home_win_prob) is a table. Null scores count as 0; games without a pregame probability are even.
+    """
+    d = snapshots.join(pregame.select("game_id", F.col("home_win_prob").alias("_pre")), "game_id", "left")
+    gone, left, all_ = played()
+    d = d.withColumns({"_gone": gone, "_left": left, "_share": gone / F.greatest(all_, F.lit(1.0)), "_lead": F.coalesce("home_score", F.lit(0)) - F.coalesce("away_score", F.lit(0))})
+    lead, left, share, inning = F.col("_lead"), F.col("_left"), F.col("_share"), 9 - F.col("_left")
+    leverage = F.when(inning >= 8, 2.0).when(inning >= 7, 1.5).otherwise(1.0)
+    shift = _by_sport(
+        "sport",
+        {
+            "basketball": 0.35 * lead / F.sqrt(left + 1) + 0.03,
+            "football": (0.3 + 0.5 * share) * 0.15 * lead - F.when((share > 0.75) & (lead < 0), 0.03).otherwise(0.0),
+            "hockey": lead * 0.8 / F.sqrt(left / 20 + 0.5),
+            "baseball": 0.4 * leverage * lead / F.sqrt(left + 0.5),
+            "soccer": lead * 1.2 / F.sqrt(left / 15 + 0.5),
+        },
+        0.2 * lead / F.sqrt(left + 1),
+    )
+    return d.withColumn("home_win_prob", sigmoid(logit(F.coalesce("_pre", F.lit(0.5))) + shift)).withColumn("elapsed", F.col("_gone")).drop("_pre", "_gone", "_left", "_share", "_lead")
+
+
 def projection(snapshots: DataFrame, periods: int = 4) -> DataFrame:
     """Final scores at the pace so far, and momentum as the lead's share of all points."""
     e = elapsed(periods)
