@@ -24,7 +24,7 @@ def query(name: str, sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import betting_queries, box_queries, evaluation_queries, feature_queries, more_queries, prop_queries, scalar_queries, sport_queries, store_queries, table_queries  # noqa: F401
+    from . import betting_queries, box_queries, evaluation_queries, feature_queries, more_queries, prop_queries, scalar_queries, source_queries, sport_queries, store_queries, table_queries  # noqa: F401
 
     return dict(_QUERIES)
 

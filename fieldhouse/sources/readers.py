@@ -109,7 +109,8 @@ def depth_chart(df: DataFrame, team: str, chart: str) -> DataFrame:
     return df.select(team, F.explode(chart).alias("position", "names")).select(team, "position", F.posexplode("names").alias("i", "athlete")).select(team, "position", (F.col("i") + 1).alias("rank"), "athlete")
 
 
-RACES = "MRData struct<RaceTable:struct<season:string,Races:array<struct<season:string,round:string,raceName:string,Circuit:struct<circuitId:string,circuitName:string>,date:string,Results:array<struct<position:string,points:string,grid:string,laps:string,status:string,Driver:struct<driverId:string,givenName:string,familyName:string>,Constructor:struct<constructorId:string>>>,Laps:array<struct<number:string,Timings:array<struct<driverId:string,position:string,time:string>>>>,PitStops:array<struct<driverId:string,stop:string,lap:string,duration:string>>>>>>"
+RACES = "MRData struct<RaceTable:struct<season:string,Races:array<struct<season:string,round:string,raceName:string,Circuit:struct<circuitId:string,circuitName:string>,date:string,Results:array<struct<position:string,points:string,grid:string,laps:string,status:string,Driver:struct<driverId:string,givenName:string,familyName:string>,Constructor:struct<constructorId:string>>>,Laps:array<struct<number:string,Timings:array<struct<driverId:string,position:string,time:string>>>>,PitStops:array<struct<driverId:string,stop:string,lap:string,duration:string>>,QualifyingResults:array<struct<position:string,Q1:string,Q2:string,Q3:string,Driver:struct<driverId:string>,Constructor:struct<constructorId:string>>>,FirstPractice:struct<date:string,time:string>,SecondPractice:struct<date:string,time:string>,ThirdPractice:struct<date:string,time:string>,Qualifying:struct<date:string,time:string>,Sprint:struct<date:string,time:string>,time:string>>>>"
+STANDINGS = "MRData struct<StandingsTable:struct<StandingsLists:array<struct<season:string,round:string,DriverStandings:array<struct<position:string,points:string,wins:string,Driver:struct<driverId:string>,Constructors:array<struct<constructorId:string>>>>,ConstructorStandings:array<struct<position:string,points:string,wins:string,Constructor:struct<constructorId:string>>>>>>>"
 
 
 def _races(df: DataFrame) -> DataFrame:
@@ -134,6 +135,46 @@ def race_pit_stops(df: DataFrame) -> DataFrame:
     return d.select("season", "round", F.col("p.driverId").alias("driver_id"), F.col("p.stop").try_cast("int").alias("stop"), F.col("p.lap").try_cast("int").alias("lap"), F.col("p.duration").try_cast("double").alias("seconds"))
 
 
+def lap_seconds(text) -> Column:
+    """Seconds of ``1:23.456`` or ``83.456``."""
+    part = F.split(text, ":")
+    return F.when(F.size(part) > 1, F.get(part, F.lit(0)).try_cast("double") * 60 + F.get(part, F.lit(1)).try_cast("double")).otherwise(F.get(part, F.lit(0)).try_cast("double"))
+
+
+def race_qualifying(df: DataFrame) -> DataFrame:
+    """Grid position and the times of the three parts; ``best`` is the time of the last part that was driven."""
+    d = _races(df).select("season", "round", "circuit_id", F.explode("r.QualifyingResults").alias("q"))
+    d = d.select("season", "round", "circuit_id", F.col("q.Driver.driverId").alias("driver_id"), F.col("q.Constructor.constructorId").alias("constructor_id"), F.col("q.position").try_cast("int").alias("position"), *(lap_seconds(F.col(f"q.Q{i}")).alias(f"q{i}") for i in (1, 2, 3)))
+    return d.withColumn("best", F.coalesce("q3", "q2", "q1"))
+
+
+#: fixed values: sessions of a race weekend, in order
+SESSIONS = ("FirstPractice", "SecondPractice", "ThirdPractice", "Sprint", "Qualifying")
+
+
+def race_sessions(df: DataFrame) -> DataFrame:
+    """A row for each session that a weekend has, and the race itself, with its start (dates without a time begin at midnight)."""
+    start = lambda d, t: F.coalesce(F.try_to_timestamp(F.concat_ws(" ", d, F.regexp_replace(t, "Z$", ""))), F.to_timestamp(d))
+    one = lambda name, d, t: F.struct(F.lit(name).alias("session"), start(d, t).alias("start"))
+    all_ = F.array(*(one(snake_name(n), F.col(f"r.{n}.date"), F.col(f"r.{n}.time")) for n in SESSIONS), one("race", F.col("r.date"), F.col("r.time")))
+    return _races(df).select("season", "round", "circuit_id", F.explode(all_).alias("s")).select("season", "round", "circuit_id", "s.*").where("start IS NOT NULL")
+
+
+def snake_name(name: str) -> str:
+    from re import sub
+
+    return sub(r"([a-z])([A-Z])", r"\1_\2", name).lower()
+
+
+def race_standings(df: DataFrame) -> DataFrame:
+    """Championship tables after a round: drivers (with their last constructor) and constructors as one table with ``kind``."""
+    d = df.select(F.explode("MRData.StandingsTable.StandingsLists").alias("l")).select(F.col("l.season").try_cast("int").alias("season"), F.col("l.round").try_cast("int").alias("round"), "l")
+    numbers = lambda x: [F.col(f"{x}.position").try_cast("int").alias("position"), F.col(f"{x}.points").try_cast("double").alias("points"), F.col(f"{x}.wins").try_cast("int").alias("wins")]
+    a = d.select("season", "round", F.explode("l.DriverStandings").alias("x")).select("season", "round", F.lit("driver").alias("kind"), F.col("x.Driver.driverId").alias("id"), F.try_element_at("x.Constructors", F.lit(-1))["constructorId"].alias("constructor_id"), *numbers("x"))
+    b = d.select("season", "round", F.explode("l.ConstructorStandings").alias("x")).select("season", "round", F.lit("constructor").alias("kind"), F.col("x.Constructor.constructorId").alias("id"), F.col("x.Constructor.constructorId").alias("constructor_id"), *numbers("x"))
+    return a.unionByName(b)
+
+
 PLAYS = "game_id string, plays array<struct<id:string,period:int,clock:string,text:string,scoring:boolean,home_score:int,away_score:int>>"
 
 
@@ -141,7 +182,7 @@ def play_by_play(df: DataFrame) -> DataFrame:
     return df.select("game_id", F.posexplode("plays").alias("seq", "p")).select("game_id", "seq", "p.*")
 
 
-MATCHES = "id string, status string, opponents array<struct<id:string,name:string>>, games array<struct<position:int,map:string,winner:string,length:int>>"
+MATCHES = "id string, status string, opponents array<struct<id:string,name:string>>, games array<struct<position:int,map:string,winner:string,length:int>>, tournament struct<id:string,name:string,tier:string,begin_at:string,end_at:string>, league struct<name:string>"
 
 
 def esports_maps(df: DataFrame) -> DataFrame:
@@ -155,6 +196,17 @@ def esports_rosters(df: DataFrame) -> DataFrame:
     return df.select(F.col("id").alias("match_id"), F.posexplode("opponents").alias("slot", "o")).select("match_id", "slot", F.col("o.id").alias("team_id"), F.col("o.name").alias("name"))
 
 
+def esports_tournaments(df: DataFrame) -> DataFrame:
+    """A row a tournament with its dates, the teams that are drawn in it, and its matches."""
+    d = df.where("tournament.id IS NOT NULL").select("tournament", "league.name", "id", "opponents.id")
+    d = d.toDF("t", "league", "match", "teams")
+    t = d.groupBy(F.col("t.id").alias("tournament_id")).agg(
+        F.max("t.name").alias("name"), F.max("league").alias("league"), F.max("t.tier").alias("tier"), F.to_date(F.min("t.begin_at")).alias("begins"), F.to_date(F.max("t.end_at")).alias("ends"), F.count_distinct("match").alias("matches")
+    )
+    n = d.select(F.col("t.id").alias("tournament_id"), F.explode("teams").alias("team")).groupBy("tournament_id").agg(F.count_distinct("team").alias("teams"))
+    return t.join(n, "tournament_id", "left").withColumn("teams", F.coalesce("teams", F.lit(0)))
+
+
 #: fixed values: labels that name the same stat
 LABELS = {"FG": "fg", "FGMA": "fg", "3PT": "fg3", "FG3": "fg3", "FT": "ft", "REB": "reb", "TREB": "reb", "AST": "ast", "PTS": "pts", "STL": "stl", "BLK": "blk", "TO": "tov", "TOV": "tov", "MIN": "minutes", "OREB": "oreb", "DREB": "dreb", "PF": "fouls", "PLUSMINUS": "plus_minus", "": "plus_minus"}
 
