@@ -76,19 +76,19 @@ TIERS = (("S", 0.75, 0.10), ("A", 0.65, 0.07), ("B", 0.60, 0.05), ("C", 0.55, 0.
 
 
 def picks(predictions: DataFrame, probs: str = "probs", selections: tuple[Selection, ...] = SELECTIONS) -> DataFrame:
-    """(game_id, sport, date, market, selection, prob, rank of the selection): each market's likeliest side, ties by order.
+    """(game_id, sport, date, market, selection, prob): each market's likeliest side, ties by order; chosen inside the row, without a shuffle.
 
     ``probs`` is a map of probabilities. Sides without one, or not above their least, are not looked at.
     """
-    def side(i: int, s: Selection) -> Column:
+    sides: dict[str, list[Column]] = {}
+    for i, s in enumerate(selections):
         p = F.col(probs)[s.prob.lstrip("!")]
         p = 1 - p if s.prob.startswith("!") else p
-        return F.when(p > s.above, F.struct(F.lit(s.market).alias("market"), F.lit(s.selection).alias("selection"), p.alias("prob"), F.lit(i).alias("place")))
-
-    sides = F.filter(F.array(*(side(i, s) for i, s in enumerate(selections))), lambda x: x.isNotNull())
-    d = predictions.select("game_id", "sport", "date", F.explode(sides).alias("x")).select("game_id", "sport", "date", "x.*")
-    best = F.max_by(F.struct("selection", "prob", "place"), F.struct("prob", -F.col("place"))).alias("b")
-    return d.groupBy("game_id", "sport", "date", "market").agg(best).select("game_id", "sport", "date", "market", "b.*")
+        sides.setdefault(s.market, []).append(F.when(p > s.above, F.struct(p.alias("prob"), F.lit(-i).alias("place"), F.lit(s.selection).alias("selection"))))
+    best = {m: F.array_max(F.array(*c)) for m, c in sides.items()}  # nulls are passed over
+    rows = [F.when(b.isNotNull(), F.struct(F.lit(m).alias("market"), b["selection"].alias("selection"), b["prob"].alias("prob"))) for m, b in best.items()]
+    d = predictions.select("game_id", "sport", "date", F.explode(F.array(*rows)).alias("x")).where("x IS NOT NULL")
+    return d.select("game_id", "sport", "date", "x.*")
 
 
 def offers(quotes: DataFrame, prices: str = "prices", lines: str = "lines", exclude: tuple = (), selections: tuple[Selection, ...] = SELECTIONS) -> DataFrame:
@@ -142,7 +142,7 @@ def judged(d: DataFrame, least_prob: float = 0.52, least_edge: float = 0.02, thr
 
 def candidates(predictions: DataFrame, quotes: DataFrame, exclude: tuple = (), **limits) -> DataFrame:
     """Bets of all markets, one a game and market, that pass ``judged``."""
-    fixed = picks(predictions).join(offers(quotes, exclude=exclude), ["game_id", "market", "selection"]).drop("place")
+    fixed = picks(predictions).join(offers(quotes, exclude=exclude), ["game_id", "market", "selection"])
     lined = line_picks(predictions, quotes, exclude)
     return judged(fixed.unionByName(lined), **limits)
 
