@@ -153,6 +153,31 @@ ESPORTS = Family(
     | {"kda": (10, "(my.kills + my.assists) / nullif(my.deaths, 0)", 0.0), "duration_std": (10, "sd.duration", 0.0), "win_pct": (10, "my.won / n", 0.0), "kd_trend": (10, "my3.kills / nullif(my3.deaths, 0) - my.kills / nullif(my.deaths, 0)", 0.0)},
 )
 
+def period_family(names: tuple[str, ...], half: int, n: int = 10) -> Family:
+    """Scoring by period: the first one, the first ``half`` of them and the rest, comebacks (behind then, won in the end), overtime.
+
+    A game whose first periods are all missing counts for nothing; single missing ones are 0. ``half`` 0: the scheme has no halves.
+    """
+    add = lambda side, part: " + ".join(f"coalesce({side}_{x}, 0)" for x in part)
+    there = lambda side: f"coalesce({', '.join(f'{side}_{x}' for x in names[:half])}) IS NOT NULL" if half > 1 else f"{side}_{names[0]} IS NOT NULL"
+    first = names[0]
+    derived = {"first": f"CASE WHEN o_{first} IS NOT NULL THEN m_{first} END", "first_opp": f"CASE WHEN m_{first} IS NOT NULL THEN o_{first} END", "first_won": f"CASE WHEN m_{first} IS NOT NULL AND o_{first} IS NOT NULL THEN CASE WHEN m_{first} > o_{first} THEN 1.0 ELSE 0.0 END END", "extra": "CASE WHEN coalesce(m_ot, 0) > 0 OR coalesce(o_ot, 0) > 0 THEN 1.0 ELSE 0.0 END"}
+    means = {"period_first_ppg": "first", "period_first_opp_ppg": "first_opp", "period_first_win_pct": "first_won", "period_ot_rate": "extra"}
+    if half:
+        mine, theirs, know = add("m", names[:half]), add("o", names[:half]), there("m")
+        derived |= {
+            "half": f"CASE WHEN {know} THEN {mine} END", "half_opp": f"CASE WHEN {know} THEN {theirs} END", "half_won": f"CASE WHEN {know} THEN CASE WHEN {mine} > {theirs} THEN 1.0 ELSE 0.0 END END",
+            "late": f"CASE WHEN {know} THEN {add('m', names[half:])} END", "back": f"CASE WHEN {know} THEN CASE WHEN {mine} < {theirs} AND m_score > o_score THEN 1.0 ELSE 0.0 END END",
+        }
+        means |= {"period_first_half_ppg": "half", "period_first_half_opp_ppg": "half_opp", "period_first_half_win_pct": "half_won", "period_second_half_ppg": "late", "period_comeback_rate": "back"}
+    return Family(("score", *names, "ot"), derived, {k: (n, f"avg.{x}", 0.0) for k, x in means.items()})
+
+
+#: fixed values: periods of a game and how many of them are its first half
+SCHEMES = {"quarters": period_family(("q1", "q2", "q3", "q4"), 2), "thirds": period_family(("p1", "p2", "p3"), 1), "halves": period_family(("h1", "h2"), 1), "innings": period_family(tuple(f"i{i}" for i in range(1, 10)), 0)}
+#: scoring of the last five games
+LAST_FIVE = Family(("score",), {}, {"last5_ppg": (5, "my.score / n", 0.0), "last5_opp_ppg": (5, "op.score / n", 0.0), "last5_margin": (5, "(my.score - op.score) / n", 0.0), "last5_games": (5, "n", 0.0), "last5_spread": (5, "sd.score", 0.0)})
+
 FAMILIES = {"basketball": BASKETBALL, "hockey": HOCKEY, "football": FOOTBALL, "soccer": SOCCER, "baseball": BASEBALL, "esports": ESPORTS}
 
 _TOKEN = re.compile(r"\b(my|op|avg|avgop|pos|posop|sd)(\d*)\.(\w+)")

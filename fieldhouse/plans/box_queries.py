@@ -12,7 +12,7 @@ _PRIMES = [3, 5, 7, 11, 13, 17, 19, 23, 29, 31, 37, 41, 43, 47, 53, 59, 61, 67,
 def box_sql(family: B.Family, orders: str = "{orders}") -> str:
     """A box score of the sport for every order: numbers of the order's price, some missing, none before a game is final."""
     def stat(i: int, side: int, x: str) -> str:
-        high = 5 if x in ("score", "h1", "h2", "p1", "p2", "i1", "i7", "i8", "i9") else 3 if x in ("ot", "extras", "red_cards", "first_objective") else 9 + 7 * (i % 5)
+        high = 5 if x in ("score", "h1", "h2") or x[0] in "qpi" and x[1:].isdigit() else 3 if x in ("ot", "extras", "red_cards", "first_objective") else 9 + 7 * (i % 5)
         value = f"CAST(CAST(floor(o_totalprice / {_PRIMES[i] + side * 2}) AS BIGINT) % {high} AS DOUBLE)"
         missing = "o_orderkey % 6 <> 0" if x == "ot" else f"(o_orderkey + {i}) % 13 = 0" if x != "score" else "FALSE"
         return f"CASE WHEN o_orderstatus = 'F' AND NOT ({missing}) THEN {value} END AS {'away' if side else 'home'}_{x}"
@@ -50,3 +50,6 @@ def _register(name: str, number: str, family: B.Family) -> None:
 
 for _name, _number in (("basketball", "i19"), ("baseball", "i27"), ("hockey", "i29"), ("football", "i30"), ("soccer", "i31"), ("esports", "i34")):
     _register(_name, _number, B.FAMILIES[_name])
+for _name, _family in B.SCHEMES.items():
+    _register(f"period_{_name}", "i16", _family)
+_register("last_five", "i15", B.LAST_FIVE)

@@ -55,17 +55,20 @@ def test_formulas_equal_plain_python(spark):
     assert all(got[k] == pytest.approx(want[k]) for k in want)
 
 
-@pytest.mark.parametrize("name", sorted(B.FAMILIES))
+ALL = B.FAMILIES | B.SCHEMES | {"last five": B.LAST_FIVE}
+
+
+@pytest.mark.parametrize("name", sorted(ALL))
 def test_every_feature_moves(spark, sf, name):
-    family = B.FAMILIES[name]
+    family = ALL[name]
     d = B.box_features(spark.sql(box_sql(family), orders=Tables(spark, sf).base("orders")), family)
     kinds = d.agg(*(F.count_distinct(c).alias(c) for c in family.features), *(F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in family.features)).first()
     assert all(kinds[c] > 1 and kinds[f"null_{c}"] == 0 for c in family.features), [c for c in family.features if kinds[c] < 2]
 
 
-@pytest.mark.parametrize("name", sorted(B.FAMILIES))
+@pytest.mark.parametrize("name", sorted(ALL))
 def test_formulas_name_what_is_there(name):
-    family = B.FAMILIES[name]
+    family = ALL[name]
     there = {*family.stats, *family.derived}
     assert {x for kind, _, x in B.needs(family) if kind != "games"} <= there
     assert all(x in family.stats for kind, _, x in B.needs(family) if kind in ("op", "avgop", "posop"))
@@ -73,5 +76,5 @@ def test_formulas_name_what_is_there(name):
 
 
 def test_one_shuffle_for_a_family(spark):
-    plan = B.box_features(spark.createDataFrame(games(), COLUMNS), B.HOCKEY if False else TOY)._jdf.queryExecution().executedPlan().toString()
+    plan = B.box_features(spark.createDataFrame(games(), COLUMNS), TOY)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") <= 2
