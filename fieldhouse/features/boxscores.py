@@ -27,11 +27,13 @@ from . import asof
 
 @dataclass(frozen=True)
 class Family:
-    """``stats``: columns ``home_<x>`` and ``away_<x>``; ``derived``: SQL over m_<x> and o_<x>; ``features``: window, formula, default."""
+    """``stats``: columns ``home_<x>`` and ``away_<x>``; ``derived``: SQL over m_<x> and o_<x>; ``features``: window, formula, default;
+    ``within``: what a game must share with the games it looks back on, besides the team."""
 
     stats: tuple[str, ...]
     derived: dict[str, str]
     features: dict[str, tuple[int, str, float]]
+    within: tuple[str, ...] = ()
 
 
 def _per_game(n: int, **of: str) -> dict[str, tuple[int, str, float]]:
@@ -153,6 +155,38 @@ ESPORTS = Family(
     | {"kda": (10, "(my.kills + my.assists) / nullif(my.deaths, 0)", 0.0), "duration_std": (10, "sd.duration", 0.0), "win_pct": (10, "my.won / n", 0.0), "kd_trend": (10, "my3.kills / nullif(my3.deaths, 0) - my.kills / nullif(my.deaths, 0)", 0.0)},
 )
 
+_SETS = range(1, 6)
+TENNIS = Family(
+    ("score", "first_serves_in", "first_serves", "first_serves_won", "second_serves", "second_serves_won", "aces", "double_faults", "service_games", "service_games_won", "break_points", "break_points_won", "break_points_faced", "break_points_saved", "return_points", "return_points_won", "winners", "unforced_errors", "net_points_won", "sets_won", "s1", "s2", "s3", "s4", "s5", "ranking"),
+    _RESULT | {
+        "breakers": " + ".join(f"CASE WHEN m_s{i} = 7 OR o_s{i} = 7 THEN 1.0 ELSE 0.0 END" for i in _SETS), "breakers_won": " + ".join(f"CASE WHEN m_s{i} = 7 THEN 1.0 ELSE 0.0 END" for i in _SETS),
+        "played": "coalesce(m_sets_won, 0) + coalesce(o_sets_won, 0)",
+        "quality": "(CASE WHEN m_score > o_score THEN 1.0 ELSE -1.0 END) * greatest(0.0, 1.0 - (coalesce(nullif(o_ranking, 0), 200.0) - 1.0) / 200.0)",
+    },
+    {
+        "first_serve_pct": (10, "100 * my.first_serves_in / nullif(my.first_serves, 0)", 0.0), "first_serve_won_pct": (10, "100 * my.first_serves_won / nullif(my.first_serves_in, 0)", 0.0), "second_serve_won_pct": (10, "100 * my.second_serves_won / nullif(my.second_serves, 0)", 0.0),
+        "aces_per_match": (10, "my.aces / n", 0.0), "double_faults_per_match": (10, "my.double_faults / n", 0.0), "ace_df_ratio": (10, "coalesce(my.aces / nullif(my.double_faults, 0), 2 * my.aces / n)", 0.0), "service_games_won_pct": (10, "100 * my.service_games_won / nullif(my.service_games, 0)", 0.0),
+        "break_point_conversion": (10, "100 * my.break_points_won / nullif(my.break_points, 0)", 0.0), "break_points_saved_pct": (10, "100 * my.break_points_saved / nullif(my.break_points_faced, 0)", 0.0), "return_points_won_pct": (10, "100 * my.return_points_won / nullif(my.return_points, 0)", 0.0),
+        "winners_per_match": (10, "my.winners / n", 0.0), "unforced_errors_per_match": (10, "my.unforced_errors / n", 0.0), "winner_ue_ratio": (10, "coalesce(my.winners / nullif(my.unforced_errors, 0), 0.1 * my.winners / n)", 0.0), "net_points_won_pm": (10, "my.net_points_won / n", 0.0),
+        "set_win_rate": (10, "my.sets_won / nullif(my.sets_won + op.sets_won, 0)", 0.0), "avg_sets_recent": (5, "my.played / n", 0.0), "tiebreak_win_pct": (20, "my.breakers_won / nullif(my.breakers, 0)", 0.0), "tiebreaks_won_pm": (10, "my.breakers_won / n", 0.0),
+        "avg_opponent_ranking": (10, "posop.ranking", 200.0), "ranking_quality_form": (15, "my.quality / n", 0.0),
+    },
+)
+PRESTIGE = Family(("score", "prestige"), _RESULT | {"level": "coalesce(m_prestige, 0)"}, {"prestige_win_pct": (20, "my.won / n", 0.0), "prestige_matches": (20, "n", 0.0)}, ("level",))
+COMBAT = Family(
+    ("score", "sig_strikes_landed", "sig_strikes_attempted", "total_strikes_landed", "takedown_pct", "submission_attempts", "knockdowns", "control_time_seconds"),
+    {
+        "sig_pct": "CASE WHEN m_sig_strikes_attempted > 0 THEN 100 * coalesce(m_sig_strikes_landed, 0) / m_sig_strikes_attempted ELSE 0.0 END",
+        "per_minute": "CASE WHEN m_control_time_seconds > 0 THEN 60 * coalesce(m_total_strikes_landed, 0) / m_control_time_seconds ELSE 0.0 END",
+    },
+    _per_game(10, sig_strikes_per_fight="sig_strikes_landed", total_strikes_per_fight="total_strikes_landed", takedown_pct="takedown_pct", submission_attempts="submission_attempts", knockdowns_per_fight="knockdowns", control_time_avg="control_time_seconds")
+    | {
+        "sig_strike_pct": (10, "my.sig_pct / n", 0.0), "strike_differential": (10, "(my.sig_strikes_landed - op.sig_strikes_landed) / n", 0.0), "sig_strikes_absorbed": (10, "op.sig_strikes_landed / n", 0.0), "total_strikes_per_min": (10, "my.per_minute / n", 0.0),
+        "sig_strike_defense": (10, "1 - op.sig_strikes_landed / nullif(op.sig_strikes_attempted, 0)", 0.5), "volume_vs_accuracy": (10, "my.total_strikes_landed / n * my.sig_pct / n / 100", 0.0),
+    },
+)
+
+
 def period_family(names: tuple[str, ...], half: int, n: int = 10) -> Family:
     """Scoring by period: the first one, the first ``half`` of them and the rest, comebacks (behind then, won in the end), overtime.
 
@@ -178,7 +212,7 @@ SCHEMES = {"quarters": period_family(("q1", "q2", "q3", "q4"), 2), "thirds": per
 #: scoring of the last five games
 LAST_FIVE = Family(("score",), {}, {"last5_ppg": (5, "my.score / n", 0.0), "last5_opp_ppg": (5, "op.score / n", 0.0), "last5_margin": (5, "(my.score - op.score) / n", 0.0), "last5_games": (5, "n", 0.0), "last5_spread": (5, "sd.score", 0.0)})
 
-FAMILIES = {"basketball": BASKETBALL, "hockey": HOCKEY, "football": FOOTBALL, "soccer": SOCCER, "baseball": BASEBALL, "esports": ESPORTS}
+FAMILIES = {"basketball": BASKETBALL, "hockey": HOCKEY, "football": FOOTBALL, "soccer": SOCCER, "baseball": BASEBALL, "esports": ESPORTS, "tennis": TENNIS, "tennis_prestige": PRESTIGE, "combat": COMBAT}
 
 _TOKEN = re.compile(r"\b(my|op|avg|avgop|pos|posop|sd)(\d*)\.(\w+)")
 _GAMES = re.compile(r"\bn(\d*)\b")
@@ -230,5 +264,5 @@ def _state(kind: str, x: str):
 def box_features(games: DataFrame, family: Family) -> DataFrame:
     """All features of a family for both teams of every game (game_id, team_id, is_home, ...)."""
     states = {f"{kind}{n}_{x}": (n, _state(kind, x)) for kind, n, x in needs(family)}
-    d = asof.as_of(team_rows(games, family), states)
+    d = asof.as_of(team_rows(games, family), states, ("team_id", *(f"m_{x}" for x in family.within)))
     return d.select("game_id", "team_id", "is_home", *(F.coalesce(F.expr(compiled(w, f)[0]).cast("double"), F.lit(default)).alias(name) for name, (w, f, default) in family.features.items()))
