@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import betting as B, market as M
+from ..sources.stored import written
 from .evaluation_queries import CANDS
 from .registry import query
 from .table_queries import rounded
@@ -63,7 +64,7 @@ MARKETS_SQL = f"""WITH {_spec()}, books AS (SELECT CAST(b AS BIGINT) AS b FROM r
 
 @query("j4_all_markets", MARKETS_SQL)
 def _(t):
-    d = B.candidates(predictions(t), quotes(t))
+    d = B.candidates(written(predictions(t), "predictions"), written(quotes(t), "quotes"))  # as landed: maps are columns, not expressions
     return rounded(d.select("game_id", "market", "selection", "bookmaker", "line", "prob", "price", "edge", "ev", "tier"))
 
 
