@@ -53,3 +53,17 @@ def test_by_date_and_changed_since(spark, sf, tmp_path):
     assert back.count() == p.count()
     assert Wr.changed_since(back, "2000-01-01", ["date"]).count() == p.select("date").distinct().count()
     assert Wr.changed_since(back, "2100-01-01", ["date"]).count() == 0
+
+
+def test_lineage_and_inventory(spark, tmp_path):
+    """The category is the folder that a file lies in, below partition folders; files and newest times are counted by key."""
+    path = str(tmp_path / "odds")
+    d = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "id long, vendor string")
+    d.where("vendor = 'a'").repartition(2, "id").write.parquet(path)
+    d.where("vendor = 'b'").coalesce(1).write.mode("append").parquet(path)
+    back = spark.read.parquet(path)
+    assert {(r.id, r.raw_category) for r in R.with_lineage(back).collect()} == {(1, "odds"), (2, "odds"), (3, "odds")}
+    got = {r.vendor: r for r in R.inventory(back, ["vendor"]).collect()}
+    files = [p for p in (tmp_path / "odds").glob("part-*.parquet")]
+    assert got["a"].files + got["b"].files == len(files) and got["b"].files == 1
+    assert max(r.newest for r in got.values()).timestamp() == max(p.stat().st_mtime_ns // 10**6 for p in files) / 1000
