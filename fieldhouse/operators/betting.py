@@ -10,7 +10,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -75,31 +75,36 @@ SELECTIONS: tuple[Selection, ...] = (
 TIERS = (("S", 0.75, 0.10), ("A", 0.65, 0.07), ("B", 0.60, 0.05), ("C", 0.55, 0.03))
 
 
+def _selection_table(spark: SparkSession, selections: tuple[Selection, ...]) -> DataFrame:
+    rows = [(i, s.market, s.selection, s.prob.lstrip("!"), s.prob.startswith("!"), s.above, s.line) for i, s in enumerate(selections)]
+    return F.broadcast(spark.createDataFrame(rows, "place int, market string, selection string, prob_key string, other boolean, above double, line_key string"))
+
+
 def picks(predictions: DataFrame, probs: str = "probs", selections: tuple[Selection, ...] = SELECTIONS) -> DataFrame:
-    """(game_id, sport, date, market, selection, prob): each market's likeliest side, ties by order; chosen inside the row, without a shuffle.
+    """(game_id, sport, date, market, selection, prob): each market's likeliest side, ties by order.
 
-    ``probs`` is a map of probabilities. Sides without one, or not above their least, are not looked at.
+    ``probs`` is a map of probabilities. Sides without one, or not above their least, are not looked at. Rows are dealt by game once;
+    what follows, the join with ``offers`` too, stays there.
     """
-    sides: dict[str, list[Column]] = {}
-    for i, s in enumerate(selections):
-        p = F.col(probs)[s.prob.lstrip("!")]
-        p = 1 - p if s.prob.startswith("!") else p
-        sides.setdefault(s.market, []).append(F.when(p > s.above, F.struct(p.alias("prob"), F.lit(-i).alias("place"), F.lit(s.selection).alias("selection"))))
-    best = {m: F.array_max(F.array(*c)) for m, c in sides.items()}  # nulls are passed over
-    rows = [F.when(b.isNotNull(), F.struct(F.lit(m).alias("market"), b["selection"].alias("selection"), b["prob"].alias("prob"))) for m, b in best.items()]
-    d = predictions.select("game_id", "sport", "date", F.explode(F.array(*rows)).alias("x")).where("x IS NOT NULL")
-    return d.select("game_id", "sport", "date", "x.*")
+    table = _selection_table(predictions.sparkSession, selections)
+    d = predictions.repartition("game_id").select("game_id", "sport", "date", F.explode(probs).alias("prob_key", "p")).join(table, "prob_key")
+    d = d.withColumn("prob", F.when(F.col("other"), 1 - F.col("p")).otherwise(F.col("p"))).where("prob > above")
+    best = F.max_by(F.struct("selection", "prob"), F.struct("prob", -F.col("place"))).alias("b")
+    return d.groupBy("game_id", "sport", "date", "market").agg(best).select("game_id", "sport", "date", "market", "b.*")
 
 
 def offers(quotes: DataFrame, prices: str = "prices", lines: str = "lines", exclude: tuple = (), selections: tuple[Selection, ...] = SELECTIONS) -> DataFrame:
-    """(game_id, market, selection, bookmaker, price, line): best decimal price above 1 over the books, ties by the smallest book."""
-    def side(s: Selection) -> Column:
-        price = F.coalesce(*(F.col(prices)[k] for k in s.prices))
-        line = F.col(lines)[s.line] if s.line else F.lit(None).cast("double")
-        return F.when(price > 1, F.struct(F.lit(s.market).alias("market"), F.lit(s.selection).alias("selection"), price.alias("price"), line.alias("line")))
+    """(game_id, market, selection, bookmaker, price, line): best decimal price over the books, ties by the smallest book.
 
+    A book's price of a selection is the first of its keys that has one; prices of 1 or less are none.
+    """
+    spark = quotes.sparkSession
+    keys = F.broadcast(spark.createDataFrame([(i, k, n) for i, s in enumerate(selections) for n, k in enumerate(s.prices)], "place int, key string, nth int"))
     q = quotes.where(~F.col("bookmaker").isin(*exclude)) if exclude else quotes
-    d = q.select("game_id", "bookmaker", F.explode(F.filter(F.array(*map(side, selections)), lambda x: x.isNotNull())).alias("x")).select("game_id", "bookmaker", "x.*")
+    d = q.repartition("game_id").select("game_id", "bookmaker", F.col(lines).alias("_lines"), F.explode(prices).alias("key", "price")).where("price > 1").join(keys, "key")
+    d = d.groupBy("game_id", "bookmaker", "place").agg(F.min_by(F.struct("price", "_lines"), "nth").alias("x"))
+    d = d.select("game_id", "bookmaker", "place", "x.*").join(_selection_table(spark, selections).select("place", "market", "selection", "line_key"), "place")
+    d = d.withColumn("line", F.try_element_at("_lines", F.col("line_key")))
     best = F.max_by(F.struct("bookmaker", "price", "line"), F.struct("price", -F.col("bookmaker"))).alias("b")
     return d.groupBy("game_id", "market", "selection").agg(best).select("game_id", "market", "selection", "b.*")
 
