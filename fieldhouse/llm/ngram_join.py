@@ -87,10 +87,12 @@ def scaled(count: np.ndarray) -> np.ndarray:
     return np.round(1024 * np.log2(1 + count.astype(np.float64))).astype(np.uint16)
 
 
-def _gathered(part: DataFrame, bits: int) -> np.ndarray:
-    """Partial counts added in two levels and scaled: 2**bits two-byte counts, whatever the input."""
+def _gathered(part: DataFrame, bits: int, tasks: int) -> np.ndarray:
+    """Partial counts of so many tasks added in two levels of about the square root of them, and scaled: 2**bits two-byte
+    counts, whatever the input."""
     ddl = "part int, slice int, counts binary"
-    part = part.groupBy("slice", F.pmod("part", F.lit(32)).alias("group")).applyInPandas(_added(np.uint16), ddl)
+    groups = max(1, round(tasks**0.5))
+    part = part.groupBy("slice", F.pmod("part", F.lit(groups)).alias("group")).applyInPandas(_added(np.uint16), ddl)
     total = np.zeros(1 << bits, np.uint16)
     for r in part.groupBy("slice").applyInPandas(_added(np.uint64), ddl).collect():
         total[r.slice * SLICE : (r.slice + 1) * SLICE] = scaled(np.frombuffer(r.counts, np.uint64))
@@ -100,7 +102,8 @@ def _gathered(part: DataFrame, bits: int) -> np.ndarray:
 def sketch(docs: DataFrame, k: int) -> np.ndarray:
     """Counts of shingles by the first bits of their hash: 8 MB whatever the input. Any order is right for the join;
     counts only make it cheap."""
-    return _gathered(docs.select("_text").mapInArrow(_counted(k), "part int, slice int, counts binary"), SKETCH_BITS)
+    texts = docs.select("_text")
+    return _gathered(texts.mapInArrow(_counted(k), "part int, slice int, counts binary"), SKETCH_BITS, texts.rdd.getNumPartitions())
 
 
 def _bit():
