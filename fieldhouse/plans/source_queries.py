@@ -100,20 +100,33 @@ def _(t):
     return R.race_sessions(races(t)).select("round", "session", F.col("start").cast("timestamp_ntz").alias("start"))
 
 
+#: drivers of a season's table in one text
+PAGE = 100
+
+
+def standings(t):
+    """Championship tables made of the finishes: the drivers in pages of ``PAGE`` ids, the constructors in a text of their own."""
+    d = t.finishes.groupBy(F.year("date").alias("season"), "player_id").agg(F.sum("score_to_par").alias("points"), F.count_if(F.col("position") == 1).alias("wins"))
+    row = lambda *more: F.struct(F.lit("1").alias("position"), F.col("points").cast("string").alias("points"), F.col("wins").cast("string").alias("wins"), *more)
+    team = (F.col("player_id") % 10).cast("string")
+    drivers = d.groupBy("season", F.floor(F.col("player_id") / PAGE).alias("page")).agg(F.collect_list(row(F.struct(text("player_id").alias("driverId")).alias("Driver"), F.array(F.struct(F.lit("old").alias("constructorId")), F.struct(team.alias("constructorId"))).alias("Constructors"))).alias("x"))
+    teams = d.groupBy("season", team.alias("c")).agg(F.sum("points").alias("points"), F.sum("wins").alias("wins"))
+    teams = teams.groupBy("season").agg(F.collect_list(row(F.struct(F.col("c").alias("constructorId")).alias("Constructor"))).alias("x"))
+
+    def answer(rows, kind: str):
+        """A text of its own for each page, as providers answer."""
+        lists = F.array(F.struct(text("season"), F.lit("1").alias("round"), F.col("x").alias(kind)))
+        return landed(rows.select(F.struct(F.struct(lists.alias("StandingsLists")).alias("StandingsTable")).alias("MRData")), R.STANDINGS)
+
+    return answer(drivers, "DriverStandings").unionByName(answer(teams, "ConstructorStandings"))
+
+
 @query(
     "a11_race_standings",
     "WITH p AS (SELECT year(date) AS season, player_id, sum(score_to_par) AS points, count(CASE WHEN position = 1 THEN 1 END) AS wins FROM finishes GROUP BY 1, 2) SELECT season, 'driver' AS kind, CAST(player_id AS VARCHAR) AS id, CAST(player_id % 10 AS VARCHAR) AS constructor_id, points, wins FROM p UNION ALL SELECT season, 'constructor', CAST(player_id % 10 AS VARCHAR), CAST(player_id % 10 AS VARCHAR), sum(points), CAST(sum(wins) AS BIGINT) FROM p GROUP BY season, player_id % 10",
 )
 def _(t):
-    d = t.finishes.groupBy(F.year("date").alias("season"), "player_id").agg(F.sum("score_to_par").alias("points"), F.count_if(F.col("position") == 1).alias("wins"))
-    row = lambda *more: F.struct(F.lit("1").alias("position"), F.col("points").cast("string").alias("points"), F.col("wins").cast("string").alias("wins"), *more)
-    team = (F.col("player_id") % 10).cast("string")
-    drivers = d.groupBy("season").agg(F.collect_list(row(F.struct(text("player_id").alias("driverId")).alias("Driver"), F.array(F.struct(F.lit("old").alias("constructorId")), F.struct(team.alias("constructorId"))).alias("Constructors"))).alias("DriverStandings"))
-    teams = d.groupBy("season", team.alias("c")).agg(F.sum("points").alias("points"), F.sum("wins").alias("wins"))
-    teams = teams.groupBy("season").agg(F.collect_list(row(F.struct(F.col("c").alias("constructorId")).alias("Constructor"))).alias("ConstructorStandings"))
-    lists = F.array(F.struct(text("season"), F.lit("1").alias("round"), "DriverStandings", "ConstructorStandings"))
-    d = drivers.join(teams, "season").select(F.struct(F.struct(lists.alias("StandingsLists")).alias("StandingsTable")).alias("MRData"))
-    return R.race_standings(landed(d, R.STANDINGS)).select("season", "kind", "id", "constructor_id", "points", F.col("wins").cast("long").alias("wins"))
+    return R.race_standings(standings(t)).select("season", "kind", "id", "constructor_id", "points", F.col("wins").cast("long").alias("wins"))
 
 
 @query("a12_play_by_play", "SELECT game_id, CAST(row_number() OVER (PARTITION BY game_id ORDER BY snapshot_time, seq) - 1 AS INT) AS seq, CAST(seq AS VARCHAR) AS id, status AS text, home_score, away_score FROM live_snapshots")
