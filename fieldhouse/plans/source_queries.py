@@ -58,38 +58,42 @@ def _(t):
     return R.depth_chart(landed(d, "team int, chart map<string,array<string>>"), "team", "chart")
 
 
-def races(t):
-    """Race feeds made of the finishes: results, qualifying, laps, pit stops and sessions of each race."""
+def races(t, *parts: str):
+    """Race feeds made of the finishes, with the parts that are asked for: providers have results, qualifying, laps and pit stops each in a text of its own."""
     driver = F.struct(text("player_id").alias("driverId"), F.lit("A").alias("givenName"), F.lit("B").alias("familyName"))
     team = F.struct((F.col("player_id") % 10).cast("string").alias("constructorId"))
     place = F.col("position").cast("int").cast("string")
-    result = F.struct(place.alias("position"), F.col("score_to_par").cast("string").alias("points"), F.lit("3").alias("grid"), F.col("rounds").cast("int").cast("string").alias("laps"), F.lit("Finished").alias("status"), driver.alias("Driver"), team.alias("Constructor"))
     clock = lambda n: F.concat(F.lit("1:"), F.lpad((F.col("player_id") % n).cast("string"), 2, "0"), F.lit(".250"))
-    quali = F.struct(place.alias("position"), clock(50).alias("Q1"), F.when(F.col("player_id") % 2 == 0, clock(40)).alias("Q2"), F.when(F.col("player_id") % 4 == 0, F.lit("59.5")).alias("Q3"), driver.alias("Driver"), team.alias("Constructor"))
-    timing = F.struct(text("player_id").alias("driverId"), place.alias("position"), clock(60).alias("time"))
-    stop = F.struct(text("player_id").alias("driverId"), F.lit("1").alias("stop"), F.lit("7").alias("lap"), F.concat((F.col("player_id") % 30 + 20).cast("string"), F.lit(".5")).alias("duration"))
-    d = t.finishes.groupBy("game_id", "date", "circuit_id").agg(F.collect_list(result).alias("Results"), F.collect_list(quali).alias("QualifyingResults"), F.collect_list(timing).alias("timings"), F.collect_list(stop).alias("PitStops"))
+    rows = {
+        "Results": F.struct(place.alias("position"), F.col("score_to_par").cast("string").alias("points"), F.lit("3").alias("grid"), F.col("rounds").cast("int").cast("string").alias("laps"), F.lit("Finished").alias("status"), driver.alias("Driver"), team.alias("Constructor")),
+        "QualifyingResults": F.struct(place.alias("position"), clock(50).alias("Q1"), F.when(F.col("player_id") % 2 == 0, clock(40)).alias("Q2"), F.when(F.col("player_id") % 4 == 0, F.lit("59.5")).alias("Q3"), driver.alias("Driver"), team.alias("Constructor")),
+        "Laps": F.struct(text("player_id").alias("driverId"), place.alias("position"), clock(60).alias("time")),
+        "PitStops": F.struct(text("player_id").alias("driverId"), F.lit("1").alias("stop"), F.lit("7").alias("lap"), F.concat((F.col("player_id") % 30 + 20).cast("string"), F.lit(".5")).alias("duration")),
+    }
+    keys = ["game_id", "date", "circuit_id"]
+    d = t.finishes.groupBy(*keys).agg(*(F.collect_list(rows[p]).alias(p) for p in parts)) if parts else t.finishes.select(*keys).distinct()
+    if "Laps" in parts:
+        d = d.withColumn("Laps", F.array(F.struct(F.lit("1").alias("number"), F.col("Laps").alias("Timings"))))
     at = lambda n: F.struct(F.date_sub("date", n).cast("string").alias("date"), F.when(F.col("game_id") % 3 != 0, F.lit("14:30:00Z")).alias("time"))
-    d = d.select(F.year("date").cast("string").alias("season"), text("game_id").alias("round"), F.lit("x").alias("raceName"), F.struct(text("circuit_id").alias("circuitId"), F.lit("c").alias("circuitName")).alias("Circuit"), F.col("date").cast("string").alias("date"), F.lit("15:00:00Z").alias("time"), "Results", "QualifyingResults", F.array(F.struct(F.lit("1").alias("number"), F.col("timings").alias("Timings"))).alias("Laps"), "PitStops", at(2).alias("FirstPractice"), F.when(F.col("game_id") % 2 == 0, at(1)).alias("Qualifying"))
+    d = d.select(F.year("date").cast("string").alias("season"), text("game_id").alias("round"), F.lit("x").alias("raceName"), F.struct(text("circuit_id").alias("circuitId"), F.lit("c").alias("circuitName")).alias("Circuit"), F.col("date").cast("string").alias("date"), F.lit("15:00:00Z").alias("time"), *parts, at(2).alias("FirstPractice"), F.when(F.col("game_id") % 2 == 0, at(1)).alias("Qualifying"))
     race = F.struct(*d.columns)
     return landed(d.select(F.struct(F.struct(F.col("season"), F.array(race).alias("Races")).alias("RaceTable")).alias("MRData")), R.RACES)
 
 
 @query("a11_race_results", "SELECT year(date) AS season, game_id AS round, CAST(circuit_id AS VARCHAR) AS circuit_id, date, CAST(player_id AS VARCHAR) AS driver_id, 'A B' AS driver, CAST(player_id % 10 AS VARCHAR) AS constructor_id, position, rounds AS laps, score_to_par AS points FROM finishes")
 def _(t):
-    return R.race_results(races(t)).select("season", "round", "circuit_id", "date", "driver_id", "driver", "constructor_id", "position", "laps", "points")
+    return R.race_results(races(t, "Results")).select("season", "round", "circuit_id", "date", "driver_id", "driver", "constructor_id", "position", "laps", "points")
 
 
 @query("a11_race_qualifying", "WITH q AS (SELECT game_id, player_id, position, 60 + player_id % 50 + 0.25 AS q1, CASE WHEN player_id % 2 = 0 THEN 60 + player_id % 40 + 0.25 END AS q2, CASE WHEN player_id % 4 = 0 THEN 59.5 END AS q3 FROM finishes) SELECT game_id AS round, CAST(player_id AS VARCHAR) AS driver_id, position, q1, q2, q3, coalesce(q3, q2, q1) AS best FROM q")
 def _(t):
-    return R.race_qualifying(races(t)).select("round", "driver_id", "position", "q1", "q2", "q3", "best")
+    return R.race_qualifying(races(t, "QualifyingResults")).select("round", "driver_id", "position", "q1", "q2", "q3", "best")
 
 
 @query("a11_race_laps_and_stops", "SELECT game_id AS round, CAST(player_id AS VARCHAR) AS driver_id, 60 + player_id % 60 + 0.25 AS lap_seconds, 7 AS lap, player_id % 30 + 20.5 AS stop_seconds FROM finishes")
 def _(t):
-    d = races(t)
-    laps = R.race_laps(d).select("round", "driver_id", F.col("seconds").alias("lap_seconds"))
-    return laps.join(R.race_pit_stops(d).select("round", "driver_id", "lap", F.col("seconds").alias("stop_seconds")), ["round", "driver_id"])
+    laps = R.race_laps(races(t, "Laps")).select("round", "driver_id", F.col("seconds").alias("lap_seconds"))
+    return laps.join(R.race_pit_stops(races(t, "PitStops")).select("round", "driver_id", "lap", F.col("seconds").alias("stop_seconds")), ["round", "driver_id"])
 
 
 @query(

@@ -114,7 +114,8 @@ STANDINGS = "MRData struct<StandingsTable:struct<StandingsLists:array<struct<sea
 
 
 def _races(df: DataFrame) -> DataFrame:
-    r = df.select(F.explode("MRData.RaceTable.Races").alias("r"))
+    # outer: for a plain explode Spark adds a filter on the size of the array, for which each text is parsed again
+    r = df.select(F.explode_outer("MRData.RaceTable.Races").alias("r")).where("r IS NOT NULL")
     return r.select(F.col("r.season").try_cast("int").alias("season"), F.col("r.round").try_cast("int").alias("round"), F.col("r.Circuit.circuitId").alias("circuit_id"), F.to_date("r.date").alias("date"), "r")
 
 
@@ -168,7 +169,7 @@ def snake_name(name: str) -> str:
 
 def race_standings(df: DataFrame) -> DataFrame:
     """Championship tables after a round: drivers (with their last constructor) and constructors as one table with ``kind``."""
-    d = df.select(F.explode("MRData.StandingsTable.StandingsLists").alias("l")).select(F.col("l.season").try_cast("int").alias("season"), F.col("l.round").try_cast("int").alias("round"), "l")
+    d = df.select(F.explode_outer("MRData.StandingsTable.StandingsLists").alias("l")).where("l IS NOT NULL").select(F.col("l.season").try_cast("int").alias("season"), F.col("l.round").try_cast("int").alias("round"), "l")
     numbers = lambda x: [F.col(f"{x}.position").try_cast("int").alias("position"), F.col(f"{x}.points").try_cast("double").alias("points"), F.col(f"{x}.wins").try_cast("int").alias("wins")]
     a = d.select("season", "round", F.explode("l.DriverStandings").alias("x")).select("season", "round", F.lit("driver").alias("kind"), F.col("x.Driver.driverId").alias("id"), F.try_element_at("x.Constructors", F.lit(-1))["constructorId"].alias("constructor_id"), *numbers("x"))
     b = d.select("season", "round", F.explode("l.ConstructorStandings").alias("x")).select("season", "round", F.lit("constructor").alias("kind"), F.col("x.Constructor.constructorId").alias("id"), F.col("x.Constructor.constructorId").alias("constructor_id"), *numbers("x"))
