@@ -80,6 +80,31 @@ def parlays(cands: DataFrame, legs: int = 2, least_prob: float = 0.55, penalty:
     return d.withColumn("ev", expected_value("prob", "price")).where("ev >= 0")
 
 
+def contenders(cands: DataFrame, legs: int = 2, most: int = 1, least_prob: float = 0.55, penalty: float = 0.97, least_price: float = 0.0) -> DataFrame:
+    """The candidates that can be in one of the day's ``most`` best ``parlays`` that share no game, before any leg meets another.
+
+    A parlay's value is the product of its legs' (chance times price) and of the penalties, less 1. Parlays chosen earlier take at most
+    ``legs`` games each, so of ``legs * (most - 1) + 1`` parlays without a common game one is left: the day's best games, at prices whose
+    product is enough, give that many, and the value of the last is a floor. A leg that with the day's best ones cannot reach it goes;
+    of two-leg parlays' legs with equal chance and price those with the smallest ids stay, as ties go by key. Exact for chances and
+    prices of at least 0.
+    """
+    games = legs * (legs * (most - 1) + 1)
+    day, game = W.partitionBy("date"), W.partitionBy("date", "game_id")
+    c = cands.where((F.col("prob") >= least_prob) & F.col("date").isNotNull()).withColumn("_v", F.col("prob") * F.col("price"))
+    sure = F.when(F.col("price") >= least_price ** (1 / legs) * (1 + 1e-9), F.col("_v"))
+    c = c.withColumn("_sure", sure).withColumn("_k", F.row_number().over(game.orderBy(F.desc_nulls_last("_sure"), "selection")))
+    c = c.withColumn("_sure", F.when(F.col("_k") == 1, F.col("_sure"))).withColumn("_n", F.row_number().over(day.orderBy(F.desc_nulls_last("_sure"), "game_id", "selection")))
+    c = c.withColumns({"_top": F.max("_v").over(day), "_floor": F.max(F.when(F.col("_n") == games, F.col("_sure"))).over(day)})
+    thin = penalty ** (legs - 1)
+    floor = F.greatest(F.coalesce(thin * F.pow("_floor", F.lit(legs)) - 1, F.lit(0.0)), F.lit(0.0))
+    c = c.where(thin * F.col("_v") * F.pow("_top", F.lit(legs - 1)) - 1 >= floor - 1e-8)
+    if legs == 2:
+        same = W.partitionBy("date", "prob", "price").orderBy("game_id")
+        c = c.withColumn("_n", F.dense_rank().over(same)).where(F.col("_n") <= legs * most)
+    return c.select(*cands.columns)
+
+
 def disjoint(parlay: DataFrame, most: int = 3) -> DataFrame:
     """Greedy choice per day of at most ``most`` parlays that share no game, best value first: an aggregation for each."""
     left, out = parlay, None

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import evaluation as V, games as G, market as M, quality as Q, windows
+from ..sources.stored import written
 from ..streaming import live
 from . import models
 from .feature_queries import PAST
@@ -80,7 +81,7 @@ _LEFT = "SELECT r.* FROM {0} r JOIN {1} b ON r.date = b.date WHERE r.g1 NOT IN (
  picked AS (SELECT *, 1 AS rank FROM b1 UNION ALL SELECT *, 2 FROM b2 UNION ALL SELECT *, 3 FROM b3) SELECT date, rank, g1, g2, round(price, 6) AS price, round(prob, 6) AS prob, round(ev, 6) AS ev FROM picked""",
 )
 def _(t):
-    d = M.disjoint(M.parlays(M.candidates(t.predictions, t.odds)))
+    d = M.disjoint(M.parlays(written(M.contenders(M.candidates(t.predictions, t.odds), most=3), "contenders")))
     return rounded(d.select("date", "rank", F.get("games", F.lit(0)).alias("g1"), F.get("games", F.lit(1)).alias("g2"), "price", "prob", "ev"))
 
 
