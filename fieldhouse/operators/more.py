@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 
 from ..functions.scalars import ratio
 from .games import keep_first
-from .market import parlays
+from .market import contenders, parlays
 
 
 def game_people(games: DataFrame, people: DataFrame, role: str) -> DataFrame:
@@ -57,7 +57,7 @@ def ladder(cands: DataFrame, steps: list[tuple[str, int, float, float]]) -> Data
     """The day's best parlay for several sizes and cuts: (name, legs, least probability of a leg, least price)."""
     out = None
     for name, legs, least_prob, least in steps:
-        p = parlays(cands, legs, least_prob).where(F.col("price") >= least).withColumn("step", F.lit(name))
+        p = parlays(contenders(cands, legs, 1, least_prob, least_price=least), legs, least_prob).where(F.col("price") >= least).withColumn("step", F.lit(name))
         p = p.withColumn("ev", F.round("ev", 9)).groupBy("step", "date").agg(F.min_by(F.struct("games", "price", "ev"), F.struct(-F.col("ev"), "key")).alias("b")).select("step", "date", "b.*")
         out = p if out is None else out.unionByName(p)
     return out

@@ -6,6 +6,7 @@ import random
 import pytest
 
 from fieldhouse.operators import market as M
+from fieldhouse.operators import more
 
 DAY = datetime.date(2024, 5, 1)
 CANDS = "date date, game_id long, selection string, prob double, price double"
@@ -29,6 +30,14 @@ def test_disjoint_parlays_of_contenders_are_those_of_all(spark, seed, step, legs
     assert want and rows(M.disjoint(M.parlays(M.contenders(d, legs, most), legs), most)) == want
 
 
+@pytest.mark.parametrize("least", [0.0, 3.0, 9.0, 40.0])
+def test_ladder_of_contenders_is_that_of_all(spark, least, monkeypatch):
+    d = spark.createDataFrame(made(4, 80, 9), CANDS)
+    got = rows(more.ladder(d, [("double", 2, 0.6, least)]))
+    monkeypatch.setattr(more, "contenders", lambda cands, *_, **__: cands)
+    assert got == rows(more.ladder(d, [("double", 2, 0.6, least)]))
+
+
 def test_few_legs_of_a_large_day_meet_others(spark):
     """Of a day of 4,000 games, and of one whose legs are all alike, only a few are left."""
     r = random.Random(5)
