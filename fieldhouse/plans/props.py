@@ -57,12 +57,14 @@ def long_table(features: DataFrame, props: tuple[Prop, ...] = PROPS) -> DataFram
 
 
 def by_time(long_: DataFrame, share: float = 0.2) -> DataFrame:
-    """``valid`` for each prop's rows of the last days that together hold about ``share`` of them: days are counted, not rows sorted."""
-    days = long_.groupBy("prop", "date").agg(F.count("*").alias("n"))
+    """``valid`` for each prop's rows of the last days that together hold about ``share`` of them: days are counted, and rows are neither sorted nor shuffled."""
+    days = long_.where("date IS NOT NULL").groupBy("prop", "date").agg(F.count("*").alias("n"))
     w = W.partitionBy("prop").orderBy("date")
     until, all_ = F.sum("n").over(w), F.sum("n").over(W.partitionBy("prop"))
     days = days.select("prop", "date", (until > all_ * (1 - share)).alias("valid"))
-    return long_.join(days, ["prop", "date"])
+    first = days.groupBy("prop").agg(F.min(F.when(F.col("valid"), F.col("date"))).alias("first")).collect()  # a row for each prop
+    table = F.create_map(*(F.lit(c) for r in first for c in (r.prop, r.first))) if first else F.lit(None).cast("map<string,date>")
+    return long_.where("date IS NOT NULL").withColumn("valid", F.coalesce(F.col("date") >= F.element_at(table, F.col("prop")), F.lit(False)))
 
 
 # ---------------------------------------------------------------- fits by sums

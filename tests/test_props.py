@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from fieldhouse.features import props as P
 from fieldhouse.plans import props as M
@@ -133,3 +134,13 @@ def test_features_of_one_player(spark):
     assert set(got) == {(g, s) for g in (3, 4, 5) for s in ("pts", "double_double")}
     assert got[5, "pts"].y == 12.0 and got[5, "double_double"].y == 1.0 and got[4, "double_double"].y == 0.0
     assert dict(zip(P.NAMES, got[3, "pts"].x)) == {"mean_5": 1.0, "mean_15": 1.0, "std_15": 1.0, "max_5": 2.0, "last": 2.0, "above_5": 2.0, "allowed": 1.0, "is_home": 1.0, "rest_days": 1.0, "games": 3.0}
+
+
+def test_long_rows_are_not_shuffled(features):
+    """Validation days are a row for each prop, so that every row stays where it is read; rows without a date are left out."""
+    d = M.by_time(M.long_table(features.unionByName(features.limit(3).withColumn("date", F.lit(None).cast("date"))), PROPS))
+    plan = d._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+    for prop, stat in (("points", "pts"), ("assists", "ast")):
+        train, valid = split(features, stat)
+        assert [d.where(f"prop = '{prop}' AND {c}").count() for c in ("NOT valid", "valid")] == [len(train), len(valid)]
