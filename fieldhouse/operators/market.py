@@ -65,8 +65,8 @@ def dynamic_thresholds(bets: DataFrame, base: float = 0.55, target: float = 0.55
     return e.select("sport", "n", "ema", (base + move).alias("threshold"))
 
 
-def _pair_tasks(spark: SparkSession) -> int:
-    """Partitions for days whose legs meet: few bytes make many rows there, so they are not merged by their bytes."""
+def unmerged(spark: SparkSession) -> int:
+    """Partitions for rows that become many or wide in their tasks, and so must not be merged by their few bytes."""
     sizes = (spark.conf.get(k, None) or 0 for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.initialPartitionNum"))
     return max(4 * spark.sparkContext.defaultParallelism, *map(int, sizes))
 
@@ -77,7 +77,7 @@ def parlays(cands: DataFrame, legs: int = 2, least_prob: float = 0.55, penalty:
     Thresholds on each leg and on the value of the whole thin the combinations out; none is dropped by rank. Legs are plain columns
     until a combination is kept: the join's condition has its value, and arrays that are not asked for are not made.
     """
-    c = cands.where(F.col("prob") >= least_prob).select("date", "game_id", "selection", "prob", "price").repartition(_pair_tasks(cands.sparkSession), "date")
+    c = cands.where(F.col("prob") >= least_prob).select("date", "game_id", "selection", "prob", "price").repartition(unmerged(cands.sparkSession), "date")
     nth = lambda i: c.select("date", *(F.col(x).alias(f"{x}{i}") for x in ("game_id", "selection", "prob", "price")))
     d = nth(0)
     for i in range(1, legs):
