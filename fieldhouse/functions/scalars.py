@@ -221,11 +221,19 @@ def normal_over(line, mean, std) -> Column:
 
 
 def poisson_over(line, mean) -> Column:
-    """P(X > line) of a Poisson variable with a mean above zero."""
-    mean = F.greatest(col(mean), F.lit(1e-9))
-    terms = F.sequence(F.lit(0), F.floor(col(line)).cast("int"))
-    below = F.aggregate(terms, F.struct(F.lit(0.0).alias("s"), F.exp(-mean).alias("t")), lambda a, k: F.struct((a["s"] + a["t"]).alias("s"), (a["t"] * mean / (k + 1)).alias("t")))["s"]
-    return F.greatest(1 - below, F.lit(0.0))
+    """P(X > line) of a Poisson variable with a mean above zero; the terms up to the line are added as nested products, innermost first."""
+    mean, n = F.greatest(col(mean), F.lit(1e-9)), F.floor(col(line)).cast("int")
+    nested = F.aggregate(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), F.lit(0.0), lambda a, k: 1 + a * mean / (n - k + 1))
+    # at means of over some 700 the factor is 0 and the product may be infinite
+    below = F.nanvl(F.exp(-mean) * nested, F.lit(0.0))
+    return F.when(n < 0, 1.0).otherwise(F.greatest(1 - below, F.lit(0.0)))
+
+
+def poisson_at(k, mean) -> Column:
+    """P(X = k) of a Poisson variable with a mean above zero, for whole k of at least 0."""
+    mean, k = F.greatest(col(mean), F.lit(1e-9)), col(k)
+    factors = F.aggregate(F.sequence(F.lit(1), F.greatest(k.cast("int"), F.lit(1))), F.lit(0.0), lambda a, i: a + F.log(mean / i))
+    return F.exp(F.when(k > 0, factors).otherwise(0.0) - mean)
 
 
 def brier(p, outcome) -> Column:
